@@ -20,7 +20,6 @@ plain columns that any number of comparisons can share.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,8 +34,21 @@ _SIMPLE = r"\A[+-]?[0-9A-Za-z]+(?:/[0-9]+)?\z"
 _BRACED = r"(?:[^{}]++|\{[^{}]*+\})++"
 
 
-def _sub(x: Column, pattern: str, repl: str) -> Column:
-    return F.regexp_replace(x, F.lit(pattern), F.lit(repl))
+# The long chains below are SQL over one variable x, behind a lambda: the value they
+# work on is computed once, the plan stays small, and only the quick tests in front of
+# them are compiled into the row loop.
+def _let(value: Column, body: str) -> Column:
+    """SQL `body` with x bound to `value`."""
+    bound = F.call_function("transform", F.array(value), F.expr(f"x -> {body}"))
+    return F.get(bound, F.lit(0))
+
+
+def _group(x: str, pattern: str, i: int) -> str:
+    return f"regexp_extract({x}, r'{pattern}', {i})"
+
+
+def _double(x: str) -> str:
+    return f"try_cast({x} AS double)"
 
 
 # ---------------------------------------------------------------- canonical text
@@ -94,10 +106,10 @@ def _rewritten(x: Column) -> Column:
 
     Most answers are a bare word or integer, which no rewrite would change.
     """
-    y = x
+    y = "x"
     for pattern, repl in _REWRITES:
-        y = _sub(y, pattern, repl)
-    return F.when(x.rlike(_SIMPLE), x).otherwise(strip(y))
+        y = f"regexp_replace({y}, r'{pattern}', r'{repl}')"
+    return F.when(x.rlike(_SIMPLE), x).otherwise(strip(_let(x, y)))
 
 
 def _commas_resolved(x: Column) -> Column:
@@ -118,17 +130,15 @@ def _commas_resolved(x: Column) -> Column:
     )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` evaluated once, inside one expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def canonical(answer: ColumnOrName) -> Column:
     """Canonical text of an answer; NULL stays NULL."""
-    return _let(
-        _without_delimiters(strip(answer)),
-        lambda s: _let(_rewritten(s), _commas_resolved),
-    )
+    bare = _without_delimiters(strip(answer))
+    return _bind(bare, lambda s: _bind(_rewritten(s), _commas_resolved))
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Like `_let`, for a body built from columns."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 # ------------------------------------------------------------------------- letter
@@ -147,6 +157,7 @@ _TERM = (
     r"\A([+-]?)(" + _NUM + r")?(?:\\cdot|\\times|\*)?(?:\\sqrt\{(" + _NUM + r")\})?"
     r"(?:\\cdot|\\times|\*)?(\\pi|π)?\z"
 )
+_TERM_END = r"[0-9iπ]\}?\z"
 _POWER = (
     r"\A([+-]?)(?:(" + _NUM + r")(?:\\cdot|\\times|\*))?([0-9]+)\^(?:\{([+-]?[0-9]{1,3})\}|([0-9]))\z"
 )
@@ -157,78 +168,75 @@ _SLASH = r"\A([^/]+)/([^/]+)\z"
 _ASSIGN = r"\A[A-Za-z](?:_(?:[A-Za-z0-9]|\{[A-Za-z0-9]+\}))?="
 
 
-def _group(x: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(x, pattern, i)
+def _factor(x: str, pattern: str, i: int, default: str, of: str = "{}") -> str:
+    value = of.format(_double(f"nullif({_group(x, pattern, i)}, '')"))
+    return f"coalesce({value}, {default})"
 
 
-def _double(x: Column) -> Column:
-    """Cast of a text that is known to be a plain decimal number."""
-    return x.try_cast("double")
+def _sign(x: str, pattern: str) -> str:
+    return f"if({_group(x, pattern, 1)} = '-', -1D, 1D)"
 
 
-def _term_value(x: Column) -> Column:
+def _term_value(x: str) -> str:
     """Sign, coefficient, square root, pi: at least one of the last three."""
-    sign = F.when(_group(x, _TERM, 1) == "-", -1.0).otherwise(1.0)
-    coef = F.coalesce(_double(null_if_empty(_group(x, _TERM, 2))), F.lit(1.0))
-    root = F.coalesce(F.sqrt(_double(null_if_empty(_group(x, _TERM, 3)))), F.lit(1.0))
-    pi = F.when(_group(x, _TERM, 4) != "", math.pi).otherwise(1.0)
+    pi = f"if({_group(x, _TERM, 4)} <> '', pi(), 1D)"
+    product = " * ".join(
+        (_sign(x, _TERM), _factor(x, _TERM, 2, "1D"), _factor(x, _TERM, 3, "1D", "sqrt({})"), pi)
+    )
     return (
-        F.when(x.rlike(_PLAIN), _double(x))
-        .when(x.rlike(r"[0-9i π]\}?\z") & x.rlike(_TERM), sign * coef * root * pi)
+        f"CASE WHEN {x} RLIKE r'{_PLAIN}' THEN {_double(x)} "
+        f"WHEN {x} RLIKE r'{_TERM_END}' AND {x} RLIKE r'{_TERM}' THEN {product} END"
     )
 
 
-def _power_value(x: Column) -> Column:
-    sign = F.when(_group(x, _POWER, 1) == "-", -1.0).otherwise(1.0)
-    coef = F.coalesce(_double(null_if_empty(_group(x, _POWER, 2))), F.lit(1.0))
-    exponent = F.coalesce(
-        null_if_empty(_group(x, _POWER, 4)), _group(x, _POWER, 5)
-    ).try_cast("double")
-    return sign * coef * F.pow(_double(_group(x, _POWER, 3)), exponent)
+def _term_of(text: str) -> str:
+    return f"transform(array({text}), t -> {_term_value('t')})[0]"
 
 
-def _frac_value(x: Column) -> Column:
-    """``\\frac{p}{q}`` with an optional sign, whole part and trailing pi."""
-    sign = F.when(_group(x, _FRAC, 1) == "-", -1.0).otherwise(1.0)
-    whole = F.coalesce(_double(null_if_empty(_group(x, _FRAC, 2))), F.lit(0.0))
-    pi = F.when(_group(x, _FRAC, 5) != "", math.pi).otherwise(1.0)
-    ratio = F.try_divide(
-        _term_value(_group(x, _FRAC, 3)), _term_value(_group(x, _FRAC, 4))
-    )
-    return sign * (whole + ratio) * pi
+def _power_value(x: str) -> str:
+    exponent = _double(f"coalesce(nullif({_group(x, _POWER, 4)}, ''), {_group(x, _POWER, 5)})")
+    base = f"pow({_double(_group(x, _POWER, 3))}, {exponent})"
+    return f"{_sign(x, _POWER)} * {_factor(x, _POWER, 2, '1D')} * {base}"
 
 
-def _right_side(canon: Column) -> Column:
-    """The value of ``x = value``; any other text as it is."""
-    return F.when(canon.contains("="), _sub(canon, _ASSIGN, "")).otherwise(canon)
+def _frac_value(x: str) -> str:
+    """``\\frac{p}{q}`` with an optional sign, whole part and trailing pi."""
+    ratio = f"try_divide({_term_of(_group(x, _FRAC, 3))}, {_term_of(_group(x, _FRAC, 4))})"
+    pi = f"if({_group(x, _FRAC, 5)} <> '', pi(), 1D)"
+    return f"{_sign(x, _FRAC)} * ({_factor(x, _FRAC, 2, '0D')} + {ratio}) * {pi}"
 
 
-def _number_of(x: Column) -> Column:
-    body = F.regexp_replace(x, r"%\z", "")
-    ratio = F.try_divide(
-        _term_value(_group(x, _SLASH, 1)), _term_value(_group(x, _SLASH, 2))
+def _slow_number() -> str:
+    body = r"regexp_replace(x, r'%\z', '')"
+    ratio = f"try_divide({_term_of(_group('x', _SLASH, 1))}, {_term_of(_group('x', _SLASH, 2))})"
+    return (
+        f"CASE WHEN endswith(x, '%') AND {body} RLIKE r'{_PLAIN}' THEN {_double(body)} / 100 "
+        f"WHEN x RLIKE r'{_FRAC}' THEN {_frac_value('x')} "
+        f"WHEN x RLIKE r'{_SLASH}' THEN {ratio} "
+        f"WHEN x RLIKE r'{_POWER}' THEN {_power_value('x')} "
+        f"ELSE {_term_value('x')} END"
     )
+
+
+def _number_of(canon: Column) -> Column:
+    # plain decimals first; every other form needs a digit or pi, so words leave here
+    right_side = F.regexp_replace(canon, F.lit(_ASSIGN), F.lit(""))
     return (
-        F.when(x.rlike(_PLAIN), _double(x))
-        # every other form needs a digit or pi; plain words leave here
-        .when(~x.rlike(r"[0-9π]|\\pi"), F.lit(None).cast("double"))
-        .when(x.endswith("%") & body.rlike(_PLAIN), _double(body) / 100)
-        .when(x.rlike(_FRAC), _frac_value(x))
-        .when(x.rlike(_SLASH), ratio)
-        .when(x.rlike(_POWER), _power_value(x))
-        .otherwise(_term_value(x))
+        F.when(canon.rlike(_PLAIN), canon.try_cast("double"))
+        .when(~canon.rlike(r"[0-9π]|\\pi"), F.lit(None).cast("double"))
+        .otherwise(_let(right_side, _slow_number()))
     )
 
 
 def number(canon: ColumnOrName) -> Column:
     """Value of a canonical text as a double; NULL if it is not a number."""
-    return _let(_right_side(_c(canon)), _number_of)
+    return _number_of(_c(canon))
 
 
 # --------------------------------------------------------------------- comparison
 def parse_answer(answer: ColumnOrName) -> Column:
     """struct<canon, letter, num>: everything that equality looks at."""
-    return _let(
+    return _bind(
         canonical(answer),
         lambda c: F.struct(
             c.alias("canon"),
@@ -259,7 +267,7 @@ def answers_equal(a: Column, b: Column) -> Column:
 def equivalent(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Are two answer texts equal?  NULL or empty on either side is not."""
     pair = F.struct(parse_answer(a).alias("a"), parse_answer(b).alias("b"))
-    return _let(pair, lambda p: answers_equal(p["a"], p["b"]))
+    return _bind(pair, lambda p: answers_equal(p["a"], p["b"]))
 
 
 def equivalent_or_same(
@@ -289,10 +297,9 @@ def with_parsed(df: DataFrame, answers: dict[str, ColumnOrName]) -> DataFrame:
     stage("s1", lambda n: _without_delimiters(F.col(f"{n}_s0")))
     stage("s2", lambda n: _rewritten(F.col(f"{n}_s1")))
     stage("canon", lambda n: _commas_resolved(F.col(f"{n}_s2")))
-    stage("s3", lambda n: _right_side(F.col(f"{n}_canon")))
     stage("letter", lambda n: choice_letter(f"{n}_canon"))
-    stage("num", lambda n: _number_of(F.col(f"{n}_s3")))
-    return df.drop(*(f"{n}_s{i}" for n in answers for i in range(4)))
+    stage("num", lambda n: _number_of(F.col(f"{n}_canon")))
+    return df.drop(*(f"{n}_s{i}" for n in answers for i in range(3)))
 
 
 def parsed_equal(a: str, b: str) -> Column:

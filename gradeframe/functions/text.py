@@ -484,8 +484,36 @@ def token_count(text: ColumnOrName) -> Column:
     return F.regexp_count(_c(text), F.lit(r"\w+|[^\w\s]"))
 
 
+def _power_of_two(n: Column) -> Column:
+    # by way of bigint: a double turns into a decimal by its shortest printed form
+    return F.pow(F.lit(2.0), n).cast("bigint").cast("decimal(19,0)")
+
+
 def fixed_decimals(x: ColumnOrName, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", _c(x))
+    """A double with a fixed number of decimals, rounded as C and Python round it.
+
+    The exact binary value is rounded, ties to even; Java's formatter rounds the
+    printed value half up instead (15.625 -> 15.63, 2.675 -> 2.68).  The value is an
+    integer over a power of two, so the rounding is done in whole decimals.
+    """
+    x = _c(x).cast("double")
+    size = F.abs(x)
+    # size = mantissa / 2**shift, exactly; below 2**-30 the decimals are zero anyway
+    shift = F.lit(53) - F.greatest(F.floor(F.log2(size)), F.lit(-30)).cast("int")
+    mantissa = F.floor(size * F.pow(F.lit(2.0), shift))
+    whole = "decimal(38,0)"
+    scaled = (mantissa.cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(10,0)")).cast(whole)
+    high = F.greatest(shift - 31, F.lit(0))
+    unit = (_power_of_two(high) * _power_of_two(shift - high)).cast(whole)
+    rest = F.pmod(scaled, unit)
+    down = ((scaled - rest) / unit).cast("decimal(28,0)")
+    twice = rest * F.lit(2).cast("decimal(1,0)")
+    odd = F.pmod(down, F.lit(2).cast("decimal(1,0)")) == 1
+    rounded = down + F.when((twice > unit) | ((twice == unit) & odd), 1).otherwise(0).cast("decimal(1,0)")
+    exact = (rounded / F.lit(10**digits).cast("decimal(10,0)")).cast(f"decimal(28,{digits})")
+    text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), exact.cast("string"))
+    # large values are whole numbers of units already; zero has no logarithm
+    return F.when((size > 0) & (size < 1e15), text).otherwise(F.format_string(f"%.{digits}f", x))
 
 
 def percent_text(x: ColumnOrName, digits: int = 2) -> Column:

@@ -31,57 +31,50 @@ def _s(x: Column) -> Column:
     return x.cast("string")
 
 
+_RESPONSE_SHAPES = r"""
+CASE k
+  WHEN 0 THEN concat(r'<think>r</think><answer>', s, r'</answer>')
+  WHEN 1 THEN concat(r'<think>r</think>', '\n\n', r'\boxed{', s, '}')
+  WHEN 2 THEN concat(r'so \boxed{\frac{', 2 * a, '}{2}}')
+  WHEN 3 THEN concat(r'<think>first ', s, ' then')
+  WHEN 4 THEN concat(r'\boxed{', a + 1, r'} no, \boxed{', s, '}')
+  WHEN 5 THEN concat(r'\boxed{', s, r'} and \boxed{\frac{1}{2}')
+  WHEN 6 THEN concat('<think>\n\nr\n\n</think>\n\n<answer>', a + 1, '</answer>')
+  WHEN 7 THEN s
+  ELSE concat('<desc>d\n</desc><think>long r</think><answer> ', s, '.0 </answer>')
+END AS resp"""
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten trials per order, some missing: one response text of nine shapes each."""
+    """Ten trials per order, some missing: one response text of nine shapes each.
+
+    The ids are dense but for the multiples of 37, so the row number is arithmetic.
+    """
     orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
-    rows = orders.select(
-        F.col("o_orderkey").alias("image_key"),
-        (F.floor("o_totalprice").cast("bigint") % 50 + 1).alias("a"),
-        F.explode(F.sequence(F.lit(0), F.lit(9))).alias("trial"),
-    ).withColumn("sid", F.col("image_key") * 10 + F.col("trial"))
-    rows = rows.filter(F.col("sid") % 37 != 0).withColumns(
-        {
-            "k": F.when(F.col("image_key") % 4 == 0, F.lit(4)).otherwise(F.col("sid") % 9),
-            "s": _s(F.col("a")),
-            "w": _s(F.col("a") + 1),
-        }
-    )
-    s, w = F.col("s"), F.col("w")
-
-    def shape(*parts) -> Column:
-        return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-
-    double = _s(F.col("a") * 2)
-    resp = (
-        F.when(F.col("k") == 0, shape("<think>r</think><answer>", s, "</answer>"))
-        .when(F.col("k") == 1, shape("<think>r</think>\n\n\\boxed{", s, "}"))
-        .when(F.col("k") == 2, shape("so \\boxed{\\frac{", double, "}{2}}"))
-        .when(F.col("k") == 3, shape("<think>first ", s, " then"))
-        .when(F.col("k") == 4, shape("\\boxed{", w, "} no, \\boxed{", s, "}"))
-        .when(F.col("k") == 5, shape("\\boxed{", s, "} and \\boxed{\\frac{1}{2}"))
-        .when(
-            F.col("k") == 6,
-            shape("<think>\n\nr\n\n</think>\n\n<answer>", w, "</answer>"),
+    names = ", ".join(f"'{d}'" for d in DATASETS)
+    return (
+        orders.selectExpr(
+            "o_orderkey AS image_key",
+            "CAST(floor(o_totalprice) AS bigint) % 50 + 1 AS a",
+            "explode(sequence(0, 9)) AS trial",
         )
-        .when(F.col("k") == 7, s)
-        .otherwise(
-            shape("<desc>d\n</desc><think>long r</think><answer> ", s, ".0 </answer>")
+        .selectExpr("*", "image_key * 10 + trial AS sid")
+        .filter("sid % 37 <> 0")
+        .selectExpr(
+            "*", "CAST(a AS string) AS s", "if(image_key % 4 = 0, 4, sid % 9) AS k"
+        )
+        .selectExpr(
+            "sid",
+            "image_key",
+            "trial",
+            "sid - CAST(floor(sid / 37) AS bigint) - 1 AS ord",
+            "concat('samples/image/image', image_key, '.png') AS image",
+            "s AS answer",
+            "if(k = 3, 'length', 'stop') AS finish_reason",
+            _RESPONSE_SHAPES,
+            f"array({names})[CAST(image_key % 6 AS int)] AS dataset",
+            "concat('<image>What is value ', image_key, '?') AS question",
         )
-    )
-    return rows.select(
-        "sid",
-        "image_key",
-        F.col("trial").cast("int").alias("trial"),
-        # the ids are dense but for the multiples of 37, so the row number is arithmetic
-        (F.col("sid") - F.floor(F.col("sid") / 37) - 1).cast("bigint").alias("ord"),
-        F.concat(F.lit("samples/image/image"), _s(F.col("image_key")), F.lit(".png")).alias("image"),
-        s.alias("answer"),
-        F.when(F.col("k") == 3, "length").otherwise("stop").alias("finish_reason"),
-        resp.alias("resp"),
-        F.element_at(
-            F.array(*(F.lit(d) for d in DATASETS)), (F.col("image_key") % 6 + 1).cast("int")
-        ).alias("dataset"),
-        F.concat(F.lit("<image>What is value "), _s(F.col("image_key")), F.lit("?")).alias("question"),
     )
 
 
@@ -250,7 +243,7 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t(s, "^\\circ"), t(s, ".")),
         (F.col("l_returnflag"), t("(", F.col("l_returnflag"), ")")),
         (t("\\text{red ", s, "}"), t("red  ", s)),
-        (t("2^{", _s(n % 11), "}"), _s(F.shiftleft(F.lit(1), (n % 11).cast("int")))),
+        (t("2^{", _s(n % 11), "}"), _s(F.pow(F.lit(2.0), n % 11).cast("bigint"))),
         (t("\\frac{", s, "\\pi}{2}"), t(_s(n), "\\pi/2")),
         (t("1\\frac{", s, "}{100}"), t(_s(n + 100), "/100")),
         (s, _s(n + 1)),
