@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed as K
-from .equivalence import EqualFn, parsed_equal, parsed_names, same_text, with_parsed
+from .equivalence import EqualFn, _bind, equivalent_or_same
 from .text import (
     OPTIONS_TYPE,
     ColumnOrName,
@@ -40,25 +40,95 @@ def choice_info(value: ColumnOrName, choices: ColumnOrName, options: ColumnOrNam
     option's place; anything else has index -1 and stands for itself.
     """
     v, choices = _c(value), _c(choices)
-    letter = named_letter(v)
-    index = F.ascii(letter) - 65
+
+    def info(x: Column) -> Column:
+        letter, place = x["letter"], x["place"]
+        index = F.ascii(letter) - 65
+        by_letter = F.struct(
+            letter.alias("letter"),
+            index.alias("index"),
+            F.when(index < F.size(choices), F.get(choices, index))
+            .otherwise(F.coalesce(option_text(options, letter), letter))
+            .alias("text"),
+        )
+        by_text = F.struct(
+            F.when(place < len(K.CHOICE_LETTERS), letter_at(place))
+            .otherwise(place.cast("string"))
+            .alias("letter"),
+            place.alias("index"),
+            v.alias("text"),
+        )
+        other = F.struct(v.alias("letter"), F.lit(-1).alias("index"), v.alias("text"))
+        return F.when(letter.isNotNull(), by_letter).when(place >= 0, by_text).otherwise(other)
+
     place = (F.array_position(choices, v) - 1).cast("int")
-    by_letter = F.struct(
-        letter.alias("letter"),
-        index.alias("index"),
-        F.when(index < F.size(choices), F.get(choices, index))
-        .otherwise(F.coalesce(option_text(options, letter), letter))
-        .alias("text"),
-    )
-    by_text = F.struct(
-        F.when(place < len(K.CHOICE_LETTERS), letter_at(place))
-        .otherwise(place.cast("string"))
-        .alias("letter"),
-        place.alias("index"),
-        v.alias("text"),
+    return _bind(F.struct(named_letter(v).alias("letter"), place.alias("place")), info)
+
+
+def choice_match(
+    answer: ColumnOrName,
+    model_answer: ColumnOrName,
+    choices: ColumnOrName | None = None,
+    question: ColumnOrName | None = None,
+    dataset: ColumnOrName = "dataset",
+    equal: EqualFn | None = None,
+) -> Column:
+    """struct<normalized_answer, normalized_parsed_answer, is_match>.
+
+    Options come from `choices` or, where it is empty, from the question text.  Two
+    single letters are compared as letters, two known options by place, everything else
+    as text or by `equal` (default: answer equivalence).
+    """
+    no_choices = F.array().cast("array<string>")
+    no_options = F.array().cast(OPTIONS_TYPE)
+    given = F.coalesce(_c(choices), no_choices) if choices is not None else no_choices
+    if question is not None:
+        found = options_from_question(F.coalesce(_c(question), F.lit("")), dataset)
+        options = F.when(F.size(given) == 0, found).otherwise(no_options)
+    else:
+        options = no_options
+
+    def place(x: Column) -> Column:
+        listed = F.when(F.size(x["options"]) > 0, option_list(x["options"])).otherwise(x["given"])
+        return _bind(
+            F.struct(
+                x["a"].alias("a"), x["m"].alias("m"), x["options"].alias("options"),
+                listed.alias("choices"),
+            ),
+            lambda y: _bind(
+                F.struct(
+                    y["a"].alias("a"),
+                    y["m"].alias("m"),
+                    choice_info(y["a"], y["choices"], y["options"]).alias("ai"),
+                    choice_info(y["m"], y["choices"], y["options"]).alias("mi"),
+                ),
+                compare,
+            ),
+        )
+
+    def compare(x: Column) -> Column:
+        ai, mi = x["ai"], x["mi"]
+        letters = bare_letter(x["a"]).isNotNull() & bare_letter(x["m"]).isNotNull()
+        places = (ai["index"] >= 0) & (mi["index"] >= 0)
+        by_option = letters | places
+        return F.struct(
+            F.when(by_option, ai["letter"]).otherwise(ai["text"]).alias("normalized_answer"),
+            F.when(by_option, mi["letter"]).otherwise(mi["text"]).alias("normalized_parsed_answer"),
+            F.when(letters, F.upper(x["a"]) == F.upper(x["m"]))
+            .when(places, ai["index"] == mi["index"])
+            .otherwise(equivalent_or_same(ai["text"], mi["text"], equal))
+            .alias("is_match"),
+        )
+
+    return _bind(
+        F.struct(
+            strip(answer).alias("a"),
+            strip(model_answer).alias("m"),
+            given.alias("given"),
+            options.alias("options"),
+        ),
+        place,
     )
-    other = F.struct(v.alias("letter"), F.lit(-1).alias("index"), v.alias("text"))
-    return F.when(letter.isNotNull(), by_letter).when(place >= 0, by_text).otherwise(other)
 
 
 def with_choice_match(
@@ -70,59 +140,8 @@ def with_choice_match(
     dataset: ColumnOrName = "dataset",
     equal: EqualFn | None = None,
 ) -> DataFrame:
-    """Add ``normalized_answer``, ``normalized_parsed_answer`` and ``is_match``.
-
-    Options come from the `choices` column or, where it is empty, from the question
-    text.  Two single letters are compared as letters, two known options by place,
-    everything else as text or by `equal` (default: answer equivalence).
-    """
-    keep = df.columns
-    given = _c(choices) if choices else F.lit(None).cast("array<string>")
-    has_choices = F.coalesce(F.size(given) > 0, F.lit(False))
-    found = (
-        options_from_question(F.coalesce(_c(question), F.lit("")), dataset)
-        if question
-        else F.array().cast(OPTIONS_TYPE)
-    )
-    df = (
-        df.withColumns(
-            {
-                "__opts": F.when(has_choices, F.array().cast(OPTIONS_TYPE)).otherwise(found),
-                "__a": strip(answer),
-                "__m": strip(model_answer),
-            }
-        )
-        .withColumn(
-            "__choices",
-            F.when(has_choices, given)
-            .when(F.size("__opts") > 0, option_list("__opts"))
-            .otherwise(F.array().cast("array<string>")),
-        )
-        .withColumns(
-            {
-                "__ai": choice_info("__a", "__choices", "__opts"),
-                "__mi": choice_info("__m", "__choices", "__opts"),
-            }
-        )
-    )
-    a_text, m_text = F.col("__ai.text"), F.col("__mi.text")
-    if equal is None:
-        df = with_parsed(df, {"__at": a_text, "__mt": m_text})
-        equivalent = parsed_equal("__at", "__mt")
-    else:
-        equivalent = F.coalesce(equal(a_text, m_text), F.lit(False))
-    letters = bare_letter("__a").isNotNull() & bare_letter("__m").isNotNull()
-    places = (F.col("__ai.index") >= 0) & (F.col("__mi.index") >= 0)
-    by_option = letters | places
-    df = df.withColumns(
-        {
-            "normalized_answer": F.when(by_option, F.col("__ai.letter")).otherwise(a_text),
-            "normalized_parsed_answer": F.when(by_option, F.col("__mi.letter")).otherwise(m_text),
-            "is_match": F.when(letters, F.upper("__a") == F.upper("__m"))
-            .when(places, F.col("__ai.index") == F.col("__mi.index"))
-            .otherwise(same_text(a_text, m_text) | equivalent),
-        }
-    )
-    return df.select(
-        *keep, *(c for c in ("normalized_answer", "normalized_parsed_answer", "is_match"))
-    )
+    """Add the three fields of `choice_match` as columns."""
+    fields = ("normalized_answer", "normalized_parsed_answer", "is_match")
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in fields]
+    match = choice_match(answer, model_answer, choices, question, dataset, equal)
+    return df.withColumn("__match", match).select(*keep, *(f"__match.{f}" for f in fields))

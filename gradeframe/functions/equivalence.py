@@ -13,16 +13,19 @@ of the three agree:
 Equality that needs algebra (``(x+1)^2`` and ``x^2+2x+1``) is out of reach; pass an
 ``equal`` function of your own to the callers to add it.
 
-``parse_answer`` and ``answers_equal`` are the two halves as single expressions.
-``with_parsed`` and ``parsed_equal`` are the same on a DataFrame: the values become
-plain columns that any number of comparisons can share.
+``parse_answer`` and ``answers_equal`` are the two halves, so that an answer that is
+compared several times is read once, as a struct column.
+
+Every intermediate value is bound inside its expression rather than put in a column of
+its own: Catalyst pushes a filter on a verdict below the projection by repeating the
+verdict's expression, and a chain of columns would multiply at each step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from .text import ColumnOrName, _c, boxed_last, null_if_empty, strip
 
@@ -257,23 +260,30 @@ def _equal_values(ca, la, na, cb, lb, nb) -> Column:
     )
 
 
+_EQUAL = (
+    "coalesce(x.a.canon = x.b.canon AND x.a.canon <> '', false) "
+    "OR coalesce(x.a.letter = x.b.letter, false) "
+    f"OR coalesce(abs(x.a.num - x.b.num) <= {TOLERANCE}D, false)"
+)
+
+
 def answers_equal(a: Column, b: Column) -> Column:
-    """Equality of two ``parse_answer`` structs; never NULL."""
-    return _equal_values(
-        a["canon"], a["letter"], a["num"], b["canon"], b["letter"], b["num"]
-    )
+    """Equality of two `parse_answer` structs; never NULL."""
+    return _let(F.struct(a.alias("a"), b.alias("b")), f"({_EQUAL})")
 
 
 def equivalent(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Are two answer texts equal?  NULL or empty on either side is not."""
-    pair = F.struct(parse_answer(a).alias("a"), parse_answer(b).alias("b"))
-    return _bind(pair, lambda p: answers_equal(p["a"], p["b"]))
+    return answers_equal(parse_answer(a), parse_answer(b))
 
 
 def equivalent_or_same(
     a: ColumnOrName, b: ColumnOrName, equal: EqualFn | None = None
 ) -> Column:
-    """Equal as answers, or the same string."""
+    """Equal as answers, or the same string; never NULL.
+
+    The same string settles it without reading either answer.
+    """
     a, b = _c(a), _c(b)
     return same_text(a, b) | F.coalesce((equal or equivalent)(a, b), F.lit(False))
 
@@ -282,36 +292,6 @@ def same_text(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.coalesce(_c(a) == _c(b), F.lit(False))
 
 
-def with_parsed(df: DataFrame, answers: dict[str, ColumnOrName]) -> DataFrame:
-    """Add ``<name>_canon``, ``<name>_letter`` and ``<name>_num`` for each answer.
-
-    The same values as `parse_answer`, in stages: every step is a column that the
-    next one reads, so that nothing is computed twice and each stage is compiled.
-    All answers share the stages.
-    """
-    def stage(suffix: str, build: Callable[[str], Column]) -> None:
-        nonlocal df
-        df = df.withColumns({f"{n}_{suffix}": build(n) for n in answers})
-
-    stage("s0", lambda n: strip(answers[n]))
-    stage("s1", lambda n: _without_delimiters(F.col(f"{n}_s0")))
-    stage("s2", lambda n: _rewritten(F.col(f"{n}_s1")))
-    stage("canon", lambda n: _commas_resolved(F.col(f"{n}_s2")))
-    stage("letter", lambda n: choice_letter(f"{n}_canon"))
-    stage("num", lambda n: _number_of(F.col(f"{n}_canon")))
-    return df.drop(*(f"{n}_s{i}" for n in answers for i in range(3)))
-
-
-def parsed_equal(a: str, b: str) -> Column:
-    """Equality of two answers added by `with_parsed`, by name; never NULL."""
-    cols = [F.col(f"{p}_{part}") for p in (a, b) for part in ("canon", "letter", "num")]
-    return _equal_values(*cols)
-
-
-def parsed_names(*answers: str) -> list[str]:
-    return [f"{a}_{part}" for a in answers for part in ("canon", "letter", "num")]
-
-
 # ------------------------------------------------------------- answers in free text
 _MATH_SPAN = r"\$([^$]+)\$"
 _NUMBER_IN_TEXT = (

@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import fixed as K, text as T
 from .equivalence import (
     EqualFn,
+    answers_equal,
     final_answer,
     label_is_readable,
-    parsed_equal,
+    parse_answer,
     same_text,
-    with_parsed,
 )
 
 _P = "__rw_"
@@ -87,14 +87,16 @@ class Features:
         """Do two features give the same answer?  Never NULL."""
         if self.equal_fn is not None:
             return F.coalesce(self.equal_fn(self(a), self(b)), F.lit(False))
-        self.asked |= {a, b}
-        self.compared |= {a, b}
-        return parsed_equal(_P + a, _P + b)
+        return answers_equal(self.parsed(a), self.parsed(b))
+
+    def parsed(self, name: str) -> Column:
+        """A feature as read for comparison: struct<canon, letter, num>."""
+        self.asked.add(name)
+        self.compared.add(name)
+        return F.col(f"{_P}{name}_parsed")
 
     def readable_label(self) -> Column:
-        self.asked.add("label")
-        self.compared.add("label")
-        return label_is_readable(F.col(_P + "label_canon"))
+        return label_is_readable(self.parsed("label")["canon"])
 
     def tokens(self) -> Column:
         """Token count of the completion: the given column, or a word count."""
@@ -110,9 +112,9 @@ class Features:
         for stage in (_EXTRACTED, _SELECTED):
             cols = {_P + n: stage[n][1](self) for n in stage if n in needed}
             df = df.withColumns(cols) if cols else df
-        if self.compared:
-            df = with_parsed(df, {_P + n: F.col(_P + n) for n in sorted(self.compared)})
-        return df
+        return df.withColumns(
+            {f"{_P}{n}_parsed": parse_answer(_P + n) for n in sorted(self.compared)}
+        ) if self.compared else df
 
 
 Reward = Callable[..., Column]
@@ -164,10 +166,7 @@ def boxed_gauss(f: Features, sigma: float = 1.0, strict_reference: bool = False)
     exact = f.equal("box_or_text")
     if strict_reference:
         return _points(exact)
-    if f.equal_fn is not None:
-        f.asked |= {"box_or_text", "label"}
-        f.compared |= {"box_or_text", "label"}
-    gap = F.col(_P + "box_or_text_num") - F.col(_P + "label_num")
+    gap = f.parsed("box_or_text")["num"] - f.parsed("label")["num"]
     near = F.exp(-(gap * gap) / F.lit(2 * sigma**2 + 1e-9))
     return F.when(exact, F.lit(1.0)).otherwise(F.coalesce(near, F.lit(0.0)))
 

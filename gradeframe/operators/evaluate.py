@@ -8,27 +8,19 @@ from ..functions import fixed as K, text as T
 from ..functions.choices import with_choice_match
 from ..functions.equivalence import (
     EqualFn,
+    _bind,
+    equivalent,
+    equivalent_or_same,
     final_answer,
-    parsed_equal,
     same_text,
-    with_parsed,
 )
 
 
 def with_equal(
-    df: DataFrame, out: str, a: str, b: str, equal: EqualFn | None = None, or_same: bool = True
+    df: DataFrame, out: str, a: str, b: str, equal: EqualFn | None = None
 ) -> DataFrame:
-    """Add `out`: are the answers in columns `a` and `b` equal (or the same text)?"""
-    if equal is not None:
-        verdict = F.coalesce(equal(F.col(a), F.col(b)), F.lit(False))
-        same = same_text(a, b) if or_same else F.lit(False)
-        return df.withColumn(out, same | verdict)
-    keep = [c for c in df.columns if c != out]
-    df = with_parsed(df, {"__a": F.col(a), "__b": F.col(b)})
-    verdict = parsed_equal("__a", "__b")
-    return df.withColumn(out, same_text(a, b) | verdict if or_same else verdict).select(
-        *(F.col(f"`{c}`") for c in keep), out
-    )
+    """Add `out`: are the answers in columns `a` and `b` equal, or the same text?"""
+    return df.withColumn(out, equivalent_or_same(a, b, equal))
 
 
 def evaluate_responses(
@@ -44,20 +36,13 @@ def evaluate_responses(
     label as text, or equal to it as an answer; a whole response standing in for a
     missing answer is searched for its final answer first.
     """
-    df = df.withColumn("parsed_answer", T.select_answer(resp, system_prompt))
-    keep = [c for c in df.columns if c != "verify"]
-    parsed = F.col("parsed_answer")
+    label, parsed = F.col(answer), F.col("parsed_answer")
     wrapped = parsed.startswith("$") & parsed.endswith("$") & (F.length(parsed) >= 2)
-    df = df.withColumn("__cand", F.when(wrapped, parsed).otherwise(final_answer(parsed)))
-    label = F.col(answer)
-    if equal is None:
-        df = with_parsed(df, {"__m": F.col("__cand"), "__l": label})
-        verdict = parsed_equal("__m", "__l")
-    else:
-        verdict = F.coalesce(equal(label, F.col("__cand")), F.lit(False))
+    candidate = F.when(wrapped, parsed).otherwise(_bind(parsed, final_answer))
     same = same_text(T.wrap_math(label), parsed)
-    return df.withColumn("verify", same | verdict).select(
-        *(F.col(f"`{c}`") for c in keep), "verify"
+    right = F.coalesce((equal or equivalent)(label, candidate), F.lit(False))
+    return df.withColumn("parsed_answer", T.select_answer(resp, system_prompt)).withColumn(
+        "verify", same | right
     )
 
 

@@ -12,17 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as K, prompts as P, text as T
 from ..functions.choices import with_choice_match
-from ..functions.equivalence import (
-    equivalent,
-    final_answer,
-    parsed_equal,
-    parsed_names,
-    same_text,
-    with_parsed,
-)
+from ..functions.equivalence import answers_equal, final_answer, parse_answer, same_text
 from ..functions.rewards import score
 from ..operators import generation, judging, metrics, records
-from ..operators.evaluate import evaluate_responses, judge_trials
+from ..operators.evaluate import evaluate_responses, judge_trials, with_equal
 from ..session import new_dir, shared_dir
 from ..sources import readers, sinks
 from ..streaming import incremental
@@ -178,21 +171,21 @@ def _(spark, sf):
 # ------------------------------------------------------------------- equivalence
 @query("e01_equivalent")
 def _(spark, sf):
-    pairs = with_parsed(D.answer_pairs(spark, sf), {"x": "answer", "y": "model_answer"})
+    pairs = D.answer_pairs(spark, sf).withColumns(
+        {"x": parse_answer("answer"), "y": parse_answer("model_answer")}
+    )
     return pairs.select(
         "l_orderkey", "l_linenumber", "form",
-        parsed_equal("x", "y").alias("is_equal"),
-        F.col("x_canon").alias("canon"),
-        F.col("x_letter").alias("letter"),
-        _r6("x_num").alias("num"),
+        answers_equal(F.col("x"), F.col("y")).alias("is_equal"),
+        F.col("x.canon").alias("canon"),
+        F.col("x.letter").alias("letter"),
+        _r6("x.num").alias("num"),
     )
 
 
 @query("e03_equal_or_same_text")
 def _(spark, sf):
     pairs = D.answer_pairs(spark, sf)
-    from ..operators.evaluate import with_equal
-
     return with_equal(pairs, "is_equal", "answer", "model_answer").select(
         "l_orderkey", "l_linenumber", "form", "is_equal",
         same_text("answer", "model_answer").alias("is_same"),
@@ -208,8 +201,6 @@ def _(spark, sf):
 
 @query("x05_custom_equality")
 def _(spark, sf):
-    from ..operators.evaluate import with_equal
-
     def same_lower(a: Column, b: Column) -> Column:
         return F.lower(T.strip(a)) == F.lower(T.strip(b))
 

@@ -7,44 +7,35 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import fixed as K, text as T
 from ..schemas import BENCHMARK_SCHEMAS, RESPONSES
 
-CORRUPT = "_corrupt_record"
+def _parsed_lines(lines: DataFrame, schema: str, strict: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``value``, one JSON object each, by a declared schema.
 
-
-def _schema_with(schema: str, extra: str) -> str:
-    return f"{schema}, {extra}"
+    A line is read as the only element of a list, so that text behind the object makes
+    it broken too.  A field of another type than declared (say ``verify: "true"``) is
+    NULL without breaking the line.
+    """
+    wrapped = F.concat(F.lit("["), F.col("value"), F.lit("]"))
+    parsed = F.from_json(wrapped, f"array<struct<{_as_struct(schema)}>>")
+    rows = lines.filter(T.strip("value") != "").withColumn("__rows", parsed)
+    good = F.coalesce((F.size("__rows") == 1) & F.get("__rows", F.lit(0)).isNotNull(), F.lit(False))
+    if strict:
+        problem = F.raise_error(F.concat(F.lit("line is not a JSON object: "), F.col("value")))
+        good = F.when(good, F.lit(True)).otherwise(problem.cast("boolean"))
+    return rows.filter(good).select(
+        *keep, F.get("__rows", F.lit(0)).alias("__row")
+    ).select(*keep, "__row.*")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = RESPONSES) -> DataFrame:
-    """One JSON object per line; blank lines are skipped, a broken line is an error.
-
-    A field of another type than declared (say ``verify: "true"``) is NULL; only text
-    that is not JSON fails.
-    """
-    rows = _lines(spark, path, schema)
-    broken = F.col(CORRUPT).isNotNull() & F.try_parse_json(F.col(CORRUPT)).isNull()
-    check = F.when(
-        broken, F.raise_error(F.concat(F.lit("line is not JSON: "), F.col(CORRUPT)))
-    )
-    # coalesce keeps the check in the plan: it is NULL for every good row
-    return rows.filter(F.coalesce(check.cast("boolean"), F.lit(True))).drop(CORRUPT)
+    """One JSON object per line; blank lines are skipped, a broken line is an error."""
+    return _parsed_lines(spark.read.text(path), schema, strict=True)
 
 
 def read_jsonl_tolerant(
     spark: SparkSession, path: str | list[str], schema: str = RESPONSES
 ) -> DataFrame:
-    """Like `read_jsonl`, but lines that are not JSON are dropped."""
-    rows = _lines(spark, path, schema)
-    broken = F.col(CORRUPT).isNotNull() & F.try_parse_json(F.col(CORRUPT)).isNull()
-    return rows.filter(~broken).drop(CORRUPT)
-
-
-def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    return (
-        spark.read.schema(_schema_with(schema, f"{CORRUPT} string"))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    """Like `read_jsonl`, but broken lines are dropped."""
+    return _parsed_lines(spark.read.text(path), schema, strict=False)
 
 
 def read_jsonl_with_keys(
@@ -55,9 +46,8 @@ def read_jsonl_with_keys(
     Needed where a key with a null value must be told from a missing key (see
     ``records.has_fields``).
     """
-    lines = spark.read.text(path).filter(T.strip("value") != "")
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    return lines.select(parsed.alias("r"), F.col("value").alias(raw)).select("r.*", raw)
+    lines = spark.read.text(path).withColumn(raw, F.col("value"))
+    return _parsed_lines(lines, schema, strict=True, keep=(raw,))
 
 
 def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,23 +101,14 @@ def read_result_files(
     Already filtered files and the skipped data set are left out by name before any of
     their rows are used.
     """
-    reader = (
-        spark.read.schema(_schema_with(schema, f"{CORRUPT} string"))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("pathGlobFilter", pattern)
+    lines = (
+        spark.read.option("pathGlobFilter", pattern)
+        .text(folder)
+        .withColumn("file", F.col("_metadata.file_name"))
+        .filter(~T.is_skipped_file("file"))
     )
-    rows = reader.json(folder).withColumn("file", F.col("_metadata.file_name"))
-    broken = F.col(CORRUPT).isNotNull() & F.try_parse_json(F.col(CORRUPT)).isNull()
-    rows = rows.filter(~T.is_skipped_file("file"))
-    if tolerant:
-        rows = rows.filter(~broken)
-    else:
-        check = F.when(
-            broken, F.raise_error(F.concat(F.lit("line is not JSON: "), F.col(CORRUPT)))
-        )
-        rows = rows.filter(F.coalesce(check.cast("boolean"), F.lit(True)))
-    return rows.drop(CORRUPT).withColumn("dataset", T.dataset_from_file("file"))
+    rows = _parsed_lines(lines, schema, strict=not tolerant, keep=("file",))
+    return rows.withColumn("dataset", T.dataset_from_file("file"))
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
