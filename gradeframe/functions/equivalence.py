@@ -76,25 +76,54 @@ def _without_delimiters(x: Column) -> Column:
     return strip(inner)
 
 
-# Rewrites of a canonical text, in the order in which they apply.
-_REWRITES = (
-    (r"\\[dt]frac", r"\\frac"),
-    (r"\\(?:left|right)\b|\\[!,;: ]", ""),
+def _step(text: str, when: str, rewrite: str) -> str:
+    """SQL: y bound to `text`, rewritten where the cheap test says that it may apply."""
+    return f"transform(array({text}), y -> IF({when}, {rewrite}, y))[0]"
+
+
+def _sub(text: str, pattern: str, repl: str) -> str:
+    return f"regexp_replace({text}, r'{pattern}', r'{repl}')"
+
+
+def _drop(text: str, *literals: tuple[str, str]) -> str:
+    for old, new in literals:
+        text = f"replace({text}, r'{old}', r'{new}')"
+    return text
+
+
+def _has(*literals: str) -> str:
+    return " OR ".join(f"contains(y, r'{x}')" for x in literals)
+
+
+def _rewrite_steps() -> str:
+    """SQL over x: every rewrite of a canonical text, in order."""
+    y = _step(
+        "x",
+        _has("\\"),
+        _sub(
+            _drop("y", (r"\dfrac", r"\frac"), (r"\tfrac", r"\frac"), (r"\%", "%"), (r"\$", "")),
+            r"\\(?:left|right)\b|\\[!,;: ]",
+            "",
+        ),
+    )
     # a unit after a number, then any other text command
-    (r"([0-9}])[ ~]*\\(?:text|mathrm|mbox)\{[^{}]*\}(?:\^\{?[0-9]\}?)?[. ]*\z", "$1"),
-    (r"\\(?:text|textbf|mathrm|mathbf|mbox)\{([^{}]*)\}", "$1"),
-    (r"\\[%$]", "%"),
-    (r"\^?\{?\\(?:circ|degree)\b\}?|°", ""),
-    (r"\{,\}", ","),
-    (r"[\s\xa0]+", " "),
-    (r" ?([^A-Za-z0-9 ]) ?", "$1"),
-    (r"(?<!\.)\.++\z", ""),
-    (r"\\frac([0-9])([0-9])", r"\\frac{$1}{$2}"),
-    (r"\\sqrt([0-9])", r"\\sqrt{$1}"),
-    (r"\^\{([A-Za-z0-9])\}", r"^$1"),
-    (r"([0-9])\.0+\b", "$1"),
-    (r"(\.[0-9]*[1-9])0+\b", "$1"),
-)
+    unit = r"([0-9}])[ ~]*\\(?:text|mathrm|mbox)\{[^{}]*\}(?:\^\{?[0-9]\}?)?[. ]*\z"
+    words = r"\\(?:text|textbf|mathrm|mathbf|mbox)\{([^{}]*)\}"
+    y = _step(y, _has(r"\text", r"\math", r"\mbox"), _sub(_sub("y", unit, "$1"), words, "$1"))
+    degrees = r"\^?\{?\\(?:circ|degree)\b\}?|°"
+    y = _step(y, _has(r"\circ", r"\degree", "°"), _sub("y", degrees, ""))
+    y = _drop(y, ("{,}", ","))
+    spaces = _sub(_sub("y", r"[\s\xa0]+", " "), r" ?([^A-Za-z0-9 ]) ?", "$1")
+    y = _step(y, r"y RLIKE r'[\s\xa0]'", spaces)
+    y = _step(y, "endswith(y, '.')", _sub("y", r"(?<!\.)\.++\z", ""))
+    braces = _sub("y", r"\\frac([0-9])([0-9])", r"\\frac{$1}{$2}")
+    braces = _sub(braces, r"\\sqrt([0-9])", r"\\sqrt{$1}")
+    y = _step(y, _has(r"\frac", r"\sqrt"), braces)
+    y = _step(y, _has("^{"), _sub("y", r"\^\{([A-Za-z0-9])\}", r"^$1"))
+    zeros = _sub(_sub("y", r"([0-9])\.0+\b", "$1"), r"(\.[0-9]*[1-9])0+\b", "$1")
+    return _step(y, _has("."), zeros)
+
+
 _GROUPED = r"\A[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?%?\z"
 _SET = r"\A\\\{[^()\[\]{}]*,[^()\[\]{}]*\\\}\z"
 _LIST = r"\A[^()\[\]{}]*,[^()\[\]{}]*\z"
@@ -104,17 +133,6 @@ def _sorted_list(x: Column) -> Column:
     return F.array_join(F.array_sort(F.split(x, ",")), ",")
 
 
-def _rewritten(x: Column) -> Column:
-    """All rewrites of a text without delimiters.
-
-    Most answers are a bare word or integer, which no rewrite would change.
-    """
-    y = "x"
-    for pattern, repl in _REWRITES:
-        y = f"regexp_replace({y}, r'{pattern}', r'{repl}')"
-    return F.when(x.rlike(_SIMPLE), x).otherwise(strip(_let(x, y)))
-
-
 def _commas_resolved(x: Column) -> Column:
     """Grouped digits joined; sets and plain lists sorted."""
     return (
@@ -134,9 +152,24 @@ def _commas_resolved(x: Column) -> Column:
 
 
 def canonical(answer: ColumnOrName) -> Column:
-    """Canonical text of an answer; NULL stays NULL."""
-    bare = _without_delimiters(strip(answer))
-    return _bind(bare, lambda s: _bind(_rewritten(s), _commas_resolved))
+    """Canonical text of an answer; NULL stays NULL.
+
+    Most answers are a bare word or integer, which no rewrite would change: the test
+    for that comes first.
+    """
+    def unless_simple(x: Column, body: Callable[[Column], Column]) -> Column:
+        return F.when(x.rlike(_SIMPLE), x).otherwise(body(x))
+
+    def rewritten(x: Column) -> Column:
+        return _bind(strip(_let(x, _rewrite_steps())), _commas_resolved)
+
+    return _bind(
+        strip(answer),
+        lambda s: unless_simple(
+            s,
+            lambda s: _bind(_without_delimiters(s), lambda d: unless_simple(d, rewritten)),
+        ),
+    )
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -214,20 +247,24 @@ def _slow_number() -> str:
     ratio = f"try_divide({_term_of(_group('x', _SLASH, 1))}, {_term_of(_group('x', _SLASH, 2))})"
     return (
         f"CASE WHEN endswith(x, '%') AND {body} RLIKE r'{_PLAIN}' THEN {_double(body)} / 100 "
-        f"WHEN x RLIKE r'{_FRAC}' THEN {_frac_value('x')} "
-        f"WHEN x RLIKE r'{_SLASH}' THEN {ratio} "
-        f"WHEN x RLIKE r'{_POWER}' THEN {_power_value('x')} "
+        f"WHEN contains(x, r'\\frac') AND x RLIKE r'{_FRAC}' THEN {_frac_value('x')} "
+        f"WHEN contains(x, '/') AND x RLIKE r'{_SLASH}' THEN {ratio} "
+        f"WHEN contains(x, '^') AND x RLIKE r'{_POWER}' THEN {_power_value('x')} "
         f"ELSE {_term_value('x')} END"
     )
 
 
+# fixed alphabet of every other number form, with a digit or pi somewhere
+_NUMERIC = r"\A(?=.*(?:[0-9π]|\\pi))[0-9A-Za-z.+*/^%{}\\π_=-]*\z"
+
+
 def _number_of(canon: Column) -> Column:
-    # plain decimals first; every other form needs a digit or pi, so words leave here
-    right_side = F.regexp_replace(canon, F.lit(_ASSIGN), F.lit(""))
+    right_side = F.when(
+        canon.contains("="), F.regexp_replace(canon, F.lit(_ASSIGN), F.lit(""))
+    ).otherwise(canon)
     return (
         F.when(canon.rlike(_PLAIN), canon.try_cast("double"))
-        .when(~canon.rlike(r"[0-9π]|\\pi"), F.lit(None).cast("double"))
-        .otherwise(_let(right_side, _slow_number()))
+        .when(canon.rlike(_NUMERIC), _let(right_side, _slow_number()))
     )
 
 

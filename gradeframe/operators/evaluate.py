@@ -38,7 +38,7 @@ def evaluate_responses(
     """
     label, parsed = F.col(answer), F.col("parsed_answer")
     wrapped = parsed.startswith("$") & parsed.endswith("$") & (F.length(parsed) >= 2)
-    candidate = F.when(wrapped, parsed).otherwise(_bind(parsed, final_answer))
+    candidate = F.when(wrapped, parsed).otherwise(_bind(parsed, lambda t: final_answer(t)))
     same = same_text(T.wrap_math(label), parsed)
     right = F.coalesce((equal or equivalent)(label, candidate), F.lit(False))
     return df.withColumn("parsed_answer", T.select_answer(resp, system_prompt)).withColumn(

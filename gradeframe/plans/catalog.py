@@ -16,7 +16,7 @@ from ..functions.equivalence import answers_equal, final_answer, parse_answer, s
 from ..functions.rewards import score
 from ..operators import generation, judging, metrics, records
 from ..operators.evaluate import evaluate_responses, judge_trials, with_equal
-from ..session import new_dir, shared_dir
+from ..session import new_dir, written
 from ..sources import readers, sinks
 from ..streaming import incremental
 from . import derived as D, jobs
@@ -710,7 +710,8 @@ def _(spark, sf):
 
 @query("u02_split_is_complete")
 def _(spark, sf):
-    judged = jobs.judge_result_rows(D.result_files(spark, sf))
+    # stored once, as the jobs do: each part would judge every row again otherwise
+    judged = written(jobs.judge_result_rows(D.result_files(spark, sf)), "judged")
     parts = records.matched(judged).withColumn("part", F.lit("match")).unionByName(
         records.mismatched(judged).withColumn("part", F.lit("mismatch"))
     )

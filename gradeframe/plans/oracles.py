@@ -239,7 +239,8 @@ _RULES = [
     (r"\\(?:left|right)\b|\\[!,;: ]", ""),
     (r"([0-9}])[ ~]*\\(?:text|mathrm|mbox)\{[^{}]*\}(?:\^\{?[0-9]\}?)?[. ]*$", r"\1"),
     (r"\\(?:text|textbf|mathrm|mathbf|mbox)\{([^{}]*)\}", r"\1"),
-    (r"\\[%$]", "%"),
+    (r"\\%", "%"),
+    (r"\\\$", ""),
     (r"\^?\{?\\(?:circ|degree)\b\}?|°", ""),
     (r"\{,\}", ","),
     (r"\s+", " "),
