@@ -312,22 +312,22 @@ def _(spark, sf):
     ).select("sid", F.col(names[0]).alias("caption"), F.col(names[1]).alias("thinking"))
 
 
-def _echo_model(batches):
-    """Stands in for a model: boxes the length of the prompt, or stops in a thought."""
-    for frame in batches:
-        n = frame["prompt"].str.len()
-        cut = n % 3 == 0
-        box = "so \\boxed{" + n.astype(str) + "}"
-        yield frame[[frame.columns[0]]].assign(
-            resp=box.where(~cut, "<think>it is " + n.astype(str)),
-            finish_reason=(~cut).map({True: "stop", False: "length"}),
-        )
-
-
 @query("j03_generate")
 def _(spark, sf):
+    # defined here so that it travels to the workers by value
+    def echo_model(batches):
+        """Stands in for a model: boxes the prompt's length, or stops in a thought."""
+        for frame in batches:
+            n = frame["prompt"].str.len()
+            cut = n % 3 == 0
+            box = "so \\boxed{" + n.astype(str) + "}"
+            yield frame[[frame.columns[0]]].assign(
+                resp=box.where(~cut, "<think>it is " + n.astype(str)),
+                finish_reason=(~cut).map({True: "stop", False: "length"}),
+            )
+
     prompts = D.responses(spark, sf).select("sid", F.col("resp").alias("prompt"))
-    return generation.generate(prompts, _echo_model, "sid")
+    return generation.generate(prompts, echo_model, "sid")
 
 
 @query("j04_salvage")

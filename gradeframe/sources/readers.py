@@ -61,7 +61,7 @@ def read_json_keyed(spark: SparkSession, path: str, schema: str, key: str = "rec
     A file is parsed by one task, as JSON without line structure has to be; write the
     rows as Parquet once (``sinks.write_parquet``) before scanning them often.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     records = F.from_json("value", f"map<string,struct<{_as_struct(schema)}>>")
     return text.select(F.explode(records).alias(key, "r")).select(key, "r.*")
 
