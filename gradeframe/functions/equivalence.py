@@ -113,7 +113,12 @@ def _rewrite_steps() -> str:
     degrees = r"\^?\{?\\(?:circ|degree)\b\}?|°"
     y = _step(y, _has(r"\circ", r"\degree", "°"), _sub("y", degrees, ""))
     y = _drop(y, ("{,}", ","))
-    spaces = _sub(_sub("y", r"[\s\xa0]+", " "), r" ?([^A-Za-z0-9 ]) ?", "$1")
+    # one blank per run, then none beside punctuation
+    spaces = _sub(
+        _sub("y", r"[\s\xa0]{2,}+|[\t-\r\xa0]", " "),
+        r" (?![A-Za-z0-9 ])|(?<![A-Za-z0-9 ]) ",
+        "",
+    )
     y = _step(y, r"y RLIKE r'[\s\xa0]'", spaces)
     y = _step(y, "endswith(y, '.')", _sub("y", r"(?<!\.)\.++\z", ""))
     braces = _sub("y", r"\\frac([0-9])([0-9])", r"\\frac{$1}{$2}")
@@ -331,8 +336,10 @@ def same_text(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 # ------------------------------------------------------------- answers in free text
 _MATH_SPAN = r"\$([^$]+)\$"
+# the last line with a digit, to look there before the whole text
+_LAST_DIGIT_LINE = r"(?s)\A(?:.*\n)?([^\n]*[0-9].*)\z"
 _NUMBER_IN_TEXT = (
-    r"(?:^|[^0-9A-Za-z.)}])([+-]?(?:\\d?frac\{[0-9]+\}\{[0-9]+\}"
+    r"(?<![0-9A-Za-z.)}])([+-]?(?:\\d?frac\{[0-9]+\}\{[0-9]+\}"
     r"|[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:/[0-9]+)?|\.[0-9]+)%?)"
 )
 _LETTER_IN_TEXT = r"\b([A-E])\b"
@@ -353,6 +360,10 @@ def final_answer(text: ColumnOrName, last_box: Column | None = None) -> Column:
     return F.coalesce(
         boxed_last(text) if last_box is None else last_box,
         F.when(text.contains("$"), _last_match(text, _MATH_SPAN)),
+        F.when(
+            text.contains("\n"),
+            _last_match(F.regexp_extract(text, _LAST_DIGIT_LINE, 1), _NUMBER_IN_TEXT),
+        ),
         _last_match(text, _NUMBER_IN_TEXT),
         _last_match(text, _LETTER_IN_TEXT),
         strip(text),

@@ -52,6 +52,26 @@ def judge_standard(df: DataFrame, dataset: Column | str = "dataset", equal: Equa
     return with_choice_match(df, "answer", "parsed_answer", choices, "question", dataset, equal)
 
 
+def trial_match(answer: str, model_answer: str, equal: EqualFn | None = None) -> Column:
+    """struct<normalized_answer, normalized_parsed_answer, is_match> of one trial.
+
+    Both answers are wrapped in ``$`` before they are compared; missing ones are empty.
+    """
+    blank = F.lit("")
+    pair = F.struct(
+        T.wrap_math(F.coalesce(answer, blank)).alias("a"),
+        T.wrap_math(F.coalesce(model_answer, blank)).alias("m"),
+    )
+    return _bind(
+        pair,
+        lambda p: F.struct(
+            p["a"].alias("normalized_answer"),
+            p["m"].alias("normalized_parsed_answer"),
+            equivalent_or_same(p["a"], p["m"], equal).alias("is_match"),
+        ),
+    )
+
+
 def judge_trials(
     df: DataFrame, require_verified: bool = False, equal: EqualFn | None = None
 ) -> DataFrame:
@@ -59,19 +79,18 @@ def judge_trials(
 
     ``is_kept`` marks the rows that count as trials: they have an image number and,
     with `require_verified`, a true flag.  Other rows stay, without a verdict, for
-    the totals.  Both answers are wrapped in ``$`` before they are compared.
+    the totals.
     """
-    blank = F.lit("")
     kept = F.col("image_key").isNotNull()
     if require_verified:
         kept = kept & F.coalesce(F.col("verify"), F.lit(False))
+    fields = ("normalized_answer", "normalized_parsed_answer", "is_match")
     df = df.withColumn("image_key", T.image_number("image")).withColumns(
-        {
-            "is_kept": kept,
-            "normalized_answer": T.wrap_math(F.coalesce("answer", blank)),
-            "normalized_parsed_answer": T.wrap_math(F.coalesce("parsed_answer", blank)),
-            "dataset_type": F.lit(K.DYNAMATH),
-        }
+        {"is_kept": kept, "dataset_type": F.lit(K.DYNAMATH)}
+    )
+    match = F.when(F.col("is_kept"), trial_match("answer", "parsed_answer", equal))
+    return (
+        df.withColumn("__match", match)
+        .withColumns({f: F.col(f"__match.{f}") for f in fields})
+        .drop("__match")
     )
-    df = with_equal(df, "is_match", "normalized_answer", "normalized_parsed_answer", equal)
-    return df.withColumn("is_match", F.when(F.col("is_kept"), F.col("is_match")))

@@ -52,7 +52,7 @@ def with_salvaged(
     without one keeps its closed partial text.
     """
     right = replies.select(F.col(id), F.col("resp").alias("__reply"))
-    joined = df.join(right, id, "left")
+    joined = df.join(right.hint("merge"), id, "left")
     cut = T.is_truncated_thought(resp, "finish_reason")
     text = F.when(
         cut,
@@ -71,9 +71,10 @@ def generate_with_salvage(
 ) -> DataFrame:
     """Both passes.  `materialize` stores the first pass (see ``session.written``), so
     that the model runs once per row however often the result is read."""
-    first = materialize(
-        df.select(id, prompt).join(generate(df, fn, id, prompt), id, "left")
-    )
-    second = materialize(generate(salvage_requests(first, id, prompt), salvage_fn, id))
+    first = materialize(generate(df, fn, id, prompt))
+    cut = first.filter(T.is_truncated_thought("resp", "finish_reason"))
+    # only cut-off rows need their prompt again
+    again = cut.join(df.select(id, F.col(prompt).alias("prompt")), id)
+    second = materialize(generate(salvage_requests(again, id), salvage_fn, id))
     done = with_salvaged(first, second, id).select(id, "resp", "finish_reason")
-    return df.join(done, id, "left")
+    return df.join(done.hint("merge"), id, "left")

@@ -55,10 +55,12 @@ def with_responses(
 ) -> DataFrame:
     """Join judge responses by id; a row without a response keeps NULL.
 
-    The join picks its own strategy; adaptive execution splits a skewed key.
+    Responses grow with the completions, so they are merged, never broadcast: size
+    estimates of derived tables are too low to trust.  Adaptive execution splits a
+    skewed id.
     """
     right = responses.select(F.col("id").alias(id), F.col("judge_resp").alias(out))
-    return df.join(right, id, "left")
+    return df.join(right.hint("merge"), id, "left")
 
 
 def score_judged(

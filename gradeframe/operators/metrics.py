@@ -197,12 +197,20 @@ def percent_texts(df: DataFrame, *ratios: str) -> DataFrame:
 
 
 def cross_file_summary(df: DataFrame, file: str = "file", flag: str = "is_match") -> DataFrame:
-    """Counts per file and, with a NULL file, over all files: one scan, grouping sets."""
-    return df.groupingSets([[F.col(file)], []], F.col(file)).agg(
+    """Counts per file and, with a NULL file, over all files.
+
+    The total is a grouping set over the per-file rows, so that input rows are neither
+    read nor expanded twice.
+    """
+    counts = ("total_records", "match_count", "verify_true_count")
+    per = df.groupBy(file).agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(_flag(flag)).alias("match_count"),
         F.count_if(_flag("verify")).alias("verify_true_count"),
     )
+    return per.groupingSets([[F.col(file)], []], F.col(file)).agg(
+        *(F.sum(c).alias(c) for c in counts)
+    )
 
 
 def sharded_accuracy(

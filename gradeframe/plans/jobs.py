@@ -8,10 +8,11 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as K, text as T
+from ..functions.choices import choice_match
 from ..functions.equivalence import EqualFn
 from ..functions.prompts import build_prompt
 from ..operators import generation, metrics, records
-from ..operators.evaluate import evaluate_responses, judge_standard, judge_trials
+from ..operators.evaluate import evaluate_responses, trial_match
 from ..schemas import RESPONSES
 from ..session import written
 from ..sources import readers, sinks
@@ -42,35 +43,36 @@ def judge_result_rows(
 ) -> DataFrame:
     """Judge rows of any mix of result files by the kind of file they come from.
 
-    Needs ``file``; rows of repeated-trial files follow `judge_trials`, all others
-    `judge_standard`.  A filter on the file name reaches the file listing, so each file
-    is read by one of the two branches only.
+    Needs ``file``.  Rows of repeated-trial files are compared as `judge_trials` does,
+    all others as `judge_standard`, in one pass: a row only evaluates its own branch,
+    and rows that cannot be judged evaluate neither.
     """
-    df = df.withColumns(
-        {
-            "verify": _column(df, "verify", "boolean"),
-            "image": _column(df, "image", "string"),
-            "choices": _column(df, "choices", "array<string>"),
-            "dataset": T.dataset_from_file("file"),
-        }
-    )
-    trials = (
-        judge_trials(df.filter(T.is_trial_file("file")), require_verified, equal)
-        .withColumns({"is_trial": F.lit(True), "is_scored": F.col("is_kept")})
-        .select(*JUDGED)
-    )
-    standard = df.filter(~T.is_trial_file("file")).withColumns(
-        {
-            "is_trial": F.lit(False),
-            "is_scored": records.has_fields(),
-            "image_key": F.lit(None).cast("bigint"),
-            "dataset_type": F.col("dataset"),
-        }
+    trial = F.col("is_trial")
+    kept = F.col("image_key").isNotNull()
+    if require_verified:
+        kept = kept & F.coalesce(F.col("verify"), F.lit(False))
+    df = (
+        df.withColumns(
+            {
+                "verify": _column(df, "verify", "boolean"),
+                "image": _column(df, "image", "string"),
+                "choices": _column(df, "choices", "array<string>"),
+                "dataset_type": T.dataset_from_file("file"),
+                "is_trial": T.is_trial_file("file"),
+            }
+        )
+        .withColumn("image_key", F.when(trial, T.image_number("image")))
+        .withColumn("is_scored", F.when(trial, kept).otherwise(records.has_fields()))
     )
-    standard = judge_standard(standard, "dataset", equal).withColumn(
-        "is_match", F.when(F.col("is_scored"), F.col("is_match"))
+    as_trial = trial_match("answer", "parsed_answer", equal)
+    as_choice = choice_match(
+        "answer", "parsed_answer", "choices", "question", "dataset_type", equal
     )
-    return trials.unionByName(standard.select(*JUDGED))
+    match = F.when(F.col("is_scored"), F.when(trial, as_trial).otherwise(as_choice))
+    fields = ("normalized_answer", "normalized_parsed_answer", "is_match")
+    return df.withColumn("__match", match).withColumns(
+        {f: F.col(f"__match.{f}") for f in fields}
+    ).select(*JUDGED)
 
 
 def process_result_files(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed as K, text as T
 from ..schemas import BENCHMARK_SCHEMAS, RESPONSES
+from ..session import written
 
 def _parsed_lines(lines: DataFrame, schema: str, strict: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``value``, one JSON object each, by a declared schema.
@@ -132,6 +133,11 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     )
 
 
+# A split is a path and two numbers: this many take a few tens of megabytes.  More are
+# joined by a shuffle.
+BROADCAST_SPLITS = 100_000
+
+
 def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
     """Add the 0-based row number within each file, in file order.
 
@@ -147,8 +153,12 @@ def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
             "__mono": F.monotonically_increasing_id(),
         }
     )
-    blocks = numbered.groupBy(*block).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__first")
+    # one row per split, stored so that counting them does not read the files again
+    blocks = written(
+        numbered.groupBy(*block).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__first")
+        ),
+        "splits",
     )
     before = Window.partitionBy("__file").orderBy("__start").rowsBetween(
         Window.unboundedPreceding, -1
@@ -157,9 +167,9 @@ def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
         *block,
         (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
     )
+    if blocks.count() <= BROADCAST_SPLITS:
+        shifts = F.broadcast(shifts)
     out = numbered.join(shifts, block).withColumn(
         ordinal, (F.col("__mono") + F.col("__shift")).cast("bigint")
     )
     return out.drop("__mono", "__shift", *block)
-
-

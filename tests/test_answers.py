@@ -43,7 +43,8 @@ def test_final_answer(values):
     cases = {
         "the answer is 12": "12", "so $x$ and $\\frac{1}{2}$.": "\\frac{1}{2}", "it is B, or C": "C",
         "A1 x-5": "5", "cost 1,234.50 dollars": "1,234.50", " hello ": "hello", "\\boxed{7} then 8": "7",
-        "\\boxed{7} \\boxed{8": "8", "image20.png": "image20.png",
+        "\\boxed{7} \\boxed{8": "8", "image20.png": "image20.png", "x 4\nno\ny 5 and 6.5\n\nend": "6.5",
+        "7\nx8": "7", "5-3": "3", "\n-2\n": "-2", "is 3/4.": "3/4",
     }
     assert values(list(cases), final_answer("t")) == list(cases.values())
 
