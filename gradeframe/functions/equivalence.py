@@ -102,7 +102,7 @@ def _rewrite_steps() -> str:
         _has("\\"),
         _sub(
             _drop("y", (r"\dfrac", r"\frac"), (r"\tfrac", r"\frac"), (r"\%", "%"), (r"\$", "")),
-            r"\\(?:left|right)\b|\\[!,;: ]",
+            r"\\(?:left|right)(?![A-Za-z])|\\[!,;: ]",
             "",
         ),
     )
@@ -110,7 +110,7 @@ def _rewrite_steps() -> str:
     unit = r"([0-9}])[ ~]*\\(?:text|mathrm|mbox)\{[^{}]*\}(?:\^\{?[0-9]\}?)?[. ]*\z"
     words = r"\\(?:text|textbf|mathrm|mathbf|mbox)\{([^{}]*)\}"
     y = _step(y, _has(r"\text", r"\math", r"\mbox"), _sub(_sub("y", unit, "$1"), words, "$1"))
-    degrees = r"\^?\{?\\(?:circ|degree)\b\}?|°"
+    degrees = r"\^?\{?\\(?:circ|degree)(?![A-Za-z])\}?|°"
     y = _step(y, _has(r"\circ", r"\degree", "°"), _sub("y", degrees, ""))
     y = _drop(y, ("{,}", ","))
     # one blank per run, then none beside punctuation
@@ -125,7 +125,11 @@ def _rewrite_steps() -> str:
     braces = _sub(braces, r"\\sqrt([0-9])", r"\\sqrt{$1}")
     y = _step(y, _has(r"\frac", r"\sqrt"), braces)
     y = _step(y, _has("^{"), _sub("y", r"\^\{([A-Za-z0-9])\}", r"^$1"))
-    zeros = _sub(_sub("y", r"([0-9])\.0+\b", "$1"), r"(\.[0-9]*[1-9])0+\b", "$1")
+    zeros = _sub(
+        _sub("y", r"([0-9])\.0++(?![0-9A-Za-z_])", "$1"),
+        r"(\.[0-9]*[1-9])0++(?![0-9A-Za-z_])",
+        "$1",
+    )
     return _step(y, _has("."), zeros)
 
 
@@ -342,7 +346,7 @@ _NUMBER_IN_TEXT = (
     r"(?<![0-9A-Za-z.)}])([+-]?(?:\\d?frac\{[0-9]+\}\{[0-9]+\}"
     r"|[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:/[0-9]+)?|\.[0-9]+)%?)"
 )
-_LETTER_IN_TEXT = r"\b([A-E])\b"
+_LETTER_IN_TEXT = r"(?<![\p{L}\p{N}_])([A-E])(?![\p{L}\p{N}_])"
 
 
 def _last_match(text: Column, pattern: str) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as K, prompts as P, text as T
-from ..functions.choices import with_choice_match
+from ..functions.choices import choice_info, with_choice_match
 from ..functions.equivalence import answers_equal, final_answer, parse_answer, same_text
 from ..functions.rewards import score
 from ..operators import generation, judging, metrics, records
@@ -99,6 +99,12 @@ _on_responses(
 _on_responses("e01b_final_answer", lambda: final_answer("resp"))
 
 
+@query("e01b_final_answer_of_texts")
+def _(spark, sf):
+    docs = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", final_answer("text").alias("value"))
+
+
 @query("d08_options_from_question")
 def _(spark, sf):
     items = D.choice_items(spark, sf)
@@ -199,6 +205,22 @@ def _(spark, sf):
     )
 
 
+@query("e02a_choice_info")
+def _(spark, sf):
+    items = D.choice_items(spark, sf).filter("choices IS NOT NULL")
+    options = F.array().cast(T.OPTIONS_TYPE)
+    info = choice_info(T.strip("answer"), "choices", options)
+    return items.withColumn("i", info).select("item_id", "i.letter", "i.index", "i.text")
+
+
+@query("h06_lookup_by_name")
+def _(spark, sf):
+    # one row per benchmark: a fixed handful, so the broadcast cannot grow
+    config = spark.createDataFrame(sorted(K.IMAGE_DIRS.items()), "dataset string, folder string")
+    items = D.bench_items(spark, sf).select("item_id", "dataset")
+    return items.join(F.broadcast(config), "dataset")
+
+
 @query("x05_custom_equality")
 def _(spark, sf):
     def same_lower(a: Column, b: Column) -> Column:

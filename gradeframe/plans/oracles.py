@@ -233,6 +233,12 @@ def select_answer(found: str, resp: str = "resp") -> str:
     return f"coalesce(case when {found} <> '' then {wrap(found)} end, {strip(resp)})"
 
 
+def final_answer_of_text(x: str) -> str:
+    """`final_answer` where words may hold any letters."""
+    letter = r"'(?:^|[^\p{L}\p{N}_])([A-E])(?:[^\p{L}\p{N}_]|$)'"
+    return final_answer(x).replace("'\\b([A-E])\\b'", letter)
+
+
 # ------------------------------------------------------------------ answer equality
 _RULES = [
     (r"\\[dt]frac", r"\\frac"),
@@ -496,6 +502,19 @@ O["l06_json_fields"] = (
     "select event_id, cast(json_extract(props, '$.k') as bigint) as k, array_to_string(json_keys(props), ',') as keys from events"
 )
 
+O["e01b_final_answer_of_texts"] = (
+    f"select doc_id, {final_answer_of_text('text')} as value from documents"
+)
+O["e02a_choice_info"] = (
+    _with(CHOICES, OPTIONS, "c1 as (select *, trim(answer) as a, choices as ch from cl where choices is not null)",
+          f"c2 as (select *, {_choice('a', 'a')} from c1)", f"c3 as (select *, {_choice_text('a', 'a')} from c2)")
+    + "select item_id, a_n as letter, cast(a_i as int) as index, a_t as text from c3"
+)
+O["h06_lookup_by_name"] = (
+    _with(ITEMS) + "select item_id, dataset, case dataset "
+    + " ".join(f"when '{d}' then '{p}'" for d, p in K.IMAGE_DIRS.items()) + " end as folder from i"
+)
+
 # ------------------------------------------------------------------- equivalence
 _PP = _with(PAIRS, parsed("p", {"x": "answer", "y": "model_answer"}, "e"))
 O["e01_equivalent"] = (

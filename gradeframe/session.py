@@ -26,12 +26,16 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a session that names none (tests) gets a temporary folder, once.
+    Only a local session that names none (tests) gets a temporary folder, once.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.gradeframe.dir", None)
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.gradeframe.dir", None)
+    )
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gradeframe-")
         spark.conf.set("spark.gradeframe.dir", folder)
     return folder.rstrip("/")
