@@ -230,8 +230,7 @@ def sharded_accuracy(
     of its images that are right in every trial.
 
     Batch and shard are arithmetic on the ordinal, so no window is needed; only the
-    length of the last batch depends on the row count per group, which is one small
-    aggregate.
+    length of the last batch depends on the row count.
     """
     by = list(by)
     rows = df.select(
@@ -242,12 +241,13 @@ def sharded_accuracy(
         *([T.image_folder_key(worst_case_image).alias("__key")] if worst_case_image else []),
     )
     if by:
-        totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
-        rows = rows.join(totals, by)
-        total = F.col("__total")
+        # joined per batch, not per group: batches are all of one size, so no key is hot
+        lengths = rows.groupBy(*by, "__batch").agg(F.count(F.lit(1)).alias("__length"))
+        rows = rows.join(lengths.hint("merge"), [*by, "__batch"])
+        length = F.col("__length")
     else:
         total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
-    length = F.least(F.lit(batch_size), total - F.col("__batch") * batch_size)
+        length = F.least(F.lit(batch_size), total - F.col("__batch") * batch_size)
     per_shard = F.ceil(length / n_shards)
     rows = rows.withColumn("__shard", F.floor(F.col("__pos") / per_shard).cast("int"))
     keys = [*by, "__batch", "__shard"]
