@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` would; once a context."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    version = hashlib.sha256(held.getvalue()).hexdigest()[:16]
+    key = (spark.sparkContext.applicationId, version)
+    if key not in _SHIPPED:
+        path = os.path.join(tempfile.mkdtemp(prefix="gradeframe-"), f"gradeframe-{version}.zip")
+        with open(path, "wb") as f:
+            f.write(held.getvalue())
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(key)
+
+
 def remove_table(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store once nothing reads it any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,7 +104,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 8
     """Cut Arrow batches so that each holds about ``most`` bytes of text (or one row)."""
     for batch in batches:
         column = batch.column(text)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
         ends = np.cumsum(sizes.astype(np.int64))
         start = 0
         while start < batch.num_rows:

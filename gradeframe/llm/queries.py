@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import bpe, langid, mixing, quality, sharding
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.byte_shards(table(spark, sf_dir, "documents"), 16)
     return shards.select(
@@ -21,5 +42,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op10_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op4_mixing, op9_bpe, op10_sharding)}
+
+_N = ", ".join(f"({n})" for n in quality.REPEATED)
+_DUP = ", ".join(f"coalesce(sum(len) filter (where n = {n}), 0)::bigint dup_chars_{n}" for n in quality.REPEATED)
+_OVER = " or ".join(f"100 * coalesce(dup_chars_{n}, 0) > {most} * word_chars" for n, most in quality.REPEATED.items())
+_OUT = ", ".join(f"coalesce(dup_chars_{n}, 0) dup_chars_{n}" for n in quality.REPEATED)
+
+OP2 = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from d),
+g as (
+  select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as gram
+  from (select doc_id, ws, generate_subscripts(ws, 1) as i from d), (values {_N}) as t(n) where i + n - 1 <= len(ws)),
+r as (
+  select doc_id, n, i, count(*) over (partition by doc_id, n, gram) as times, row_number() over (partition by doc_id, n, gram order by i) as nth from g),
+c as (
+  select distinct r.doc_id, n, r.i + k.k as i, false as first_too from r, generate_series(0, 9) as k(k) where nth > 1 and k.k < n
+  union all
+  select distinct r.doc_id, n, r.i + k.k as i, true from r, generate_series(0, 4) as k(k) where times > 1 and n = 5),
+l as (select c.*, length(word) as len from c join w on c.doc_id = w.doc_id and c.i = w.i),
+s as (select doc_id, {_DUP} from l where not first_too group by doc_id),
+q as (select doc_id, count(*) as n_repeat_words from l where first_too group by doc_id),
+lines as (
+  select doc_id, line, row_number() over (partition by doc_id, line order by no) as nth
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from d)
+  where regexp_matches(line, '[^\x20\x09-\x0D]')),
+n as (
+  select doc_id, count(*) as n_lines, count(*) filter (where nth > 1) as n_dup_lines, sum(length(line)) as line_chars,
+    coalesce(sum(length(line)) filter (where nth > 1), 0) as dup_line_chars
+  from lines group by doc_id),
+b as (
+  select doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    coalesce(n_lines, 0)::bigint as n_lines, coalesce(line_chars, 0)::bigint as line_chars, coalesce(dup_line_chars, 0)::bigint as dup_line_chars, {_OUT}
+  from d left join s using (doc_id) left join q using (doc_id) left join n using (doc_id)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b)
+select *, not (base_failed or {_OVER} or 100 * n_dup_lines > {quality.LINES} * n_lines or 100 * dup_line_chars > {quality.LINE_CHARS} * line_chars) as kept
+from f
+"""
+
+ORACLES: dict[str, str] = {"op2_quality": OP2}
