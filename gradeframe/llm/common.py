@@ -136,6 +136,51 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
         return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def grown(hashes: np.ndarray, n: int, last: np.ndarray | None = None) -> np.ndarray:
+    """Rolling hashes of all n-word windows; ``last``: those of n - 1 words."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    if last is None:
+        last = hashes
+        for k in range(2, n + 1):
+            last = grown(hashes, k, last)
+        return last
+    return last[: max(0, len(hashes) - n + 1)] * base + hashes[n - 1 :]
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WEIGHTS = mix64(np.arange(1, 4097, dtype=np.uint64))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and at which word each text starts.
+
+    Words are runs of bytes without ASCII white space.  The hash is a weighted sum of the
+    bytes, so one pass over the joined texts gives all of them.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([0, *map(len, texts)])
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    inside = ~_IS_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cuts = ends[1:-1][ends[1:-1] < len(data)]
+    first[cuts] = inside[cuts]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    place = np.arange(len(data), dtype=np.int64) - starts[np.maximum(0, np.cumsum(first) - 1)]
+    np.maximum(place, 0, out=place)
+    weight = _WEIGHTS[place & 4095]
+    if place.max() > 4095:
+        weight = np.where(place > 4095, mix64(place), weight)
+    value = weight * (data.astype(np.uint64) + np.uint64(1))
+    value[~inside] = 0
+    hashes = mix64(np.add.reduceat(value, starts))
+    return hashes, np.searchsorted(starts, ends)
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, component), component the smallest id.
 

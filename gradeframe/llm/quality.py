@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship, text_batches
+from .common import grown, ship, text_batches
 
 # Most percent of word characters inside repeated n-grams, by n.
 REPEATED = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
@@ -27,16 +27,6 @@ def code_points(data: bytes) -> int:
     return len(data.decode("utf-8", "replace"))
 
 
-def grown(hashes: np.ndarray, n: int, last: np.ndarray | None = None) -> np.ndarray:
-    """Rolling hashes of all n-word windows; ``last``: those of n - 1 words."""
-    if last is None:
-        last = hashes
-        for k in range(2, n + 1):
-            last = grown(hashes, k, last)
-        return last
-    return last[: max(0, len(hashes) - n + 1)] * BASE + hashes[n - 1 :]
-
-
 def covered(windows: np.ndarray, marked: np.ndarray, n: int) -> np.ndarray:
     """Words inside marked n-word windows."""
     edge = np.zeros(len(windows) + n, np.int32)

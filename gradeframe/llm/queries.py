@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, sharding
+from . import ann, bpe, langid, minmax, mixing, quality, sharding, warc
 from .common import table
 
 
@@ -26,11 +26,30 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents"))
 
 
+def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minmax.near_duplicates(docs, shingle=3, percent=85)
+    return found.select("doc.doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = warc.archived(table(spark, sf_dir, "pages"))
+    number = lambda column: F.regexp_extract(column, "<urn:x-page:(-?[0-9]+)>", 1).try_cast("bigint")
+    return rows.where("last").select(
+        number("record_id").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
+        "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"),
+    )
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -42,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op4_mixing, op9_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_minmax_dedup, op4_mixing, op7_warc, op8_ann, op9_bpe, op10_sharding)}
 
 _N = ", ".join(f"({n})" for n in quality.REPEATED)
 _DUP = ", ".join(f"coalesce(sum(len) filter (where n = {n}), 0)::bigint dup_chars_{n}" for n in quality.REPEATED)
@@ -83,4 +102,13 @@ select *, not (base_failed or {_OVER} or 100 * n_dup_lines > {quality.LINES} * n
 from f
 """
 
-ORACLES: dict[str, str] = {"op2_quality": OP2}
+OP7 = """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+g as (select *, max(page_id) over (partition by html) as response from p)
+select page_id, n::bigint as payload_bytes, sha1(html) as payload_digest,
+  case when n >= 1000 and page_id < response then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id < response then response end as refers_to
+from g
+"""
+
+ORACLES: dict[str, str] = {"op2_quality": OP2, "op7_warc": OP7}
