@@ -1,12 +1,80 @@
-"""From raw documents to token ids, in stages that are written and read again."""
+"""From raw documents to token ids, in stages that are written and read again.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the
+columns of ``documents``, whatever these are beside doc_id, text, lang, source, n_chars.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradeframe.llm import bpe, langid, minmax, mixing, suffix
+from gradeframe.llm.common import WORD
+from gradeframe.llm.queries import tokenizer_path
+from gradeframe.session import written
+
+#: A document goes if less than this share of its letters is in one learned language.
+LEAST_SHARE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach.
+
+    Null, empty and letterless texts go, and those of which no language has LEAST_SHARE.
+    """
+    found = langid.identify(docs, langid.fit(docs), carry=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles at a similarity of 0.8."""
+    return minmax.near_duplicates(docs, shingle=5, percent=80).where("stays").select("doc.*")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings of earlier documents; documents that keep no word go.
+
+    A character of which a part was removed goes whole.  ``n_chars`` is counted anew.
+    """
+    found = suffix.without_repeats(docs)
+    kept = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    text = F.when(F.col("n_removed") > 0, kept).otherwise(F.col("doc.text"))
+    rows = found.select("doc", text.alias("text")).where(F.regexp_like("text", F.lit(WORD)))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return rows.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, once for each pass over their source that reaches them.
+
+    The last document that a pass reaches is taken whole.
+    """
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
+    chosen = mixing.mix_sources(docs, row="__row").pieces.select("rid", "epoch").distinct()
+    return docs.join(chosen, docs["__row"] == F.col("rid")).select(*[c for c in docs.columns if c != "__row"])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding", encode),
+]
 
-STAGES: list = []
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{n}")
+    return docs

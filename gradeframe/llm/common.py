@@ -63,6 +63,7 @@ class Scratch:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         self.paths[name] = path
+        self.spark._jvm.System.gc()  # Spark removes shuffle files of plans that are garbage
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -165,15 +165,16 @@ SCHEMA = T.StructType([
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, n_words, spans.
+def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: doc, lang_pred, score, n_words, spans.
 
+    ``doc``: struct of the columns to ``carry``.
     ``spans``: runs of words (letters only, counted from 0) with one language.
     ``lang_pred``: the language of most letters, ties to the first by name; ``score``: its
     share of the letters, counting as evidence only words in a script that some language
     uses.  ``und`` with score 0 if the text is null, has no letter, or nothing was learned.
     Texts are read whole.  Repeated rows are labelled each, an empty table gives no rows;
-    only doc_id and text are read.
+    only the text decides, other columns may be null and have any name.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -207,8 +208,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
                     pred[i], share[i] = own.langs[best[i]], proof[i, best[i]] / by[i].sum()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(share), pa.array(np.diff(starts)), pa.array(spans, SPANS)],
-                ["doc_id", *SCHEMA.names],
+                ["doc", *SCHEMA.names],
             )
 
-    schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
-    return docs.select("doc_id", docs.text.cast("binary").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.struct(*carry).alias("doc"), docs.text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *SCHEMA.fields]))

@@ -47,20 +47,21 @@ def targets(sizes: list[tuple[str | None, int]], weights=(3, 1, 2), share: float
         fixed |= over
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: int = 256, seed: int = 11) -> Mix:
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: int = 256, seed: int = 11, row: str | None = None) -> Mix:
     """The mix of all documents by source.
 
     ``size``: words of the text, 0 for null or empty texts, which are never taken.  A null
     source is a source of its own.  Repeated rows are separate documents, ordered among
     themselves arbitrarily but with the same sizes.  Reruns give the same mix: order
     depends on doc_id, seed and size only.  An empty table, or one without words, gives a
-    mix without slots.  Other columns are ignored.
+    mix without slots.  ``row`` names a column that identifies rows, to be ``rid`` of the
+    result; otherwise rows are numbered.  Other columns are ignored.
 
     One row per *source* (not per document) goes through the driver.
     """
     spark = docs.sparkSession
-    narrow = docs.select("doc_id", F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    narrow = written(narrow.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
+    narrow = docs.select("doc_id", (F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    narrow = written(narrow, "mix-sizes")
     by_source = [(r[0], r[1]) for r in narrow.groupBy("source").agg(F.sum("size")).collect()]
     by_source.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     goal = targets(by_source, weights, share) if by_source else []

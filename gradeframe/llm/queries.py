@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, minmax, mixing, quality, sharding, warc
+from . import ann, bpe, langid, minmax, mixing, quality, sharding, suffix, training_order, warc
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = langid.fit(docs.where(~held_out))
-    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
+    return langid.identify(docs, model).select("doc.doc_id", "lang_pred", "score", "n_words").withColumn("held_out", held_out)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +43,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = training_order.materialise(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern(), end=50256)
+    rows = training_order.read_shards(spark, shards)
+    return rows.select("slot", "shard", "doc_id", "seq_no", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = warc.archived(table(spark, sf_dir, "pages"))
     number = lambda column: F.regexp_extract(column, "<urn:x-page:(-?[0-9]+)>", 1).try_cast("bigint")
@@ -61,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_minmax_dedup, op4_mixing, op7_warc, op8_ann, op9_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_minmax_dedup, op4_mixing, op5_training_order, op6_suffix_dedup, op7_warc, op8_ann, op9_bpe, op10_sharding)}
 
 _N = ", ".join(f"({n})" for n in quality.REPEATED)
 _DUP = ", ".join(f"coalesce(sum(len) filter (where n = {n}), 0)::bigint dup_chars_{n}" for n in quality.REPEATED)
