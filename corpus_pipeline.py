@@ -51,8 +51,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The last document that a pass reaches is taken whole.
     """
     docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    chosen = mixing.mix_sources(docs, row="__row").pieces.select("rid", "epoch").distinct()
-    return docs.join(chosen, docs["__row"] == F.col("rid")).select(*[c for c in docs.columns if c != "__row"])
+    chosen = mixing.mix_sources(docs, row="__row").pieces.select(F.col("rid").alias("__rid"), "epoch").distinct()
+    return docs.join(chosen.drop("epoch"), F.col("__row") == F.col("__rid")).select(*[c for c in docs.columns if c != "__row"])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
