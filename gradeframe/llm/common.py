@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
 import os
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gradeframe.session import new_dir, written
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -52,6 +54,20 @@ def remove_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run here remove their shuffle files when they have ended.
+
+    The result is a written table by then, so nothing would read them again.
+    """
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, old) if old is not None else spark.conf.unset(CLEANUP)
+
+
 class Scratch:
     """Written intermediate tables of one operator call, which can be dropped early."""
 
@@ -61,9 +77,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = new_dir(self.spark, f"{self.label}-{name}")
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        with shuffles_removed(self.spark):
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         self.paths[name] = path
-        self.spark._jvm.System.gc()  # Spark removes shuffle files of plans that are garbage
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
