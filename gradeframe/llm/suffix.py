@@ -37,64 +37,73 @@ SEGMENT = 1 << 20
 BEYOND = 256  # stands for what lies outside a document
 FIRST = mix64(np.arange(1000, 1257, dtype=np.uint64))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0xD1342543DE82EF95
 
 
-def joined(names: np.ndarray, offset: int, salt: int) -> np.ndarray:
-    """Names of longer strings: that at a position with that ``offset`` bytes on."""
-    return mix64(names[: len(names) - offset] * GOLD ^ (names[offset:] + np.uint64(salt)))
+def joined(names: np.ndarray, n: int, offset: int) -> np.ndarray:
+    """Names of n + offset bytes from those of n bytes: the string's and that ``offset`` on."""
+    return names[: len(names) - offset] * np.uint64(pow(BASE, n, 1 << 64)) + names[offset:]
 
 
 class Names:
     """Names of all strings of some texts, which lie behind each other with gaps.
 
-    ``at``: where a 50-byte string starts; ``doc``, ``byte``: the text and the byte there;
-    ``place``: number of the position that stands for the string; ``key``, ``around``: its
-    28-byte name and the name of its surroundings, by number; ``long``: the string's name.
+    By 50-byte string: ``at``, where it starts, ``doc`` and ``byte``, the text and the byte
+    there, ``place``, the number of the position that stands for it.  By number of the
+    position: ``owner``, its text, ``key``, its 28-byte name, and ``around``, the name of
+    its surroundings.
     """
 
-    def __init__(self, pieces: list[tuple[int, bytes, int, int, int]], want_long: bool):
+    def __init__(self, pieces: list[tuple[int, bytes, int, int, int]]):
         # a piece: text number, its bytes, offset of these in the text, first and last + 1 string start
         gap = np.full(REACH, BEYOND, np.uint16)
         parts, at, doc, byte, total = [gap], [], [], [], REACH
         for number, data, offset, first, stop in pieces:
-            parts += [np.frombuffer(data, np.uint8).astype(np.uint16), gap]
+            parts += [np.frombuffer(data, np.uint8), gap]
             starts = np.arange(first, stop)
-            at.append(starts - offset + total)
-            doc.append(np.full(len(starts), number))
+            at.append(starts + (total - offset))
+            doc.append(np.full(len(starts), number, np.int32))
             byte.append(starts)
             total += len(data) + REACH
         self.at, self.doc, self.byte = map(np.concatenate, (at, doc, byte))
-        names = FIRST[np.concatenate(parts)]
-        held = {1: names}
-        for n in (1, 2, 4, 8, 16):
-            held[2 * n] = joined(held[n], n, 2 * n)
-        small = SHORT  # 5 bytes: 4 and one more
-        choice = joined(held[4], small - 4, small)
-        span = LENGTH - small + 1
+        n1 = FIRST[np.concatenate(parts, dtype=np.uint16)]
+        n4 = joined(joined(n1, 1, 1), 2, 2)
+        n16 = joined(joined(n4, 4, 4), 8, 8)
+        self.n32 = joined(n16, 16, 16)
+        # the smallest short name inside the string chooses; ties go to the first
         low = np.uint64((1 << 24) - 1)
-        best = (choice & ~low) | np.arange(len(choice), dtype=np.uint64)  # ties go to the first
-        width = 1
+        best = joined(n4, 4, SHORT - 4) * GOLD & ~low
+        best |= np.arange(len(best), dtype=np.uint64)
+        width, span = 1, LENGTH - SHORT + 1
         while width < span:
             step = min(width, span - width)
             best = np.minimum(best[: len(best) - step], best[step:])
             width += step
-        chosen = (best[self.at] & low).astype(np.int64)
-        position = self.at + (chosen - self.at) % (REACH + 1)
-        places, self.place = np.unique(position, return_inverse=True)
-        self.owner = np.empty(len(places), np.int64)
+        position = (best[self.at] & low).astype(np.int64)
+        position = self.at + (position - self.at) % (REACH + 1)
+        chosen = np.zeros(total, bool)
+        chosen[position] = True
+        places = np.flatnonzero(chosen)
+        self.place = (np.cumsum(chosen) - 1)[position]
+        self.owner = np.empty(len(places), np.int32)
         self.owner[self.place] = self.doc
-        start = joined(held[16], START - 16, START)
-        self.key = (start[places] >> np.uint64(16)).astype(np.int64)
-        wide = held[32]
-        around = mix64(wide[places - REACH] * GOLD ^ wide[places - REACH + 32])
-        self.around = mix64(around * GOLD ^ wide[places + LENGTH - 32]).view(np.int64)
-        self.long = None
-        if want_long:
-            a, b = wide[self.at], wide[self.at + LENGTH - 32]
-            self.long = (mix64(a * GOLD ^ (b + np.uint64(LENGTH))).view(np.int64), mix64(b * GOLD ^ mix64(a ^ np.uint64(LENGTH))).view(np.int64))
-
-
-def named(texts: list[bytes], want_long: bool = False) -> Iterator[Names]:
+        start = n16[places] * np.uint64(pow(BASE, 16, 1 << 64)) + n16[places + START - 16]
+        self.key = (mix64(start) >> np.uint64(16)).astype(np.int64)
+        around = mix64(mix64(self.n32[places - REACH]) + self.n32[places - REACH + 32])
+        self.around = mix64(around + self.n32[places + LENGTH - 32]).view(np.int64)
+
+    def long(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two names of 64 bits of the chosen 50-byte strings."""
+        a, b = self.n32[self.at[strings]], self.n32[self.at[strings] + LENGTH - 32]
+        return mix64(mix64(a) + b).view(np.int64), mix64(mix64(b ^ GOLD) + a).view(np.int64)
+
+
+def of_text(values: np.ndarray, text: np.ndarray | int) -> np.ndarray:
+    """Values marked by the text of the batch that they belong to."""
+    return mix64(values.view(np.uint64) ^ mix64(np.atleast_1d(text).astype(np.uint64) + np.uint64(1)))
+
+
+def named(texts: list[bytes]) -> Iterator[Names]:
     """Names of all 50-byte strings of the texts, a bounded number of bytes at a time."""
     pieces, held = [], 0
     for number, data in enumerate(texts):
@@ -106,10 +115,10 @@ def named(texts: list[bytes], want_long: bool = False) -> Iterator[Names]:
             pieces.append((number, data[lo:hi], lo, first, stop))
             held += hi - lo
             if held >= SEGMENT:
-                yield Names(pieces, want_long)
+                yield Names(pieces)
                 pieces, held = [], 0
     if pieces:
-        yield Names(pieces, want_long)
+        yield Names(pieces)
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -119,7 +128,7 @@ def positions(docs: DataFrame) -> DataFrame:
         for batch in text_batches(batches, most=2 << 20):
             ids = np.asarray(batch.column(0))
             for n in named([x.as_py() or b"" for x in batch.column(1)]):
-                _, first = np.unique(mix64(n.around.view(np.uint64) ^ mix64(n.owner)), return_index=True)
+                _, first = np.unique(of_text(n.around, n.owner), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n.key[first]), pa.array(n.around[first]), pa.array(ids[n.owner[first]])], ["key", "around", "id"])
 
     return docs.mapInArrow(run, "key bigint, around bigint, id bigint")
@@ -175,11 +184,11 @@ def strings(docs: DataFrame) -> DataFrame:
         for batch in text_batches(batches, most=2 << 20):
             ids = np.asarray(batch.column(0))
             wanted = [np.asarray(x.values) for x in batch.column(2)]
-            marks = np.unique(np.concatenate([mix64(w.view(np.uint64) ^ mix64(np.array([i]))) for i, w in enumerate(wanted)]))
-            for n in named([x.as_py() or b"" for x in batch.column(1)], True):
-                open_ = np.isin(mix64(n.around.view(np.uint64) ^ mix64(n.owner)), marks)[n.place]
-                a, b, doc = n.long[0][open_], n.long[1][open_], n.doc[open_]
-                _, first = np.unique(mix64(a.view(np.uint64) ^ mix64(doc)), return_index=True)
+            marks = np.unique(np.concatenate([of_text(w, i) for i, w in enumerate(wanted)]))
+            for n in named([x.as_py() or b"" for x in batch.column(1)]):
+                open_ = np.flatnonzero(np.isin(of_text(n.around, n.owner), marks)[n.place])
+                (a, b), doc = n.long(open_), n.doc[open_]
+                _, first = np.unique(of_text(a, doc), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(ids[doc[first]])], ["long", "more", "id"])
 
     return docs.mapInArrow(run, "long bigint, more bigint, id bigint")
@@ -236,11 +245,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     open_ = found.where("not repeated").groupBy("id").agg(F.collect_list("around").alias("wanted"))
     second = strings(texts.join(open_, "id").select("id", "text", "wanted"))
     second = scratch.keep(later(second), "round2")
-    marks = found.where("repeated").select("id", "around", F.lit(None).cast("bigint").alias("long"))
-    marks = marks.unionByName(second.select("id", F.lit(None).cast("bigint").alias("around"), "long"))
-    marks = marks.groupBy("id").agg(F.collect_list("around").alias("around"), F.collect_list("long").alias("long"))
+    nothing = F.lit(None).cast("bigint")
+    marks = found.select("id", F.when(F.col("repeated"), F.col("around")).alias("around"), F.when(~F.col("repeated"), F.col("around")).alias("open"), nothing.alias("long"))
+    marks = marks.unionByName(second.select("id", nothing.alias("around"), nothing.alias("open"), "long"))
+    marks = marks.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("around", "open", "long")])
     rows = docs.select(id_, F.struct("*").alias("doc")).join(marks, "id", "left")
-    rows = rows.select("doc", F.col("doc.text").cast("binary").alias("text"), "around", "long")
+    rows = rows.select("doc", F.col("doc.text").cast("binary").alias("text"), "around", "open", "long")
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([
         rows.schema["doc"], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
@@ -251,15 +261,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, most=2 << 20):
             data = [x.as_py() or b"" for x in batch.column(1)]
-            lists = [[np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in batch.column(c)] for c in (2, 3)]
-            marks = [np.unique(np.concatenate([mix64(v.view(np.uint64) ^ mix64(np.array([i]))) for i, v in enumerate(own)])) for own in lists]
-            touched = [i for i in range(len(data)) if len(lists[0][i]) or len(lists[1][i])]
-            hits: dict[int, list[np.ndarray]] = {i: [] for i in touched}
-            for n in named([d if i in hits else b"" for i, d in enumerate(data)], True):
-                gone = np.isin(mix64(n.around.view(np.uint64) ^ mix64(n.owner)), marks[0])[n.place]
-                gone |= np.isin(mix64(n.long[0].view(np.uint64) ^ mix64(n.doc)), marks[1])
-                for i in np.unique(n.doc[gone]):
-                    hits[i].append(n.byte[gone & (n.doc == i)])
+            lists = [[np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in batch.column(c)] for c in (2, 3, 4)]
+            around, open_, long = (np.unique(np.concatenate([of_text(v, i) for i, v in enumerate(own)])) for own in lists)
+            hits: dict[int, list[np.ndarray]] = {i: [] for i in range(len(data)) if len(lists[0][i]) or len(lists[2][i])}
+            for n in named([d if i in hits else b"" for i, d in enumerate(data)]):
+                places = of_text(n.around, n.owner)
+                gone = np.isin(places, around)[n.place]
+                unsure = np.flatnonzero(np.isin(places, open_)[n.place])
+                gone[unsure] = np.isin(of_text(n.long(unsure)[0], n.doc[unsure]), long)
+                at = np.flatnonzero(gone)
+                doc, byte = n.doc[at], n.byte[at]
+                cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(at) else []
+                for i, own in zip(doc[cut].tolist(), np.split(byte, cut[1:]), strict=True) if len(at) else ():
+                    hits[i].append(own)
             kept, removed, runs = list(data), [0] * len(data), [[] for _ in data]
             for i, starts in hits.items():
                 if starts:

@@ -159,10 +159,10 @@ def write_shards(placed: DataFrame, total: int, folder: str, length: int, width:
 
     size = F.least(F.lit(per_shard), F.lit(total) - F.floor(F.col("slot") / per_shard) * per_shard)
     shards = max(1, -(-total // per_shard))
-    tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = placed.select("slot", "doc_id", "seq_no", "n_tokens", "tokens", size.alias("size"))
     # ranges of shards: a constant width, so that no sampling job is needed and no shard is cut
-    span = -(-shards // tasks)
+    span = max(1, -(-shards // tasks))
     rows = rows.repartition(tasks, F.floor(F.col("slot") / (per_shard * span))).sortWithinPartitions("slot")
     return written(rows.mapInArrow(run, "shard bigint, file string, first bigint, n bigint"), "shard-files")
 
