@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gradeframe.session import new_dir, written
 
-from .common import mix64, ship, text_batches, utf8
+from .common import Scratch, mix64, ship, text_batches, utf8
 
 MAGIC = b"GFSEQ001"
 HEADER = "<8sIIQQ"  # magic, bytes of a token, tokens of a sequence, first place, records
@@ -119,52 +120,50 @@ def in_order(rows: DataFrame, key: int) -> tuple[DataFrame, int]:
     return placed.select(slot(F.col("before") + F.col("ordinal")).alias("slot"), "doc_id", "seq_no", "n_tokens", "tokens"), total
 
 
-def write_shards(placed: DataFrame, total: int, folder: str, length: int, width: int, per_shard: int) -> DataFrame:
-    """Write all ``total`` rows with a ``slot`` as shard files; rows (shard, file, first, n), a written table.
+def write_shards(ordered: DataFrame, total: int, folder: str, length: int, width: int, per_shard: int) -> DataFrame:
+    """Write all ``total`` rows as shard files; rows (shard, file, first, n), a written table.
 
-    Shard s has the places from s * per_shard on.  A file gets its name when it is
-    complete, and its contents do not depend on the task that writes it, so a task that
-    runs again replaces a shard by the same bytes.
+    ``ordered`` is a written table that has each shard in one file, by ``slot``; a task
+    streams one of these files.  Shard s has the places from s * per_shard on.  A shard
+    gets its name when it is complete, and its contents do not depend on the task that
+    writes it, so a task that runs again replaces a shard by the same bytes.
     """
-    spark = placed.sparkSession
+    spark = ordered.sparkSession
     ship(spark)
     stride = RECORD.itemsize + length * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        shard, out, n, own, done = None, None, 0, "", []
-
-        def close() -> None:
-            out.close()
-            final = f"{path}/shard-{shard:08d}.bin"
-            store.move(own, final)
-            done.append((shard, f"{folder}/shard-{shard:08d}.bin", shard * per_shard, n))
-
-        for batch in batches:
-            for slot, doc_id, seq_no, n_tokens, tokens, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if slot // per_shard != shard:
-                    if out:
-                        close()
-                    shard, n, own = slot // per_shard, 0, f"{path}/{uuid.uuid4().hex}.part"
-                    out = store.open_output_stream(own, compression=None)
-                    out.write(struct.pack(HEADER, MAGIC, width, length, shard * per_shard, size))
-                head = np.array([(-1 if doc_id is None else doc_id, seq_no, n_tokens)], RECORD)
-                out.write(head.tobytes() + tokens.ljust(stride - RECORD.itemsize, b"\0"))
-                n += 1
-        if out:
-            close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["shard", "file", "first", "n"])
-
-    size = F.least(F.lit(per_shard), F.lit(total) - F.floor(F.col("slot") / per_shard) * per_shard)
-    shards = max(1, -(-total // per_shard))
-    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = placed.select("slot", "doc_id", "seq_no", "n_tokens", "tokens", size.alias("size"))
-    # ranges of shards: a constant width, so that no sampling job is needed and no shard is cut
-    span = max(1, -(-shards // tasks))
-    rows = rows.repartition(tasks, F.floor(F.col("slot") / (per_shard * span))).sortWithinPartitions("slot")
-    return written(rows.mapInArrow(run, "shard bigint, file string, first bigint, n bigint"), "shard-files")
+        for file in (f for batch in batches for f in batch.column(0).to_pylist()):
+            shard, out, n, own, done = None, None, 0, "", []
+
+            def close() -> None:
+                out.close()
+                store.move(own, f"{path}/shard-{shard:08d}.bin")
+                done.append((shard, f"{folder}/shard-{shard:08d}.bin", shard * per_shard, n))
+
+            source, name = fs.FileSystem.from_uri(file)
+            with source.open_input_file(name) as data:
+                for batch in pq.ParquetFile(data).iter_batches(2048, columns=["slot", "doc_id", "seq_no", "n_tokens", "tokens"]):
+                    for slot, doc_id, seq_no, n_tokens, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        if slot // per_shard != shard:
+                            if out:
+                                close()
+                            shard, n, own = slot // per_shard, 0, f"{path}/{uuid.uuid4().hex}.part"
+                            out = store.open_output_stream(own, compression=None)
+                            out.write(struct.pack(HEADER, MAGIC, width, length, shard * per_shard, min(per_shard, total - shard * per_shard)))
+                        head = np.array([(-1 if doc_id is None else doc_id, seq_no, n_tokens)], RECORD)
+                        out.write(head.tobytes() + tokens.ljust(stride - RECORD.itemsize, b"\0"))
+                        n += 1
+            if out:
+                close()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["shard", "file", "first", "n"])
+
+    files = ordered.select("_metadata.file_path").distinct()
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return written(files.repartition(tasks).mapInArrow(run, "shard bigint, file string, first bigint, n bigint"), "shard-files")
 
 
 def read_shards(spark: SparkSession, shards: DataFrame, start: int = 0) -> DataFrame:
@@ -219,6 +218,16 @@ def materialise(docs: DataFrame, rank_file: str, pattern: str, length: int = 512
     with open(rank_file, "rb") as f:
         ranks = f.read()
     width = 2 if max(len(ranks.splitlines()), (end or 0) + 1) <= 1 << 16 else 4
-    rows = written(sequences(docs, ranks, pattern, length, width, end), "sequences")
+    scratch = Scratch(spark, "training")
+    rows = scratch.keep(sequences(docs, ranks, pattern, length, width, end), "sequences")
     placed, total = in_order(rows, key)
-    return write_shards(placed, total, new_dir(spark, "training-shards"), length, width, per_shard)
+    # ranges of shards, of a constant width: no sampling job is needed and no shard is cut
+    shards = max(1, -(-total // per_shard))
+    tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    span = per_shard * -(-shards // tasks)
+    ordered = placed.repartition(tasks, F.floor(F.col("slot") / span)).sortWithinPartitions("slot")
+    ordered = scratch.keep(ordered, "ordered")
+    scratch.drop("sequences")
+    files = write_shards(ordered, total, new_dir(spark, "training-shards"), length, width, per_shard)
+    scratch.drop("ordered")
+    return files
