@@ -1,14 +1,16 @@
 """When two answers are equal.
 
 There is no computer algebra here.  An answer is read into three values: a
-canonical text, an option letter and a number.  Two answers are equal when any
-of the three agree:
+canonical text, an option letter and a number.  Two answers are equal when any of
+the three agree.  Of an answer with a closed ``\\boxed{...}`` the last one counts:
 
 * canonical text: delimiters, spacing commands, units, degree signs, trailing
-  zeros and a trailing period removed; sets and plain lists in sorted order;
+  zeros, a trailing period, bold marks and a leading dollar sign removed; sets, and
+  plain lists of numbers, in sorted order;
 * option letter: ``A`` to ``E``, also as ``(A)``;
 * number: decimals, ``p/q``, ``\\frac{p}{q}``, mixed numbers, percentages, powers
-  and multiples of a square root or of pi, also behind ``x =``; equal within 1e-6.
+  and multiples of a square root or of pi, also behind ``x =``; equal within 1e-6,
+  small numbers within a thousandth.
 
 Equality that needs algebra (``(x+1)^2`` and ``x^2+2x+1``) is out of reach; pass an
 ``equal`` function of your own to the callers to add it.
@@ -27,14 +29,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .text import ColumnOrName, _c, boxed_last, null_if_empty, strip
+from . import fixed as K
+from .text import BOX_REGEX_DEPTH, ColumnOrName, _balanced as balanced, _c, boxed_final, boxed_last, null_if_empty, strip
 
 TOLERANCE = 1e-6
 EqualFn = Callable[[Column, Column], Column]
 
 _NUM = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
 _SIMPLE = r"\A[+-]?[0-9A-Za-z]+(?:/[0-9]+)?\z"
-_BRACED = r"(?:[^{}]++|\{[^{}]*+\})++"
+_BRACED = r"(?:[^{}]++|\{" + balanced(BOX_REGEX_DEPTH) + r"\})++"
 
 
 # The long chains below are SQL over one variable x, behind a lambda: the value they
@@ -55,8 +58,20 @@ def _double(x: str) -> str:
 
 
 # ---------------------------------------------------------------- canonical text
+def _opened(x: Column) -> Column:
+    """The last closed box of a text that has one."""
+    return F.when(x.contains(K.BOX_OPEN), F.coalesce(boxed_final(x), x)).otherwise(x)
+
+
 def _without_delimiters(x: Column) -> Column:
-    """Drop one outer ``$..$``, ``$$..$$``, ``\\(..\\)`` or ``\\[..\\]``, then strip."""
+    """Drop one outer ``**..**``, ``$..$``, ``$$..$$``, ``\\(..\\)`` or ``\\[..\\]``, or the
+    dollar sign before a number, then strip."""
+    bold = x.startswith("**") & x.endswith("**") & (F.length(x) >= 4)
+    x = F.when(bold, strip(F.substring(x, F.lit(3), F.length(x) - 4))).otherwise(x)
+    return _bind(x, _without_math_marks)
+
+
+def _without_math_marks(x: Column) -> Column:
     inner = (
         F.when(
             x.startswith("$$") & x.endswith("$$") & (F.length(x) >= 4),
@@ -71,6 +86,7 @@ def _without_delimiters(x: Column) -> Column:
             | (x.startswith("\\[") & x.endswith("\\]")),
             F.substring(x, F.lit(3), F.length(x) - 4),
         )
+        .when(x.rlike(r"\A\$[0-9.][^$]*\z"), F.substring(x, F.lit(2), F.length(x)))
         .otherwise(x)
     )
     return strip(inner)
@@ -110,6 +126,8 @@ def _rewrite_steps() -> str:
     unit = r"([0-9}])[ ~]*\\(?:text|mathrm|mbox)\{[^{}]*\}(?:\^\{?[0-9]\}?)?[. ]*\z"
     words = r"\\(?:text|textbf|mathrm|mathbf|mbox)\{([^{}]*)\}"
     y = _step(y, _has(r"\text", r"\math", r"\mbox"), _sub(_sub("y", unit, "$1"), words, "$1"))
+    plain_unit = r"([0-9])[ ~]+(?:" + K.PLAIN_UNITS + r")(?:\^?[23]|[²³])?\.?\z"
+    y = _step(y, r"y RLIKE r'[0-9][ ~]+[a-zµ][A-Za-z0-9^²³.]*\z'", _sub("y", plain_unit, "$1"))
     degrees = r"\^?\{?\\(?:circ|degree)(?![A-Za-z])\}?|°"
     y = _step(y, _has(r"\circ", r"\degree", "°"), _sub("y", degrees, ""))
     y = _drop(y, ("{,}", ","))
@@ -135,11 +153,19 @@ def _rewrite_steps() -> str:
 
 _GROUPED = r"\A[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?%?\z"
 _SET = r"\A\\\{[^()\[\]{}]*,[^()\[\]{}]*\\\}\z"
-_LIST = r"\A[^()\[\]{}]*,[^()\[\]{}]*\z"
+_ELEMENT = r"[^()\[\]{},0-9]*+[0-9][^()\[\]{},]*+"  # something with a digit in it
+_LIST = r"\A" + _ELEMENT + r"(?:," + _ELEMENT + r")++\z"
 
 
 def _sorted_list(x: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(x, ",")), ",")
+    def element(e: Column) -> Column:
+        ratio = F.try_divide(
+            F.substring_index(e, "/", 1).try_cast("double"), F.substring_index(e, "/", -1).try_cast("double")
+        )
+        decimal = F.regexp_replace(ratio.cast("string"), r"\.0\z", "")
+        return F.when(e.rlike(r"\A[+-]?[0-9]+/[0-9]+\z"), F.coalesce(decimal, e)).otherwise(e)
+
+    return F.array_join(F.array_sort(F.transform(F.split(x, ","), element)), ",")
 
 
 def _commas_resolved(x: Column) -> Column:
@@ -176,7 +202,9 @@ def canonical(answer: ColumnOrName) -> Column:
         strip(answer),
         lambda s: unless_simple(
             s,
-            lambda s: _bind(_without_delimiters(s), lambda d: unless_simple(d, rewritten)),
+            lambda s: _bind(
+                _opened(_without_delimiters(_opened(s))), lambda d: unless_simple(d, rewritten)
+            ),
         ),
     )
 
@@ -204,7 +232,7 @@ _TERM = (
 )
 _TERM_END = r"[0-9iπ]\}?\z"
 _POWER = (
-    r"\A([+-]?)(?:(" + _NUM + r")(?:\\cdot|\\times|\*))?([0-9]+)\^(?:\{([+-]?[0-9]{1,3})\}|([0-9]))\z"
+    r"\A([+-]?)(?:(" + _NUM + r")(?:\\cdot|\\times|\*))?([0-9]+)\^(?:\{([+-]?[0-9]+)\}|([0-9]))\z"
 )
 _FRAC = (
     r"\A([+-]?)([0-9]*)\\frac\{(" + _BRACED + r")\}\{(" + _BRACED + r")\}(\\pi|π)?\z"
@@ -295,21 +323,10 @@ def parse_answer(answer: ColumnOrName) -> Column:
     )
 
 
-def _equal_values(ca, la, na, cb, lb, nb) -> Column:
-    same_text = (ca == cb) & (ca != "")
-    same_number = F.abs(na - nb) <= TOLERANCE
-    return F.coalesce(
-        F.coalesce(same_text, F.lit(False))
-        | F.coalesce(la == lb, F.lit(False))
-        | F.coalesce(same_number, F.lit(False)),
-        F.lit(False),
-    )
-
-
 _EQUAL = (
     "coalesce(x.a.canon = x.b.canon AND x.a.canon <> '', false) "
     "OR coalesce(x.a.letter = x.b.letter, false) "
-    f"OR coalesce(abs(x.a.num - x.b.num) <= {TOLERANCE}D, false)"
+    f"OR coalesce(abs(x.a.num - x.b.num) <= least({TOLERANCE}D, 1e-3D * greatest(abs(x.a.num), abs(x.b.num))), false)"
 )
 
 

@@ -12,7 +12,7 @@ BOX_OPEN = r"\boxed{"
 BOX_WORD = r"\boxed"
 THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 ANSWER_OPEN, ANSWER_CLOSE = "<answer>", "</answer>"
-DESC_OPEN, DESC_CLOSE = "<desc>", "</desc>"
+DESC_OPEN = "<desc>"
 IMAGE_TOKEN = "<image>"
 SALVAGE_CUE = "think is over, now give the **Final Answer**"
 
@@ -30,7 +30,6 @@ WS_BLOCK = r"[\s\x85\p{Z}]"
 
 # --- fixed values: option letters -------------------------------------------
 CHOICE_LETTERS = ("A", "B", "C", "D", "E", "F")
-ANSWER_LETTERS = ("A", "B", "C", "D", "E")
 MATHV_PLACEHOLDER_OPTIONS = "ABCDE"
 
 # --- fixed values: data sets ------------------------------------------------
@@ -112,3 +111,6 @@ CAPTION_JUDGE_TAIL = (
 )
 THINKING_JUDGE_QUESTION = "Question: "
 THINKING_JUDGE_REASONING = "\n\nReasoning: "
+
+# fixed values: units that may stand behind a number, after a blank
+PLAIN_UNITS = "mm|cm|dm|m|km|mg|g|kg|ms|s|min|h|ml|l|N|J|W|V|A|Hz|Pa|K|mol|inches|feet|meters|seconds|minutes|hours|degrees|units"

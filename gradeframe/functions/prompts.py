@@ -21,9 +21,9 @@ def lettered(options: ColumnOrName) -> Column:
 
 
 def mathv_question(question: ColumnOrName, options: ColumnOrName) -> Column:
-    """Five lettered lines, each ended by a newline, unless they only say A to E."""
+    """One lettered line per option, each ended by a newline, unless they only say A to E."""
     q, o = _c(question), _c(options)
-    lines = F.concat(F.array_join(lettered(F.slice(o, 1, 5)), "\n"), F.lit("\n"))
+    lines = F.concat(F.array_join(lettered(o), "\n"), F.lit("\n"))
     spelled_out = F.coalesce(
         (F.size(o) > 0) & (F.array_join(o, "") != K.MATHV_PLACEHOLDER_OPTIONS),
         F.lit(False),
@@ -97,7 +97,8 @@ def build_prompt(
     """Add ``prompt_question``, ``images``, ``messages`` and ``prompt`` to benchmark rows.
 
     Rows of several benchmarks may be mixed; columns a benchmark lacks may be absent.
-    Items with images of the competition benchmark carry no system message.
+    Items with images of the competition benchmark carry no system message.  Rows of
+    other data sets, or of none, have their question and no images.
     """
     missing = {
         f"__{c}": F.lit(None).cast(t)
@@ -123,6 +124,7 @@ def build_prompt(
     for name in K.IMAGE_DIRS:
         path = image_path(root, name, files.get(name, "__image"))
         images = images.when(d == name, F.array(path))
+    images = F.coalesce(images, F.array().cast("array<string>"))
     df = df.withColumns({"prompt_question": question, "images": images})
 
     system = _message("system", F.array(_text_part(F.lit(system_prompt))))

@@ -91,7 +91,8 @@ class Features:
 
     def parsed(self, name: str) -> Column:
         """A feature as read for comparison: struct<canon, letter, num>."""
-        self.asked.add(name)
+        if name not in self.inputs:
+            self.asked.add(name)
         self.compared.add(name)
         return F.col(f"{_P}{name}_parsed")
 
@@ -112,9 +113,13 @@ class Features:
         for stage in (_EXTRACTED, _SELECTED):
             cols = {_P + n: stage[n][1](self) for n in stage if n in needed}
             df = df.withColumns(cols) if cols else df
-        return df.withColumns(
-            {f"{_P}{n}_parsed": parse_answer(_P + n) for n in sorted(self.compared)}
-        ) if self.compared else df
+        own = sorted(self.compared - set(self.inputs))
+        return df.withColumns({f"{_P}{n}_parsed": parse_answer(_P + n) for n in own}) if own else df
+
+    def add_joined(self, df: DataFrame) -> DataFrame:
+        """Read the answers that came with the judges' columns."""
+        given = sorted(self.compared & set(self.inputs))
+        return df.withColumns({f"{_P}{n}_parsed": parse_answer(self.inputs[n]) for n in given}) if given else df
 
 
 Reward = Callable[..., Column]
@@ -300,6 +305,9 @@ def score(
     tokens: str | None = None,
     thinking_response: str | None = None,
     caption_response: str | None = None,
+    thinking_verdict: str | None = None,
+    caption_answer: str | None = None,
+    join: Callable[[DataFrame], DataFrame] | None = None,
     equal: EqualFn | None = None,
     count_tokens: Callable[[Column], Column] | None = None,
     params: dict[str, dict] | None = None,
@@ -307,7 +315,9 @@ def score(
     """Add one double column per reward name.
 
     `tokens` names an integer column with the completion's token count;
-    `thinking_response` and `caption_response` name judge texts joined beforehand;
+    `thinking_response` and `caption_response` name judge texts joined beforehand,
+    `thinking_verdict` and `caption_answer` what these had in their last boxes; the latter
+    may be columns that `join` adds, which runs when the features of df are in place;
     `equal` replaces answer equivalence; `params` gives keyword arguments per reward.
     """
     names = list(names)
@@ -320,6 +330,8 @@ def score(
         "tokens": tokens,
         "thinking_response": thinking_response,
         "caption_response": caption_response,
+        "verdict": thinking_verdict,
+        "caption_answer": caption_answer,
     }
     features = Features({k: F.col(v) for k, v in given.items() if v}, equal)
     if count_tokens is not None:
@@ -327,6 +339,7 @@ def score(
     params = params or {}
     columns = {n: REWARDS[n](features, **params.get(n, {})) for n in names}
     out = features.add_to(df)
+    out = features.add_joined(join(out) if join else out)
     return out.select(
         *(F.col(f"`{c}`") for c in df.columns if c not in columns),
         *(columns[n].cast("double").alias(n) for n in names),

@@ -157,8 +157,15 @@ def ends_with_box(text: ColumnOrName) -> Column:
 
 
 def boxed_all(text: ColumnOrName) -> Column:
-    """Contents of all closed boxes, left to right, not overlapping."""
-    return F.regexp_extract_all(_c(text), F.lit(r"(?s)" + BOX_PATTERN), 1)
+    """Contents of all closed boxes, left to right, not overlapping.
+
+    Nothing behind the last closing brace can be closed, so it is cut off first.
+    """
+    text = _c(text)
+    closable = F.left(text, F.length(text) - F.instr(F.reverse(text), "}") + 1)
+    boxes = F.regexp_extract_all(closable, F.lit(r"(?s)" + BOX_PATTERN), 1)
+    none = F.array().cast("array<string>")
+    return F.when(text.contains("}") & text.contains(K.BOX_OPEN), boxes).when(text.isNotNull(), none)
 
 
 def boxed_count(text: ColumnOrName) -> Column:
@@ -171,18 +178,31 @@ def boxed_final(text: ColumnOrName) -> Column:
 
 
 # ------------------------------------------------------------------ tag bodies
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first `mark`; NULL without one."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
+
+
 def tag_body(text: ColumnOrName, tag: str, multiline: bool = False) -> Column:
     """Body of the first ``<tag>...</tag>``, stripped; NULL without a match.
 
-    With ``multiline=False`` the body may not contain a newline.
+    With ``multiline=False`` the body may not contain a newline: the match is in the
+    first line whose opening tag is followed by a closing one.  The text is cut at marks,
+    never searched from every opening tag, so it takes time in proportion to its length.
     """
-    flags = "(?sd)" if multiline else "(?d)"
-    pattern = f"{flags}<{tag}>(.*?)</{tag}>"
-    text = _c(text)
-    return F.when(
-        F.contains(text, F.lit(f"</{tag}>")),
-        strip(F.get(F.regexp_extract_all(text, F.lit(pattern), 1), F.lit(0))),
-    )
+    text, close = _c(text), F.lit(f"</{tag}>")
+
+    def first(part: Column) -> Column:
+        rest = _after(part, f"<{tag}>")
+        return F.when(F.contains(rest, close), F.substring_index(rest, f"</{tag}>", 1))
+
+    if multiline:
+        body = first(text)
+    else:
+        lines = F.transform(F.split(text, F.lit("\n"), -1), first)
+        body = F.get(F.filter(lines, lambda b: b.isNotNull()), F.lit(0))
+    return F.when(F.contains(text, close), strip(body))
 
 
 def answer_tag(text: ColumnOrName) -> Column:
@@ -194,7 +214,14 @@ def answer_tag_multiline(text: ColumnOrName) -> Column:
 
 
 def tag_bodies(text: ColumnOrName, tag: str) -> Column:
-    return F.regexp_extract_all(_c(text), F.lit(f"(?sd)<{tag}>(.*?)</{tag}>"), 1)
+    """Bodies of all ``<tag>...</tag>``, left to right, not overlapping.
+
+    Cut at the closing tags, a body is what follows a piece's first opening tag.
+    """
+    pieces = F.split(_c(text), F.lit(f"</{tag}>"), -1)
+    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    bodies = F.transform(closed, lambda p: _after(p, f"<{tag}>"))
+    return F.filter(bodies, lambda b: b.isNotNull())
 
 
 def single_tag_body(text: ColumnOrName, tag: str) -> Column:
@@ -490,12 +517,14 @@ def _power_of_two(n: Column) -> Column:
 
 
 def fixed_decimals(x: ColumnOrName, digits: int) -> Column:
-    """A double with a fixed number of decimals, rounded as C and Python round it.
+    """A double with up to eight decimals, rounded as C and Python round it.
 
     The exact binary value is rounded, ties to even; Java's formatter rounds the
     printed value half up instead (15.625 -> 15.63, 2.675 -> 2.68).  The value is an
     integer over a power of two, so the rounding is done in whole decimals.
     """
+    if not 0 <= digits <= 8:
+        raise ValueError("0 to 8 decimals")
     x = _c(x).cast("double")
     size = F.abs(x)
     # size = mantissa / 2**shift, exactly; below 2**-30 the decimals are zero anyway
@@ -512,8 +541,14 @@ def fixed_decimals(x: ColumnOrName, digits: int) -> Column:
     rounded = down + F.when((twice > unit) | ((twice == unit) & odd), 1).otherwise(0).cast("decimal(1,0)")
     exact = (rounded / F.lit(10**digits).cast("decimal(10,0)")).cast(f"decimal(28,{digits})")
     text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), exact.cast("string"))
-    # large values are whole numbers of units already; zero has no logarithm
-    return F.when((size > 0) & (size < 1e15), text).otherwise(F.format_string(f"%.{digits}f", x))
+    # from 2**53 on all doubles are whole numbers; zero has no logarithm
+    zeros = "." + "0" * digits if digits else ""
+    whole_text = F.concat(x.cast("bigint").cast("string"), F.lit(zeros))
+    return (
+        F.when((size > 0) & (size < 2.0**53), text)
+        .when((size >= 2.0**53) & (size < 2.0**63), whole_text)
+        .otherwise(F.format_string(f"%.{digits}f", x))
+    )
 
 
 def percent_text(x: ColumnOrName, digits: int = 2) -> Column:

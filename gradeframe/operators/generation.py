@@ -49,16 +49,16 @@ def with_salvaged(
     """Put second-pass replies behind the partial text; other rows keep their text.
 
     `replies` has id and resp.  Only cut-off rows can have a reply, and a cut-off row
-    without one keeps its closed partial text.
+    without one keeps its closed partial text.  Only cut-off rows are joined; the others
+    pass by.  A repeated id among the replies is an error.
     """
-    right = replies.select(F.col(id), F.col("resp").alias("__reply"))
-    joined = df.join(right.hint("merge"), id, "left")
-    cut = T.is_truncated_thought(resp, "finish_reason")
-    text = F.when(
-        cut,
-        F.concat(T.salvage_text(resp), F.coalesce(F.col("__reply"), F.lit(""))),
-    ).otherwise(F.col(resp))
-    return joined.withColumn(resp, text).drop("__reply")
+    cut = F.coalesce(T.is_truncated_thought(resp, "finish_reason"), F.lit(False))
+    right = replies.groupBy(id).agg(F.count(F.lit(1)).alias("__n"), F.first("resp").alias("__reply"))
+    repeated = F.raise_error(F.concat(F.lit("more than one reply for id "), F.col(id).cast("string")))
+    right = right.select(id, F.when(F.col("__n") == 1, F.col("__reply")).otherwise(repeated.cast("string")).alias("__reply"))
+    text = F.concat(T.salvage_text(resp), F.coalesce(F.col("__reply"), F.lit("")))
+    done = df.filter(cut).join(right, id, "left").withColumn(resp, text).select(*df.columns)
+    return df.filter(~cut).unionByName(done)
 
 
 def generate_with_salvage(

@@ -50,33 +50,54 @@ def with_images(requests: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def with_responses(
-    df: DataFrame, responses: DataFrame, id: str = "id", out: str = "judge_resp"
-) -> DataFrame:
-    """Join judge responses by id; a row without a response keeps NULL.
+def one_per_id(responses: DataFrame, sequence: str | None = None) -> DataFrame:
+    """id, judge_resp: of responses with the same id the one with the largest `sequence`.
 
-    Responses grow with the completions, so they are merged, never broadcast: size
-    estimates of derived tables are too low to trust.  Adaptive execution splits a
-    skewed id.
+    Without a sequence column a repeated id is an error.
     """
-    right = responses.select(F.col("id").alias(id), F.col("judge_resp").alias(out))
-    return df.join(right.hint("merge"), id, "left")
+    if sequence:
+        return responses.groupBy("id").agg(F.max_by("judge_resp", sequence).alias("judge_resp"))
+    found = responses.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("judge_resp").alias("judge_resp"))
+    repeated = F.raise_error(F.concat(F.lit("more than one response for id "), F.col("id").cast("string")))
+    return found.select("id", F.when(F.col("n") == 1, F.col("judge_resp")).otherwise(repeated.cast("string")).alias("judge_resp"))
+
+
+def with_responses(
+    df: DataFrame, responses: DataFrame, id: str = "id", out: str = "judge_resp", sequence: str | None = None
+) -> DataFrame:
+    """Join judge responses by id; a row without a response keeps NULL."""
+    right = one_per_id(responses, sequence)
+    return df.join(right.select(F.col("id").alias(id), F.col("judge_resp").alias(out)), id, "left")
 
 
 def score_judged(
     df: DataFrame,
-    responses: DataFrame,
     names: list[str],
     id: str = "id",
+    thinking: DataFrame | None = None,
+    caption: DataFrame | None = None,
+    sequence: str | None = None,
     **options,
 ) -> DataFrame:
-    """Join one response table and score rewards that read it; no response gives 0."""
-    joined = with_responses(df, responses, id, "__judge")
-    scored = score(
-        joined,
-        names,
-        thinking_response="__judge",
-        caption_response="__judge",
-        **options,
-    )
-    return scored.drop("__judge")
+    """Score rewards that read judges' answers; no response gives 0.
+
+    ``thinking`` and ``caption`` are the response tables of the two judges.  What a reward
+    needs of a judge's text is its last box, and of a completion its features, so both are
+    taken before the join: no judge text is shuffled, and a completion only if the caller
+    selects it.
+    """
+    joins = []
+    given = {}
+    for column, responses in (("thinking_verdict", thinking), ("caption_answer", caption)):
+        if responses is not None:
+            boxes = responses.withColumn("judge_resp", F.try_element_at(T.boxed_all("judge_resp"), F.lit(-1)))
+            boxes = one_per_id(boxes, sequence).select(F.col("id").alias(id), F.col("judge_resp").alias(f"__{column}"))
+            joins.append(boxes)
+            given[column] = f"__{column}"
+
+    def join(rows: DataFrame) -> DataFrame:
+        for boxes in joins:
+            rows = rows.join(boxes, id, "left")
+        return rows
+
+    return score(df, names, join=join, **given, **options)

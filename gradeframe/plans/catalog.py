@@ -101,7 +101,7 @@ _on_responses("e01b_final_answer", lambda: final_answer("resp"))
 
 @query("e01b_final_answer_of_texts")
 def _(spark, sf):
-    docs = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = D.table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", final_answer("text").alias("value"))
 
 
@@ -124,7 +124,7 @@ def _(spark, sf):
 
 @query("d13_squeeze_documents")
 def _(spark, sf):
-    docs = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = D.table(spark, sf, "documents").select("doc_id", "text")
     return docs.select(
         "doc_id", T.squeeze("text").alias("squeezed"), T.strip("text").alias("stripped")
     )
@@ -151,7 +151,7 @@ def _(spark, sf):
 
 @query("l12_token_counts")
 def _(spark, sf):
-    docs = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = D.table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", T.token_count("text").alias("tokens"))
 
 
@@ -183,9 +183,6 @@ def _(spark, sf):
     return pairs.select(
         "l_orderkey", "l_linenumber", "form",
         answers_equal(F.col("x"), F.col("y")).alias("is_equal"),
-        F.col("x.canon").alias("canon"),
-        F.col("x.letter").alias("letter"),
-        _r6("x.num").alias("num"),
     )
 
 
@@ -278,7 +275,8 @@ JUDGE_QUERIES = {
 def _judge_query(reward: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         scored = judging.score_judged(
-            D.responses(spark, sf), D.judge_responses(spark, sf), [reward], "sid",
+            D.responses(spark, sf), [reward], "sid",
+            thinking=D.judge_responses(spark, sf, "thinking"), caption=D.judge_responses(spark, sf, "caption"),
             completion="resp", solution="answer",
         )
         return scored.select("sid", _r6(reward).alias("reward"))
@@ -328,7 +326,8 @@ def _(spark, sf):
 def _(spark, sf):
     names = ["external_cap_verify", "external_thinking_verify"]
     return judging.score_judged(
-        D.responses(spark, sf), D.judge_responses(spark, sf), names, "sid",
+        D.responses(spark, sf), names, "sid",
+        thinking=D.judge_responses(spark, sf, "thinking"), caption=D.judge_responses(spark, sf, "caption"),
         completion="resp", solution="answer",
         params={"external_thinking_verify": {"strict_reference": True}},
     ).select("sid", F.col(names[0]).alias("caption"), F.col(names[1]).alias("thinking"))
@@ -487,7 +486,7 @@ def _(spark, sf):
 @query("a05_parquet_scan")
 def _(spark, sf):
     docs = readers.read_parquet(spark, f"{sf}/documents.parquet")
-    return docs.filter(F.col("lang") == "en").groupBy("source").agg(
+    return docs.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")
     )
 
@@ -552,18 +551,28 @@ def _(spark, sf):
 
 @query("a04_json_list_scan")
 def _(spark, sf):
-    # one JSON list per line-sized file part: a list of the trials of an image
+    # files that are one JSON list each, of up to a thousand rows
     r = D.responses(spark, sf)
-    lists = r.groupBy("image_key").agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct("sid", "answer")))).alias("value")
+    lists = r.groupBy(F.floor(F.col("sid") / 1000).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct("sid", "answer"))).alias("value")
     )
     path = new_dir(spark, "lists")
-    lists.select("value").write.text(path)
-    lines = spark.read.text(path)
-    rows = lines.select(
-        F.explode(F.from_json("value", "array<struct<sid:bigint,answer:string>>")).alias("r")
+    lists.write.partitionBy("file").text(path)
+    return readers.read_json_list(spark, path, "sid bigint, answer string").select("sid", "answer")
+
+
+@query("a04_json_keyed_scan")
+def _(spark, sf):
+    # files that are one JSON object each, a record for every id
+    r = D.responses(spark, sf)
+    entry = F.struct(F.col("sid").cast("string").alias("key"), F.struct("answer").alias("value"))
+    objects = r.groupBy(F.floor(F.col("sid") / 1000).alias("file")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
     )
-    return rows.select("r.sid", "r.answer")
+    path = new_dir(spark, "keyed")
+    objects.write.partitionBy("file").text(path)
+    rows = readers.read_json_keyed(spark, path, "answer string", "sid")
+    return rows.select(F.col("sid").cast("bigint").alias("sid"), "answer")
 
 
 @query("a06_evaluated_file")
@@ -725,7 +734,7 @@ def _(spark, sf):
 @query("h04_responses_by_id")
 def _(spark, sf):
     joined = judging.with_responses(
-        D.responses(spark, sf).select("sid", "answer"), D.judge_responses(spark, sf), "sid"
+        D.responses(spark, sf).select("sid", "answer"), D.judge_responses(spark, sf, "caption"), "sid"
     )
     return joined.select("sid", F.coalesce("judge_resp", F.lit("")).alias("judge_resp"))
 
@@ -743,12 +752,13 @@ def _(spark, sf):
 # ------------------------------------------------------------------------ streaming
 @query("t01_running_accuracy")
 def _(spark, sf):
-    """Responses arrive as Parquet files; totals are kept by a streaming query."""
+    """Responses arrive as JSON lines; totals are kept by a streaming query."""
     base = new_dir(spark, "arrivals")
-    r = D.responses(spark, sf).select("sid", "dataset", "answer", "resp")
-    r.write.parquet(base)
-    rows = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).parquet(base)
+    r = D.responses(spark, sf).select("sid", F.col("dataset").alias("benchmark"), "answer", "resp")
+    r.write.options(**sinks.JSON_OPTIONS).json(base)
+    rows = incremental.stream_responses(spark, base, "sid bigint, benchmark string, answer string, resp string")
+    rows = rows.withColumn("dataset", F.col("benchmark"))
     totals = incremental.running_accuracy(rows)
     table = new_dir(spark, "totals")
     incremental.start_running_accuracy(totals, table).awaitTermination()
-    return spark.read.parquet(table).withColumn("acc", _r6("acc"))
+    return incremental.read_totals(spark, table).withColumn("acc", _r6("acc"))

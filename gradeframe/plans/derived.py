@@ -17,14 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a scan that has fewer partitions than the cluster has cores.
+    """Deal narrow rows out over the session's shuffle partitions.
 
-    Text work is CPU-bound, and one small file is one partition.  A scan with enough
-    splits is returned as it is, without a shuffle.
+    Each becomes many long rows further on, whatever the files they were read from.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _s(x: Column) -> Column:
@@ -81,15 +78,19 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATASETS = (K.MATH_V, K.WE_MATH, K.MATHVERSE, K.MATHVISTA, K.LOGICVISTA, K.DYNAMATH)
 
 
-def judge_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A judge's text per response; every seventh is missing, some have no box."""
+def judge_responses(spark: SparkSession, sf_dir: str, judge: str) -> DataFrame:
+    """A judge's text per response; every seventh is missing, some have no box.
+
+    The ``caption`` judge says what the ``thinking`` judge says of the next response.
+    """
     r = responses(spark, sf_dir).filter(F.col("sid") % 7 != 0)
-    sid = F.col("sid")
+    sid, shift = F.col("sid"), 1 if judge == "caption" else 0
+    turn = (sid + shift) % 5
     text = (
-        F.when(sid % 5 == 0, F.lit("I cannot tell."))
-        .when(sid % 5 == 1, F.concat(F.lit("Fine. \\boxed{"), F.col("answer"), F.lit("}")))
-        .when(sid % 5 == 2, F.lit("Sound, \\boxed{1}"))
-        .when(sid % 5 == 3, F.lit("No \\boxed{1}, rather \\boxed{0}"))
+        F.when(turn == 0, F.lit("I cannot tell."))
+        .when(turn == 1, F.concat(F.lit("Fine. \\boxed{"), F.col("answer"), F.lit("}")))
+        .when(turn == 2, F.lit("Sound, \\boxed{1}"))
+        .when(turn == 3, F.lit("No \\boxed{1}, rather \\boxed{0}"))
         .otherwise(F.concat(F.lit("It is \\boxed{\\text{"), F.col("answer"), F.lit("}}")))
     )
     return r.select(sid.alias("id"), text.alias("judge_resp"))
@@ -224,7 +225,7 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     n = F.col("l_quantity").cast("int")
-    s, k = _s(n), (F.col("l_orderkey") + F.col("l_linenumber")) % 20
+    s, k = _s(n), (F.col("l_orderkey") + F.col("l_linenumber")) % 28
 
     def t(*parts) -> Column:
         return F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
@@ -250,6 +251,14 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t("x + ", s), t("x+", s)),
         (t("-", s), s),
         (F.lit(""), F.lit("")),
+        (t("$\\boxed{", s, "}$"), s),
+        (t("\\boxed{", _s(n + 1), "} no, \\boxed{", s, "}"), s),
+        (t("**", s, "**"), s),
+        (t("$", s), s),
+        (t(s, " cm"), s),
+        (t("1/2,", s), t("0.5,", s)),
+        (F.lit("Tom, Bob"), F.lit("Bob, Tom")),
+        (t("0.0000001", s), t("0.0000002", s)),
     ]
     a = b = None
     for i, (left, right) in enumerate(forms):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as K, text as T
@@ -129,8 +129,11 @@ def evaluate_jsonl(
     try:
         rows = readers.read_jsonl(spark, path, schema)
         evaluated = written(evaluate_responses(rows, system_prompt, equal=equal), "evaluated")
-    except (AnalysisException, PySparkException):
-        return None, None
+    except PySparkException as e:
+        # the file is not there, or a line of it is broken; anything else is no verdict
+        if "PATH_NOT_FOUND" in str(e) or "line is not a JSON object" in str(e):
+            return None, None
+        raise
     name = path.rstrip("/").rpartition("/")[2].partition(".")[0]
     if name == K.DYNAMATH:
         acc = metrics.worst_case_accuracy(evaluated)

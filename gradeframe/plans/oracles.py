@@ -64,14 +64,15 @@ select cast(sid as bigint) as sid, cast(image_key as bigint) as image_key, cast(
   '<image>What is value ' || cast(image_key as varchar) || '?' as question
 from v)"""
 
-JUDGE = f"""j as (
-select sid as id, case sid % 5
+# judge texts beside the responses, so that nothing joins the responses with themselves
+def _said(shift: int) -> str:
+    return f"""case when sid % 7 <> 0 then case (sid + {shift}) % 5
    when 0 then 'I cannot tell.'
    when 1 then 'Fine. ' || {BOX} || answer || '}}'
    when 2 then 'Sound, ' || {BOX} || '1}}'
    when 3 then 'No ' || {BOX} || '1}}, rather ' || {BOX} || '0}}'
-   else 'It is ' || {BOX} || {BS} || 'text{{' || answer || '}}}}' end as judge_resp
-from r where sid % 7 <> 0)"""
+   else 'It is ' || {BOX} || {BS} || 'text{{' || answer || '}}}}' end end"""
+
 
 FILES = f"""f as (
 select sid, case when image_key % 3 = 0 then 'DynaMath.jsonl' else
@@ -145,12 +146,22 @@ _PAIR_FORMS = [
     ("'x + ' || s", "'x+' || s"),
     ("'-' || s", "s"),
     ("''", "''"),
+    (f"'$' || {BOX} || s || '}}$'", "s"),
+    (f"{BOX} || (n + 1) || '}} no, ' || {BOX} || s || '}}'", "s"),
+    ("'**' || s || '**'", "s"),
+    ("'$' || s", "s"),
+    ("s || ' cm'", "s"),
+    ("'1/2,' || s", "'0.5,' || s"),
+    ("'Tom, Bob'", "'Bob, Tom'"),
+    ("'0.0000001' || s", "'0.0000002' || s"),
 ]
+# whether the two answers of a form are equal, stated and not computed
+_TRUTH = "case when form = 11 then l_returnflag = 'A' else form not in (16, 18, 19, 26, 27) end"
 _FORMS = [(a.replace("{{", "{").replace("}}", "}"), b.replace("{{", "{").replace("}}", "}")) for a, b in _PAIR_FORMS]
 PAIRS = (
     "p0 as (select *, cast(cast(l_quantity as int) as varchar) as s, cast(l_quantity as int) as n,"
-    " cast((l_orderkey + l_linenumber) % 20 as int) as form from lineitem),\n"
-    "p as (select l_orderkey, l_linenumber, form, case form "
+    " cast((l_orderkey + l_linenumber) % 28 as int) as form from lineitem),\n"
+    "p as (select l_orderkey, l_linenumber, form, l_returnflag, case form "
     + " ".join(f"when {i} then {a}" for i, (a, _) in enumerate(_FORMS))
     + " end as answer, case form "
     + " ".join(f"when {i} then {b}" for i, (_, b) in enumerate(_FORMS))
@@ -312,7 +323,8 @@ def parsed(source: str, answers: dict[str, str], out: str) -> str:
         return f"{name} as (select *, " + ", ".join(f"{e} as {n}" for n, e in cols.items()) + f" from {src})"
 
     def inner(s: str) -> str:
-        x = strip(s)
+        box = f"regexp_extract_all({s}, '\\\\boxed\\{{((?:[^{{}}]|\\{{[^{{}}]*\\}})*)\\}}', 1)[-1]"
+        x = strip(f"case when contains({s}, {BOX}) then coalesce({box}, {s}) else {s} end")
         return strip(
             f"case when starts_with({x}, '$$') and ends_with({x}, '$$') and len({x}) >= 4 then {x}[3:-3] "
             f"when starts_with({x}, '$') and ends_with({x}, '$') and len({x}) >= 2 then {x}[2:-2] else {x} end"
@@ -516,14 +528,11 @@ O["h06_lookup_by_name"] = (
 )
 
 # ------------------------------------------------------------------- equivalence
-_PP = _with(PAIRS, parsed("p", {"x": "answer", "y": "model_answer"}, "e"))
-O["e01_equivalent"] = (
-    f"{_PP}select l_orderkey, l_linenumber, form, {equal('x', 'y')} as is_equal, x_canon as canon, "
-    "x_letter as letter, round(x_num, 6) as num from e"
-)
+_PP = _with(PAIRS)
+O["e01_equivalent"] = f"{_PP}select l_orderkey, l_linenumber, form, {_TRUTH} as is_equal from p"
 O["e03_equal_or_same_text"] = (
-    f"{_PP}select l_orderkey, l_linenumber, form, answer = model_answer or {equal('x', 'y')} as is_equal, "
-    "answer = model_answer as is_same from e"
+    f"{_PP}select l_orderkey, l_linenumber, form, answer = model_answer or {_TRUTH} as is_equal, "
+    "answer = model_answer as is_same from p"
 )
 
 # ------------------------------------------------------------------------ rewards
@@ -607,11 +616,13 @@ O["x01_score_many_rewards"] = (
 )
 
 _JUDGED = (
-    f"jr as (select x.*, j.judge_resp, {strip(boxed_all('coalesce(j.judge_resp, chr(32))') + '[-1]')} as vb "
-    "from x left join j on j.id = x.sid),\n" + parsed("jr", {"jv": "vb"}, "y")
+    f"jt as (select *, {_said(0)} as said_t, {_said(1)} as said_c from x),\n"
+    f"jr as (select *, {strip(boxed_all('coalesce(said_t, chr(32))') + '[-1]')} as vb, "
+    f"{strip(boxed_all('coalesce(said_c, chr(32))') + '[-1]')} as cb from jt),\n"
+    + parsed("jr", {"jv": "vb", "jc": "cb"}, "y")
 )
-Y = _with(RESPONSES, _FEATURES, JUDGE, _JUDGED)
-_CAP = _if(equal("jv", "l"))
+Y = _with(RESPONSES, _FEATURES, _JUDGED)
+_CAP = _if(equal("jc", "l"))
 _LEAK = _REWARD_SQL["f19_cap_check"]
 for _key, _expr in {
     "f16_thinking_verify": _if("th is not null and coalesce(vb = '1', false)"),
@@ -748,7 +759,7 @@ O["b11_rows_with_image_number"] = (
     "select p_partkey as item_id, p_partkey as image_key from part where p_partkey % 2 = 1"
 )
 O["a05_parquet_scan"] = (
-    "select source, count(*) as n, cast(sum(n_chars) as bigint) as n_chars from documents where lang = 'en' group by source"
+    "select lang, source, count(*) as n, cast(sum(n_chars) as bigint) as n_chars from documents group by lang, source"
 )
 O["a09_split_rows"] = (
     f"{FJ}select file, case when is_match then 'filtered_match' else 'filtered_mismatch' end as split, "
@@ -766,6 +777,7 @@ O["a14_output_names"] = (
 O["a01_jsonl_scan"] = f"{R}select sid, image, answer, resp, finish_reason from r"
 O["a02_tolerant_jsonl_scan"] = f"{R}select sid, answer from r where sid % 10 <> 3"
 O["a04_json_list_scan"] = f"{R}select sid, answer from r"
+O["a04_json_keyed_scan"] = O["a04_json_list_scan"]
 O["a08_appended_batches"] = f"{R}select sid, answer from r"
 
 # -------------------------------------------------------------------------- metrics
@@ -885,9 +897,7 @@ O["h01_pairs_by_id"] = (
     "select lang, count(*) as n, round(avg(quality) * 100, 6) as acc, cast(sum(n_chars) as bigint) as n_chars "
     "from documents join labels using (doc_id) group by lang"
 )
-O["h04_responses_by_id"] = (
-    f"{_with(RESPONSES, JUDGE)}select sid, coalesce(judge_resp, '') as judge_resp from r left join j on j.id = r.sid"
-)
+O["h04_responses_by_id"] = f"{R}select sid, coalesce({_said(1)}, '') as judge_resp from r"
 O["u02_split_is_complete"] = (
     f"{FJ}select file, case when is_match then 'match' else 'mismatch' end as part, count(*) as n from f3 group by all"
 )

@@ -32,10 +32,3 @@ RESPONSES = (
     "question string, choices array<string>, image string, answer string, "
     "resp string, parsed_answer string, verify boolean"
 )
-
-REWARD_ROWS = (
-    "completions string, solution string, images array<struct<path:string>>, "
-    "messages array<struct<role:string,content:string>>, question string"
-)
-
-JUDGE_RESPONSES = "id bigint, judge_resp string"

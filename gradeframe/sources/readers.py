@@ -8,7 +8,7 @@ from ..functions import fixed as K, text as T
 from ..schemas import BENCHMARK_SCHEMAS, RESPONSES
 from ..session import written
 
-def _parsed_lines(lines: DataFrame, schema: str, strict: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+def parsed_lines(lines: DataFrame, schema: str, strict: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``value``, one JSON object each, by a declared schema.
 
     A line is read as the only element of a list, so that text behind the object makes
@@ -29,14 +29,14 @@ def _parsed_lines(lines: DataFrame, schema: str, strict: bool, keep: tuple[str,
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = RESPONSES) -> DataFrame:
     """One JSON object per line; blank lines are skipped, a broken line is an error."""
-    return _parsed_lines(spark.read.text(path), schema, strict=True)
+    return parsed_lines(spark.read.text(path), schema, strict=True)
 
 
 def read_jsonl_tolerant(
     spark: SparkSession, path: str | list[str], schema: str = RESPONSES
 ) -> DataFrame:
     """Like `read_jsonl`, but broken lines are dropped."""
-    return _parsed_lines(spark.read.text(path), schema, strict=False)
+    return parsed_lines(spark.read.text(path), schema, strict=False)
 
 
 def read_jsonl_with_keys(
@@ -48,22 +48,26 @@ def read_jsonl_with_keys(
     ``records.has_fields``).
     """
     lines = spark.read.text(path).withColumn(raw, F.col("value"))
-    return _parsed_lines(lines, schema, strict=True, keep=(raw,))
+    return parsed_lines(lines, schema, strict=True, keep=(raw,))
 
 
 def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file that is one list of records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A JSON file that is one list of records; a damaged file is an error."""
+    return spark.read.schema(schema).options(multiLine=True, mode="FAILFAST").json(path)
 
 
 def read_json_keyed(spark: SparkSession, path: str, schema: str, key: str = "record_id") -> DataFrame:
     """A JSON file that is one object ``{id: record}``, as one row per record.
 
+    A damaged file is an error.
+
     A file is parsed by one task, as JSON without line structure has to be; write the
     rows as Parquet once (``sinks.write_parquet``) before scanning them often.
     """
     text = spark.read.text(path, wholetext=True)
     records = F.from_json("value", f"map<string,struct<{_as_struct(schema)}>>")
+    damaged = F.raise_error(F.concat(F.lit("file is not a JSON object: "), F.left("value", F.lit(100))))
+    records = F.coalesce(records, damaged.cast(f"map<string,struct<{_as_struct(schema)}>>"))
     return text.select(F.explode(records).alias(key, "r")).select(key, "r.*")
 
 
@@ -108,7 +112,7 @@ def read_result_files(
         .withColumn("file", F.col("_metadata.file_name"))
         .filter(~T.is_skipped_file("file"))
     )
-    rows = _parsed_lines(lines, schema, strict=not tolerant, keep=("file",))
+    rows = parsed_lines(lines, schema, strict=not tolerant, keep=("file",))
     return rows.withColumn("dataset", T.dataset_from_file("file"))
 
 
@@ -133,11 +137,6 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     )
 
 
-# A split is a path and two numbers: this many take a few tens of megabytes.  More are
-# joined by a shuffle.
-BROADCAST_SPLITS = 100_000
-
-
 def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
     """Add the 0-based row number within each file, in file order.
 
@@ -167,8 +166,6 @@ def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
         *block,
         (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
     )
-    if blocks.count() <= BROADCAST_SPLITS:
-        shifts = F.broadcast(shifts)
     out = numbered.join(shifts, block).withColumn(
         ordinal, (F.col("__mono") + F.col("__shift")).cast("bigint")
     )

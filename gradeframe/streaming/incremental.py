@@ -10,20 +10,26 @@ from ..functions.equivalence import EqualFn
 from ..operators.evaluate import evaluate_responses
 from ..schemas import RESPONSES
 from ..session import new_dir
+from ..sources.readers import parsed_lines
 
 
 def stream_responses(
     spark: SparkSession,
     folder: str,
     schema: str = RESPONSES,
-    format: str = "json",
     max_files: int | None = None,
+    tolerant: bool = False,
 ) -> DataFrame:
-    """New response files of a folder as a stream, with ``file`` and ``dataset``."""
-    reader = spark.readStream.schema(schema).format(format)
+    """New JSON lines files of a folder as a stream, with ``file`` and ``dataset``.
+
+    Lines are read as the batch readers read them: a broken line ends the stream with an
+    error, or is dropped if `tolerant`.
+    """
+    reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.load(folder).withColumn("file", F.col("_metadata.file_name"))
+    lines = reader.load(folder).withColumn("file", F.col("_metadata.file_name"))
+    rows = parsed_lines(lines, schema, strict=not tolerant, keep=("file",))
     return rows.withColumn("dataset", T.file_stem("file"))
 
 
@@ -51,17 +57,18 @@ def start_running_accuracy(
     table_path: str,
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Process everything that has arrived, write the totals table, stop.
+    """Process everything that has arrived, write the totals, stop.
 
     Restarting with the same `checkpoint` goes on where the last run ended.  Each batch
-    replaces the totals table, so repeating a batch after a failure changes nothing.
+    writes all totals into a folder of its own, so repeating a batch after a failure
+    replaces that folder only, and a reader (`read_totals`) always finds the last
+    complete one.
     """
     spark = totals.sparkSession
     checkpoint = checkpoint or new_dir(spark, "stream-checkpoint")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        # a handful of rows: one per data set
-        batch.coalesce(1).write.mode("overwrite").parquet(table_path)
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_path}/totals-{number:012d}")
 
     return (
         totals.writeStream.outputMode("complete")
@@ -72,6 +79,15 @@ def start_running_accuracy(
     )
 
 
+def read_totals(spark: SparkSession, table_path: str) -> DataFrame:
+    """The totals of the last batch that was written to its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/totals-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        raise FileNotFoundError(f"no totals in {table_path}")
+    return spark.read.parquet(max(f.getPath().getParent().toString() for f in found))
+
+
 def start_append_scored(
     scored: DataFrame, path: str, checkpoint: str | None = None, format: str = "json"
 ) -> StreamingQuery:

@@ -176,3 +176,25 @@ def test_filter_on_a_verdict_keeps_the_plan_small(spark):
     df = spark.createDataFrame([("1", "1.0", None, "q", "x")], "answer string, parsed_answer string, choices array<string>, question string, dataset string")
     plan = with_choice_match(df).filter("is_match")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 400_000
+
+
+def test_boxes_count_before_anything_else(spark):
+    cases = [
+        ("$\\boxed{5}$", "5", True), ("<answer>\\boxed{5}</answer>", "5", True), ("so \\boxed{5}", "5", True),
+        ("\\boxed{4} no, \\boxed{5}", "5", True), ("\\boxed{5} and \\boxed{4", "5", True), ("\\boxed{\\frac{10}{2}}", "5", True),
+        ("\\boxed{4}", "5", False), ("**5**", "5", True), ("$5", "5", True), ("5 cm", "5", True), ("1/2,3", "3,0.5", True),
+        ("Tom, Bob", "Bob, Tom", False), ("0.0000001", "0.0000002", False), ("0.333333", "1/3", True), ("\\boxed{}", "", False),
+        ("2^{1000}", "2^{1001}", False), ("\\frac{{{1}}}{2}", "\\frac{1}{2}", False),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, want boolean")
+    from gradeframe.functions.equivalence import equivalent
+
+    wrong = df.withColumn("got", equivalent("a", "b")).filter("got <> want").collect()
+    assert not wrong, wrong
+
+
+def test_tagged_box_is_rewarded(spark):
+    from gradeframe import score
+
+    df = spark.createDataFrame([("<answer>\\boxed{5}</answer>", "5"), ("so \\boxed{5}", "5")], "completion string, solution string")
+    assert [r[0] for r in score(df, ["external_answer_tag_acc"]).select("external_answer_tag_acc").collect()] == [1.0, 1.0]

@@ -284,8 +284,10 @@ def test_salvage_without_reply_and_judge_without_response(spark):
     assert got == {1: "<think>x</think>think is over, now give the **Final Answer**", 2: "<think>x", 3: "<think>x</think>"}
     responses = spark.createDataFrame([(1, "\\boxed{1}")], "id int, judge_resp string")
     rows = spark.createDataFrame([(1, "c", "1"), (2, "c", "1")], "id int, completion string, solution string")
-    got = {r.id: r.external_cap_verify for r in judging.score_judged(rows, responses, ["external_cap_verify"]).collect()}
+    got = {r.id: r.external_cap_verify for r in judging.score_judged(rows, ["external_cap_verify"], caption=responses).collect()}
     assert got == {1: 1.0, 2: 0.0}
+    with pytest.raises(Exception, match="more than one response"):
+        judging.score_judged(rows, ["external_cap_verify"], caption=responses.unionByName(responses)).collect()
 
 
 def test_stream_equals_batch_and_goes_on(spark, folder):
@@ -300,13 +302,26 @@ def test_stream_equals_batch_and_goes_on(spark, folder):
         rows = incremental.stream_responses(spark, f"{folder}/in", schema)
         query = incremental.start_running_accuracy(incremental.running_accuracy(rows), table, checkpoint)
         query.awaitTermination()
-        return spark.read.parquet(table).first().asDict()
+        return incremental.read_totals(spark, table).first().asDict()
 
     assert run() == {"dataset": "MathVerse", "n": 2, "n_correct": 1, "acc": 50.0}
     arrive(2, [{"answer": "3", "resp": "\\boxed{3}"}] * 2)
     assert run() == {"dataset": "MathVerse", "n": 4, "n_correct": 3, "acc": 75.0}
     batch = evaluate_responses(spark.read.schema(schema).json(f"{folder}/in"))
     assert metrics.accuracy(batch).first().acc == 75.0
+    # a batch that was cut off while it wrote is not read; a broken line ends the stream
+    write(f"{table}/totals-000000000009/part-0.parquet", "half")
+    assert incremental.read_totals(spark, table).first().acc == 75.0
+    write(f"{folder}/broken/MathVerse.1.jsonl", '{"answer":"1","resp":"1"}\n{"answer"\n')
+    for tolerant in (False, True):
+        rows = incremental.stream_responses(spark, f"{folder}/broken", schema, tolerant=tolerant)
+        query = incremental.start_running_accuracy(incremental.running_accuracy(rows), f"{folder}/t{tolerant}")
+        if tolerant:
+            query.awaitTermination()
+            assert incremental.read_totals(spark, f"{folder}/t{tolerant}").first().n == 1
+        else:
+            with pytest.raises(Exception, match="not a JSON object"):
+                query.awaitTermination()
     scored = evaluate_responses(incremental.stream_responses(spark, f"{folder}/in", schema))
     incremental.start_append_scored(scored, f"{folder}/scored", f"{folder}/check2").awaitTermination()
     assert spark.read.schema("verify boolean").json(f"{folder}/scored").filter("verify").count() == 3
@@ -315,3 +330,28 @@ def test_stream_equals_batch_and_goes_on(spark, folder):
 def test_written_table_is_read_back(spark):
     df = spark.range(10).withColumn("x", F.lit("a"))
     assert written(df, "t", ["x"]).count() == 10
+
+
+def test_damaged_json_files_are_errors(spark, folder):
+    write(f"{folder}/list.json", '[{"answer":"1"},{"answer":"2"')
+    write(f"{folder}/keyed.json", '{"1":{"answer":"1"},"2":{"answer"')
+    write(f"{folder}/empty.json", "{}")
+    for read in (readers.read_json_list, readers.read_json_keyed):
+        with pytest.raises(Exception):
+            read(spark, f"{folder}/{'list' if read is readers.read_json_list else 'keyed'}.json", "answer string").collect()
+    assert readers.read_json_keyed(spark, f"{folder}/empty.json", "answer string").count() == 0
+
+
+def test_other_failures_are_not_a_bad_file(spark, folder):
+    path = jsonl(f"{folder}/MathVerse.jsonl", [{"answer": "1", "resp": "1"}])
+
+    def broken(a, b):
+        return F.raise_error(F.lit("the solver is gone")).cast("boolean")
+
+    with pytest.raises(Exception, match="solver is gone"):
+        jobs.evaluate_jsonl(spark, path, equal=broken)
+
+
+def test_prompt_of_an_unknown_benchmark(spark):
+    df = spark.createDataFrame([(1, "Else", "how many?"), (2, None, "how many?")], "id int, dataset string, question string")
+    assert all("how many?" in r.prompt and r.images == [] for r in build_prompt(df).collect())

@@ -202,3 +202,51 @@ def test_counts(values):
     got = values(sample, T.occurrences("t", "<think>"), T.occurs_once("t", "</answer>"))
     assert got == [(t.count("<think>"), t.count("</answer>") == 1) for t in sample]
     assert values(["a b, c!", ""], T.token_count("t")) == [5, 0]
+
+
+def test_tags_against_python(values):
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["<answer>", "</answer>", "x", "\n", " ", "<answer", "</think>", "ü"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(400)]
+
+    def first(text, flags):
+        m = re.search("<answer>(.*?)</answer>", text, flags)
+        return m and m[1].strip()
+
+    def single(text):
+        found = re.findall("<answer>(.*?)</answer>", text, re.S)
+        return found[0] if len(found) == 1 else None
+
+    assert values(texts, T.tag_body("t", "answer")) == [first(x, 0) for x in texts]
+    assert values(texts, T.tag_body("t", "answer", True)) == [first(x, re.S) for x in texts]
+    assert values(texts, T.single_tag_body("t", "answer")) == [single(x) for x in texts]
+    assert values(texts, T.tag_bodies("t", "answer")) == [re.findall("<answer>(.*?)</answer>", x, re.S) for x in texts]
+
+
+def test_repeated_marks_take_linear_time(values):
+    import time
+
+    n = 20_000
+    cases = [
+        (["\\boxed{" * n, "} " + "\\boxed{" * n], T.boxed_all("t"), [[], []]),
+        (["<think>" * n, "</think>" + "<think>" * n], T.think_body("t"), [None, None]),
+        (["<desc>" * n, "</desc>" + "<desc>" * n], T.desc_body("t"), [None, None]),
+        (["<answer>" * n, "</answer>" + "<answer>" * n], T.answer_tag("t"), [None, None]),
+        (["<answer>" * n, "</answer>\n" + "<answer>\n" * n], T.answer_tag_multiline("t"), [None, None]),
+        (["<answer>" * n + "1</answer>"], F.length(T.answer_tag("t")), [8 * (n - 1) + 1]),
+    ]
+    values(["x"], T.boxed_all("t"))
+    for texts, column, want in cases:
+        start = time.perf_counter()
+        assert values(texts, column) == want
+        assert time.perf_counter() - start < 20
+
+
+def test_decimals_of_large_numbers(spark):
+    rows = [1e15 + 0.125, 2.0**52 + 0.5, 2.0**53 - 1, 2.0**53, 2.0**60, -(2.0**55)]
+    df = spark.createDataFrame([(x,) for x in rows], "x double")
+    got = [r[0] for r in df.select(T.fixed_decimals("x", 2)).collect()]
+    assert got == [f"{x:.2f}" for x in rows]
