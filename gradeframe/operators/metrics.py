@@ -224,7 +224,8 @@ def sharded_accuracy(
 ) -> DataFrame:
     """Accuracy as averaged over shards of batches, weighted by batch size.
 
-    Rows are cut into batches of `batch_size` by their dense ordinal from 0, a batch
+    Rows are cut into batches of `batch_size` by their dense ordinal from 0 (within a
+    group, if there is `by`), a batch
     into `n_shards` runs of equal length (the last may be short).  A batch counts the
     plain mean of its shards.  With `worst_case_image` a shard's accuracy is the share
     of its images that are right in every trial.
@@ -241,10 +242,10 @@ def sharded_accuracy(
         *([T.image_folder_key(worst_case_image).alias("__key")] if worst_case_image else []),
     )
     if by:
-        # joined per batch, not per group: batches are all of one size, so no key is hot
-        lengths = rows.groupBy(*by, "__batch").agg(F.count(F.lit(1)).alias("__length"))
-        rows = rows.join(lengths.hint("merge"), [*by, "__batch"])
-        length = F.col("__length")
+        # one total per group, as few rows as the result has
+        totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
+        rows = rows.join(totals, by)
+        length = F.least(F.lit(batch_size), F.col("__total") - F.col("__batch") * batch_size)
     else:
         total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
         length = F.least(F.lit(batch_size), total - F.col("__batch") * batch_size)

@@ -93,7 +93,7 @@ _on_responses(
     "d19_judge_prompts",
     lambda: {
         "caption": T.caption_judge_prompt("resp", "question"),
-        "thinking": T.thinking_judge_prompt("question", "answer"),
+        "thinking": T.thinking_judge_prompt("question", T.strip(T.think_body("resp"))),
     },
 )
 _on_responses("e01b_final_answer", lambda: final_answer("resp"))
@@ -122,6 +122,21 @@ def _(spark, sf):
     )
 
 
+@query("d20_marks_in_long_texts")
+def _(spark, sf):
+    r = D.long_responses(spark, sf)
+    return r.select(
+        "doc_id",
+        F.length(T.think_body("resp")).alias("think_length"),
+        F.length(T.desc_body("resp")).alias("desc_length"),
+        T.answer_tag("resp").alias("tag"),
+        T.answer_tag_multiline("resp").alias("tag_any_line"),
+        T.boxed_last("resp").alias("last_box"),
+        T.boxed_count("resp").alias("n_boxes"),
+        T.has_desc_think_answer_format("graded").alias("in_format"),
+    )
+
+
 @query("d13_squeeze_documents")
 def _(spark, sf):
     docs = D.table(spark, sf, "documents").select("doc_id", "text")
@@ -711,6 +726,11 @@ def _(spark, sf):
     return metrics.group_counts(D.responses(spark, sf))
 
 
+@query("g12_accuracy_per_benchmark")
+def _(spark, sf):
+    return jobs.accuracy_per_benchmark(_judged(spark, sf)).withColumn("acc", _r6("acc"))
+
+
 @query("h05_counts_per_image")
 def _(spark, sf):
     judged = _judged(spark, sf)

@@ -75,6 +75,20 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions as long as real ones: a document's text inside a desc and a think block.
+
+    ``graded`` is the part of ``resp`` in front of the box.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    number = _s(F.col("doc_id"))
+    graded = F.concat(
+        F.lit("<desc>"), "text", F.lit("</desc>\n<think>"), "text", F.lit("</think>\n<answer>"), number, F.lit("</answer>")
+    )
+    box = F.concat(F.lit("\n\n\\boxed{"), number, F.lit("}"))
+    return docs.select("doc_id", graded.alias("graded"), F.concat(graded, box).alias("resp"))
+
+
 DATASETS = (K.MATH_V, K.WE_MATH, K.MATHVERSE, K.MATHVISTA, K.LOGICVISTA, K.DYNAMATH)
 
 

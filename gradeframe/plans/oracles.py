@@ -417,7 +417,20 @@ O["d16_tag_counts"] = (
 O["d19_judge_prompts"] = (
     f"{R}select sid, {q(K.CAPTION_JUDGE_HEAD)} || resp || {q(K.CAPTION_JUDGE_QUESTION)} || question || "
     f"{q(K.CAPTION_JUDGE_TAIL)} as caption, 'Question: ' || replace(question, '<image>', '') || "
-    f"{q(K.THINKING_JUDGE_REASONING)} || answer as thinking from r"
+    f"{q(K.THINKING_JUDGE_REASONING)} || {strip(single('resp', 'think'))} as thinking from r"
+)
+
+
+_LONG = (
+    "d1 as (select doc_id, '<desc>' || coalesce(text, '') || '</desc>' || chr(10) || '<think>' || coalesce(text, '') || '</think>' "
+    "|| chr(10) || '<answer>' || doc_id || '</answer>' as graded from documents),\n"
+    f"d2 as (select *, graded || chr(10) || chr(10) || {BOX} || doc_id || '}}' as resp from d1)"
+)
+O["d20_marks_in_long_texts"] = (
+    f"{_with(_LONG)}select doc_id, len({single('resp', 'think')}) as think_length, len({single('resp', 'desc')}) as desc_length, "
+    f"{tag('resp', 'answer')} as tag, {tag('resp', 'answer', '(?s)')} as tag_any_line, {boxed_last('resp')} as last_box, "
+    f"cast(len({boxed_all('resp')}) as int) as n_boxes, "
+    "regexp_matches(graded, '(?s)^<desc>.*?</desc>\\s*<think>.*?</think>\\s*<answer>.*?</answer>$') as in_format from d2"
 )
 
 
@@ -793,6 +806,11 @@ O["g03_strict_trials"] = (
     f"{E}, {_IMG} select dataset, count(*) filter (where nv = 10) as qualified_count, "
     "round(count(*) filter (where nv = 10) / 501.0::double, 6) as acc from im group by dataset"
 )
+O["g12_accuracy_per_benchmark"] = (
+    f"{E}, {_IMG}, pa as (select dataset, count(*) as n, avg(cast(verify as int)) * 100 as acc from e group by dataset), "
+    "pw as (select dataset, avg(ok) * 100 as worst from im group by dataset) "
+    "select dataset, n, round(case when dataset = 'DynaMath' then worst else acc end, 6) as acc from pa join pw using (dataset)"
+)
 O["a06_evaluated_file"] = (
     f"{E}, {_IMG} select 'DynaMath' as dataset, round(avg(ok) * 100, 6) as acc, "
     "printf('%.4f', avg(ok) * 100) as acc_text from im"
