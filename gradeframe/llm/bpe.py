@@ -31,13 +31,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """Answers of ``make``; the older of two generations is forgotten when one is full."""
+    """Answers of ``make``; the older of two generations is forgotten when one is full.
+
+    Keys of more than ``LONGEST`` characters are not remembered, so memory is bounded.
+    """
+
+    LONGEST = 200
 
     def __init__(self, make: Callable, room: int):
         super().__init__()
         self.make, self.room, self.old = make, room, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
