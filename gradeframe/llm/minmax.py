@@ -6,9 +6,11 @@ their estimates vary less.  Bands of the signature bring candidates together; a
 counts only after both full shingle sets have been compared.
 
 Documents with equal sets are one node from the start, so large groups of copies cost
-nothing.  Within a bucket, members are compared with a lead instead of with each other;
-what is in different components after some rounds of leads is compared pair by pair, so
-that no link between candidates is lost.
+nothing.  Within a bucket, members are first compared with a lead, the one in the most
+crowded buckets; what is in different components after that is compared pair by pair, so
+that no link between candidates is lost.  Odd sketches keep most pairs that are not linked
+from being formed: two sets differ in at least as many shingles as their sketches in bits,
+which rules out pairs for certain and no linked one.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, components, grown, mix64, odd_numbers, ship, text_batches, word_hashes
 
+SKETCH_BITS = 2048
 PERMS_PER_BAND = 3  # six values: three minima and three maxima
 
 
@@ -53,6 +56,12 @@ def min_max(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> tup
     return low, high
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of the sketch whether an odd number of the set's hashes choose it."""
+    chosen = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(chosen.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     values = np.concatenate([low.reshape(-1, PERMS_PER_BAND), high.reshape(-1, PERMS_PER_BAND)], axis=1)
     key = np.arange(len(values), dtype=np.uint64)
@@ -62,12 +71,14 @@ def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, seed: int) -> DataFrame:
-    """All columns of ``docs`` as struct ``doc``; n_shingles, f1, f2 (of the set), bands."""
+    """All columns of ``docs`` as struct ``doc``; n_shingles, f1, f2 (of the
+    set), bands, odd sketch."""
     ship(docs.sparkSession)
     out = docs.select(F.struct("*").alias("doc"), docs.text.cast("binary").alias("t"))
     schema = T.StructType([
         out.schema["doc"], T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()),
         T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("odd", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,9 +89,10 @@ def signatures(docs: DataFrame, shingle: int, bands: int, seed: int) -> DataFram
             f1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
             f2 = [int(mix64(s ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             keys = [band_keys(*min_max(s, factors, offsets)) if len(s) else None for s in sets]
+            odd = [odd_sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "n_shingles", "f1", "f2", "bands"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc", "n_shingles", "f1", "f2", "bands", "odd"],
             )
 
     return out.mapInArrow(run, schema)
@@ -107,7 +119,7 @@ def linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return both.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6, lead_rounds: int = 3, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6, lead_rounds: int = 1, seed: int = 7) -> DataFrame:
     """One row per document: doc (all its columns as a struct), rid, n_shingles,
     component_id, kept, stays.
 
@@ -131,19 +143,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     members = scratch.keep(narrow.join(nodes, ["n_shingles", "f1", "f2"]).select("rid", "node"), "members")
     heads = members.where("rid = node").select("rid")
     entries = t.select("rid", "bands").join(heads, "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
-    crowded = entries.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last")
-    entries = scratch.keep(entries.join(crowded.select("key"), "key"), "entries")
+    crowded = entries.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    entries = scratch.keep(entries.join(crowded, "key"), "candidates")
     texts = t.select("rid", F.col("doc.text").alias("text"))
 
+    # weight: how crowded a document's buckets are; the most central one is the best lead
+    weights = entries.groupBy("rid").agg(F.sum("crowd").alias("weight"))
+    weights = weights.join(t.select("rid", F.col("n_shingles").alias("n"), "odd"), "rid")
+    entries = scratch.keep(entries.drop("crowd").join(weights, "rid"), "entries")
+
+    def able(a: str, b: str) -> Column:
+        """Whether two documents can be similar enough.
+
+        Their sets differ in at least as many shingles as their odd sketches in bits.
+        """
+        # one column for each 64 bits, so that it is compiled into the join
+        differ = " + ".join(f"bit_count({a}odd{i} ^ {b}odd{i})" for i in range(SKETCH_BITS // 64))
+        close = f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n)"
+        return F.expr(f"{close} AND {100 + percent} * ({differ}) <= {100 - percent} * ({a}n + {b}n)")
+
+    def unfolded(rows: DataFrame, sketch: str, prefix: str = "") -> DataFrame:
+        return rows.select("*", *[F.col(sketch)[i].alias(f"{prefix}odd{i}") for i in range(SKETCH_BITS // 64)])
+
     def mixed(found: DataFrame) -> DataFrame:
-        """Entries (key, rid, c) of the buckets that hold more than one component."""
-        own = entries.join(found, entries.rid == found.id, "left").select("key", "rid", F.coalesce("component", "rid").alias("c"))
-        spread = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        return own.join(spread.select("key"), "key")
+        """Entries of the buckets that hold more than one component, with the main one."""
+        own = entries.join(found, entries.rid == found.id, "left")
+        own = own.select("key", "rid", F.coalesce("component", "rid").alias("c"), "n", "odd", "weight")
+        sizes = own.groupBy("key", "c").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("parts"))
+        return own.join(main.where("parts > 1").select("key", F.col("m.c").alias("main")), "key")
 
     tested: list[DataFrame] = []
     found = spark.createDataFrame([], "id bigint, component bigint")
-    now = entries.select("key", "rid", F.col("rid").alias("c"))
+    now = entries.select("key", "rid", F.col("rid").alias("c"), "n", "odd", "weight", F.lit(None).cast("bigint").alias("main"))
 
     def test(pairs: DataFrame, name: str) -> bool:
         """Confirm pairs not tested yet; whether there were any."""
@@ -164,13 +196,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
         return True
 
     for turn in range(lead_rounds):
-        # the lead: another member each time, so that an unlucky one does not part a group
-        draw = F.struct((F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))).alias("draw"), F.col("rid").alias("rid"), F.col("c").alias("c"))
-        leads = now.groupBy("key").agg(F.min(draw).alias("lead")).select("key", F.col("lead.rid").alias("v"), F.col("lead.c").alias("v_c"))
-        test(now.join(leads, "key").where("c <> v_c").select(F.col("rid").alias("u"), "v").distinct(), f"lead{turn}")
-    # what is still apart: all pairs across components that share a bucket
-    a, b = now.alias("a"), now.alias("b")
-    rest = a.join(b, F.expr("a.key = b.key and a.c < b.c"))
+        # the lead: the most central member, then others
+        draw = -F.col("weight") if turn == 0 else F.xxhash64("rid", F.lit(turn))
+        draw = F.struct(draw.alias("draw"), *[F.col(c).alias(c) for c in ("rid", "c", "n", "odd")])
+        leads = now.groupBy("key").agg(F.min(draw).alias("lead"))
+        leads = leads.select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("rid", "c", "n", "odd")])
+        pairs = unfolded(now, "odd").join(unfolded(leads, "lead_odd", "lead_"), "key").where((F.col("c") != F.col("lead_c")) & able("", "lead_"))
+        test(pairs.select(F.col("rid").alias("u"), F.col("lead_rid").alias("v")).distinct(), f"lead{turn}")
+    # what is still apart: all pairs across components that share a bucket; members of the
+    # bucket's main component are never compared with each other
+    apart = unfolded(now, "odd").drop("odd")
+    a, b = apart.where("main IS NULL OR c <> main").alias("a"), apart.alias("b")
+    rest = a.join(b, F.expr("a.key = b.key AND a.c <> b.c AND (coalesce(b.c = b.main, false) OR a.c < b.c)") & able("a.", "b."))
     test(rest.select(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).distinct(), "rest")
     found = scratch.keep(found, "components")
     scratch.drop(*[n for n in scratch.paths if n not in ("documents", "members", "components")])
