@@ -127,7 +127,7 @@ def _rewrite_steps() -> str:
     words = r"\\(?:text|textbf|mathrm|mathbf|mbox)\{([^{}]*)\}"
     y = _step(y, _has(r"\text", r"\math", r"\mbox"), _sub(_sub("y", unit, "$1"), words, "$1"))
     plain_unit = r"([0-9])[ ~]+(?:" + K.PLAIN_UNITS + r")(?:\^?[23]|[²³])?\.?\z"
-    y = _step(y, r"y RLIKE r'[0-9][ ~]+[a-zµ][A-Za-z0-9^²³.]*\z'", _sub("y", plain_unit, "$1"))
+    y = _step(y, r"(contains(y, ' ') OR contains(y, '~')) AND y RLIKE r'[0-9][ ~]+[a-zµ][A-Za-z0-9^²³.]*\z'", _sub("y", plain_unit, "$1"))
     degrees = r"\^?\{?\\(?:circ|degree)(?![A-Za-z])\}?|°"
     y = _step(y, _has(r"\circ", r"\degree", "°"), _sub("y", degrees, ""))
     y = _drop(y, ("{,}", ","))
@@ -203,7 +203,11 @@ def canonical(answer: ColumnOrName) -> Column:
         lambda s: unless_simple(
             s,
             lambda s: _bind(
-                _opened(_without_delimiters(_opened(s))), lambda d: unless_simple(d, rewritten)
+                _opened(s),
+                lambda o: unless_simple(
+                    o,
+                    lambda o: _bind(_without_delimiters(o), lambda d: unless_simple(d, rewritten)),
+                ),
             ),
         ),
     )
