@@ -219,10 +219,14 @@ def _(spark, sf):
 
 @query("e02a_choice_info")
 def _(spark, sf):
-    items = D.choice_items(spark, sf).filter("choices IS NOT NULL")
-    options = F.array().cast(T.OPTIONS_TYPE)
-    info = choice_info(T.strip("answer"), "choices", options)
-    return items.withColumn("i", info).select("item_id", "i.letter", "i.index", "i.text")
+    given = F.coalesce("choices", F.array().cast("array<string>"))
+    found = T.options_from_question("question", "dataset")
+    items = D.choice_items(spark, sf).withColumns({"given": given, "found": found})
+    options = F.when(F.size("given") == 0, F.col("found")).otherwise(F.array().cast(T.OPTIONS_TYPE))
+    items = items.withColumn("options", options)
+    listed = F.when(F.size("options") > 0, T.option_list("options")).otherwise(F.col("given"))
+    info = choice_info(T.strip("answer"), "listed", F.col("options"))
+    return items.withColumn("listed", listed).withColumn("i", info).select("item_id", "i.letter", "i.index", "i.text")
 
 
 @query("h06_lookup_by_name")

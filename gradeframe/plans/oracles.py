@@ -531,7 +531,7 @@ O["e01b_final_answer_of_texts"] = (
     f"select doc_id, {final_answer_of_text('text')} as value from documents"
 )
 O["e02a_choice_info"] = (
-    _with(CHOICES, OPTIONS, "c1 as (select *, trim(answer) as a, choices as ch from cl where choices is not null)",
+    _with(CHOICES, OPTIONS, "c1 as (select *, trim(answer) as a, coalesce(choices, found) as ch from cl)",
           f"c2 as (select *, {_choice('a', 'a')} from c1)", f"c3 as (select *, {_choice_text('a', 'a')} from c2)")
     + "select item_id, a_n as letter, cast(a_i as int) as index, a_t as text from c3"
 )
