@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids"))
+    return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids"), room=50_000)
 
 
 STAGES = [

@@ -158,12 +158,12 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def loaded(description: bytes) -> Bpe:
+def loaded(description: bytes, room: int = 250_000) -> Bpe:
     """One tokenizer per Python worker, kept from task to task."""
-    key = hashlib.sha256(description).hexdigest()
+    key = f"{hashlib.sha256(description).hexdigest()} {room}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Bpe(description)
+        _LOADED[key] = Bpe(description, room)
     return _LOADED[key]
 
 
@@ -176,9 +176,12 @@ OUTPUTS = {
 }
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), room: int = 250_000) -> DataFrame:
     """One row per document: doc_id and the chosen ``outputs``.
 
+    A Python worker remembers up to 4 x ``room`` pieces, about 250 bytes each, and keeps
+    them after the query; take less room where other steps follow.
+
     ``tokenizer`` is the path of the JSON description, read once on the driver (a file of
     a few MB) and broadcast.  ``decoded`` and ``decoded_sha256`` decode the ids just made.
     Null texts are encoded as empty ones (no ids).  Rows keep their order, repeated rows
@@ -191,7 +194,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] =
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(o, OUTPUTS[o][0]) for o in outputs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(shared.value)
+        bpe = loaded(shared.value, room)
         for batch in text_batches(batches):
             rows = [[] for _ in outputs]
             for text in batch.column(1):
