@@ -1,15 +1,17 @@
 """Mix sources to target weights on a low-discrepancy schedule.
 
-Slot k of the mix goes to the source in whose share of the unit interval the point
-``frac((k + 1/2) * golden ratio)`` falls, so every stretch of the mix has each source close
-to its share.  The r-th slot of a source takes the r-th block of equal word count from the
-source's stream: its documents in a shuffled order, then again in another one (a source
-is used twice at most).
+A source gets as many slots as its target has blocks, the last of them perhaps short.  The
+points ``frac((k + 1/2) * golden ratio)`` of all slots k are put in order, and each source
+has as many neighbouring ones as it has slots, so no source lacks a slot and every stretch
+of the mix has each source close to its share.  The r-th slot of a source takes the r-th
+block of equal word count from the source's stream: its documents in a shuffled order, then
+again in another one (a source is used twice at most).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +56,8 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: i
     source is a source of its own.  Repeated rows are separate documents, ordered among
     themselves arbitrarily but with the same sizes.  Reruns give the same mix: order
     depends on doc_id, seed and size only.  An empty table, or one without words, gives a
-    mix without slots.  ``row`` names a column that identifies rows, to be ``rid`` of the
+    mix without slots.  Every source gives the whole words of its target, and one if that is
+    a fraction of a word.  ``row`` names a column that identifies rows, to be ``rid`` of the
     result; otherwise rows are numbered.  Other columns are ignored.
 
     One row per *source* (not per document) goes through the driver.
@@ -65,22 +68,18 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: i
     by_source = [(r[0], r[1]) for r in narrow.groupBy("source").agg(F.sum("size")).collect()]
     by_source.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     goal = targets(by_source, weights, share) if by_source else []
-    total = sum(goal)
-    ends, run = [], 0.0
-    for g in goal:
-        run += g
-        ends.append(run / total if total else 1.0)
+    stops = [max(1, int(g)) if g > 0 else 0 for g in goal]
+    ends = list(accumulate(-(-n // block) for n in stops))  # slots of this and all earlier sources
     plan = spark.createDataFrame(
-        [(i, s, n, g, int(g)) for i, ((s, n), g) in enumerate(zip(by_source, goal, strict=True))],
+        [(i, s, n, g, stop) for i, ((s, n), g, stop) in enumerate(zip(by_source, goal, stops, strict=True))],
         "s_no int, s_name string, source_size bigint, target double, s_stop bigint",
     )
 
-    n_slots = -(-int(total) // block)
     point = F.pmod((F.col("id") + 0.5) * GOLDEN, F.lit(1.0))
-    bounds = F.array(*[F.lit(e) for e in ends[:-1]]) if len(ends) > 1 else F.array().cast("array<double>")
-    slots = spark.range(n_slots).select(
-        F.col("id").alias("slot"), F.size(F.filter(bounds, lambda e: e <= point)).alias("s_no")
-    )
+    points = spark.range(ends[-1] if ends else 0).select(F.col("id").alias("slot"), point.alias("point"))
+    points = ranged_prefix(points, [], ["point", "slot"], {"place": F.lit(1)})
+    bounds = F.array(*[F.lit(e) for e in ends[:-1]]).cast("array<bigint>")
+    slots = points.select("slot", F.size(F.filter(bounds, lambda e: e <= F.col("place"))).alias("s_no"))
     # rank inside the source: counts of earlier chunks, then the place inside the chunk
     chunk = 1 << 12
     slots = slots.withColumn("chunk", F.floor(F.col("slot") / chunk))

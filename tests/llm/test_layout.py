@@ -57,6 +57,32 @@ def test_mix_of_nothing(spark):
     assert [r["taken"] for r in only.documents.collect()] == [0, 0]
 
 
+MANY = {"big": 200_000, **{f"s{i:04}": 100 for i in range(2000)}}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 40_000, "b": 60, "c": 30_000}, {"a": 300, "b": 20}, {"a": 3, "b": 1, "c": 1}, MANY, {f"t{i:04}": 1 for i in range(2000)}])
+def test_mix_takes_the_whole_target_of_every_source(spark, sizes):
+    full = [(i, "w " * min(1000, n - at), "en", s) for i, (s, n, at) in enumerate((s, n, at) for s, n in sizes.items() for at in range(0, n, 1000))]
+    mix = mixing.mix_sources(documents(spark, full), block=256)
+    taken, goal = defaultdict(int), {}
+    for r in mix.documents.collect():
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert sum(goal.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert taken == {s: max(1, int(g)) for s, g in goal.items()}
+    # every slot has one block of its source, and no stretch misses a source's share of the slots by much
+    schedule = {r["slot"]: (r["source"], r["rank"]) for r in mix.schedule.collect()}
+    assert sorted(schedule) == list(range(len(schedule)))
+    assert Counter(schedule.values()) == Counter((s, i) for s, n in taken.items() for i in range(-(-n // 256)))
+    assert {(r["slot"], r["source"], r["rank"]) for r in mix.pieces.collect()} == {(k, *v) for k, v in schedule.items()}
+    first = next(iter(sizes))
+    share, seen = -(-taken[first] // 256) / len(schedule), 0
+    for k in range(len(schedule)):
+        assert schedule[k][0] != first or schedule[k][1] == seen
+        seen += schedule[k][0] == first
+        assert abs(seen - (k + 1) * share) < 6
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 63, 64, 65, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     a = training_order.feistel(np.arange(n), n, 1)
