@@ -33,14 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings of earlier documents; documents that keep no word go.
+    """Texts without the 50-byte strings of earlier documents; documents that lose all words go.
 
     A character of which a part was removed goes whole.  ``n_chars`` is counted anew.
     """
-    found = suffix.without_repeats(docs)
-    kept = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.col("n_removed") > 0, kept).otherwise(F.col("doc.text"))
-    rows = found.select("doc", text.alias("text")).where(F.regexp_like("text", F.lit(WORD)))
+    found = suffix.without_repeats(docs, characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("doc.text"))
+    rows = found.select("doc", "n_removed", text.alias("text"))
+    rows = rows.where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(WORD)))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return rows.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 

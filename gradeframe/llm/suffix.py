@@ -226,9 +226,28 @@ def covered(size: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def whole_characters(data: bytes, off: np.ndarray) -> None:
+    """Mark the rest of every UTF-8 character of which ``off`` marks a part.
+
+    Bytes that belong to no character are left as they are.
+    """
+    for at in (np.flatnonzero(off[1:] != off[:-1]) + 1).tolist():
+        lead = at
+        while lead > max(0, at - 3) and data[lead] & 0xC0 == 0x80:
+            lead -= 1
+        stop = lead + (4 if data[lead] >= 0xF0 else 3 if data[lead] >= 0xE0 else 2)
+        if lead < at < stop and data[lead] >= 0xC0:
+            try:
+                data[lead:stop].decode()
+            except UnicodeDecodeError:
+                continue
+            off[lead:stop] = True
+
+
+def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """One row per document: doc (all its columns as a struct), kept (binary: the bytes that
     stay), n_bytes, n_removed, spans (array of removed runs: first byte, bytes).
+    ``characters``: a character of which a byte goes, goes whole.
 
     Null texts are empty; texts below 50 bytes lose nothing.  Repeats inside a document
     are no reason for removal, nor are those of rows with an equal doc_id.  A row without
@@ -278,6 +297,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for i, starts in hits.items():
                 if starts:
                     off = covered(len(data[i]), np.concatenate(starts))
+                    if characters:
+                        whole_characters(data[i], off)
                     edge = np.flatnonzero(np.diff(np.r_[False, off, False].astype(np.int8)))
                     runs[i] = [{"first": a, "n": b - a} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                     kept[i] = np.frombuffer(data[i], np.uint8)[~off].tobytes()

@@ -1,11 +1,13 @@
 """The stages, each against what it is to do with its own input."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from fixtures import documents, words
 from test_dedup import groups, order, removal, texts
 
 import __spark_entry__ as entry
+from gradeframe.llm import suffix
 from gradeframe.session import written
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,6 +53,32 @@ def test_repeated_strings_stage(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in stages[3].collect())
 
 
+def test_repeated_strings_stage_cuts_nothing_else(spark):
+    shared = "й" + "".join(chr(0x430 + i % 31) for i in range(40)) + "é"
+    rows = [
+        (1, "first " + shared + "è", "en", "a"),
+        (2, "genuine � mark " + shared + "ê and another � mark 日本", "en", "a"),  # ê shares its first byte with è
+        (3, "untouched � mark", "en", "a"),
+        (4, None, "en", "a"),
+        (5, " \t\n", "en", "a"),
+        (6, "", "en", "a"),
+        (7, shared, "en", "a"),  # all of it repeats
+    ]
+    got = corpus_pipeline.suffix_dedup(spark, documents(spark, rows), SMALL).collect()
+    want = {r[0]: r[1] for r in rows[:6]} | {2: "genuine � mark and another � mark 日本"}
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+
+
+def test_whole_characters():
+    data = "a日é😀z".encode() + b"\x80\x80\xe6\x97z"  # behind z: bytes of no character
+    for first, stop, want in [(0, 1, (0, 1)), (2, 3, (1, 4)), (3, 5, (1, 6)), (9, 10, (6, 10)), (6, 7, (6, 10)), (11, 12, (11, 12)), (12, 14, (12, 14))]:
+        off = np.zeros(len(data), bool)
+        off[first:stop] = True
+        suffix.whole_characters(data, off)
+        assert np.flatnonzero(off).tolist() == list(range(*want))
+
+
 def test_mix_stage(stages):
     before, after = {r[0]: r for r in plain(stages[3])}, plain(stages[4])
     assert after and all(before[r[0]] == r for r in after)
