@@ -14,17 +14,18 @@ from gradeframe.llm.common import WORD
 from gradeframe.llm.queries import tokenizer_path
 from gradeframe.session import written
 
-#: A document goes if less than this share of its letters is in one learned language.
+#: A document goes if less than this share of its letters is evidence for learned languages.
 LEAST_SHARE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach.
+    """Documents in languages that the labelled ones teach, one or several mixed.
 
-    Null, empty and letterless texts go, and those of which no language has LEAST_SHARE.
+    Null, empty and letterless texts go, and those of which all learned languages together
+    have less than LEAST_SHARE.
     """
     found = langid.identify(docs, langid.fit(docs), carry=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc.*")
+    return found.where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_SHARE)).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

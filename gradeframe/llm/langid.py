@@ -161,18 +161,20 @@ def fit(docs: DataFrame, sample_per_language: int = 2000, seed: int = 5) -> Mode
 SCHEMA = T.StructType([
     T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]))),
+    T.StructField("evidence", T.DoubleType()),
 ])
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: doc, lang_pred, score, n_words, spans.
+    """One row per document: doc, lang_pred, score, n_words, spans, evidence.
 
     ``doc``: struct of the columns to ``carry``.
     ``spans``: runs of words (letters only, counted from 0) with one language.
     ``lang_pred``: the language of most letters, ties to the first by name; ``score``: its
     share of the letters, counting as evidence only words in a script that some language
-    uses.  ``und`` with score 0 if the text is null, has no letter, or nothing was learned.
+    uses; ``evidence``: the share of the letters that are evidence for any language.  ``und``
+    with score and evidence 0 if the text is null, has no letter, or nothing was learned.
     Texts are read whole.  Repeated rows are labelled each, an empty table gives no rows;
     only the text decides, other columns may be null and have any name.
     """
@@ -185,7 +187,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[s
         for batch in text_batches(batches, most=6 << 20):
             found = [WORDS.findall(utf8(t).lower()) for t in batch.column(1)]
             starts = np.cumsum([0, *map(len, found)])
-            pred, share, spans = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [[] for _ in found]
+            pred, share, spans, evidence = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [[] for _ in found], np.zeros(batch.num_rows)
             flat = [w for words in found for w in words]
             del found
             if flat and own.langs:
@@ -206,8 +208,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[s
                 best = by.argmax(axis=1)
                 for i in np.flatnonzero(by.max(axis=1) > 0):
                     pred[i], share[i] = own.langs[best[i]], proof[i, best[i]] / by[i].sum()
+                    evidence[i] = proof[i].sum() / by[i].sum()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(share), pa.array(np.diff(starts)), pa.array(spans, SPANS)],
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(share), pa.array(np.diff(starts)), pa.array(spans, SPANS), pa.array(evidence)],
                 ["doc", *SCHEMA.names],
             )
 

@@ -36,6 +36,15 @@ def test_language_stage(stages):
     assert gone == {5, 6, 7, 20}
 
 
+def test_language_stage_keeps_mixed_texts(spark):
+    own = [("en", "river stone cloud "), ("ru", "книга земля город "), ("el", "λόγος κόσμο νερόν ")]
+    rows = [(i, text * 20, lang, "a") for i, (lang, text) in enumerate(own)]
+    rows += [(3, "".join(text * 20 for _, text in own), None, "a"), (4, "წიგნი მიწაა " * 20, None, "a")]
+    rows += [(5, own[0][1] * 10 + "წიგნი მიწაა ქალაქ " * 20, None, "a")]  # a third is learned
+    got = corpus_pipeline.language_id(spark, documents(spark, rows), SMALL)
+    assert {r["doc_id"] for r in got.collect()} == {0, 1, 2, 3}
+
+
 def test_near_duplicate_stage(stages):
     before, after = plain(stages[1]), plain(stages[2])
     found = groups(before, 5, 80)
