@@ -57,8 +57,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids"), room=50_000)
+    """Token ids of every document, the hash of what they decode to, and whether that is the text."""
+    return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids", "decoded_sha256", "restored"), room=50_000)
 
 
 STAGES = [
@@ -66,7 +66,7 @@ STAGES = [
     ("MinHash near-dedup", near_dedup),
     ("suffix-array dedup", suffix_dedup),
     ("mixing sources to target weights", mix),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: SQL cannot express the stages; tests hold them against brute force.

@@ -167,13 +167,16 @@ def loaded(description: bytes, room: int = 250_000) -> Bpe:
     return _LOADED[key]
 
 
+# from the tokenizer, the ids, the text's bytes and what the ids decode to
 OUTPUTS = {
-    "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda b, ids: ids),
-    "n_tokens": (T.LongType(), pa.int64(), lambda b, ids: len(ids)),
-    "ids_sha256": (T.StringType(), pa.string(), lambda b, ids: hashlib.sha256(",".join(map(b.numerals.__getitem__, ids)).encode()).hexdigest()),
-    "decoded": (T.StringType(), pa.string(), lambda b, ids: b.decode(ids)),
-    "decoded_sha256": (T.StringType(), pa.string(), lambda b, ids: hashlib.sha256(b.decode(ids).encode()).hexdigest()),
+    "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda b, ids, data, back: ids),
+    "n_tokens": (T.LongType(), pa.int64(), lambda b, ids, data, back: len(ids)),
+    "ids_sha256": (T.StringType(), pa.string(), lambda b, ids, data, back: hashlib.sha256(",".join(map(b.numerals.__getitem__, ids)).encode()).hexdigest()),
+    "decoded": (T.StringType(), pa.string(), lambda b, ids, data, back: back),
+    "decoded_sha256": (T.StringType(), pa.string(), lambda b, ids, data, back: hashlib.sha256(back.encode()).hexdigest()),
+    "restored": (T.BooleanType(), pa.bool_(), lambda b, ids, data, back: back.encode() == data),
 }
+DECODING = {"decoded", "decoded_sha256", "restored"}
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), room: int = 250_000) -> DataFrame:
@@ -183,7 +186,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] =
     them after the query; take less room where other steps follow.
 
     ``tokenizer`` is the path of the JSON description, read once on the driver (a file of
-    a few MB) and broadcast.  ``decoded`` and ``decoded_sha256`` decode the ids just made.
+    a few MB) and broadcast.  ``decoded`` and ``decoded_sha256`` decode the ids just made;
+    ``restored`` says whether that gives the text again, byte for byte.
     Null texts are encoded as empty ones (no ids).  Rows keep their order, repeated rows
     are repeated, an empty table gives no rows, other columns are ignored.
     """
@@ -194,13 +198,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] =
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(o, OUTPUTS[o][0]) for o in outputs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(shared.value, room)
+        bpe, decodes = loaded(shared.value, room), not DECODING.isdisjoint(outputs)
         for batch in text_batches(batches):
             rows = [[] for _ in outputs]
             for text in batch.column(1):
                 ids = bpe.encode(utf8(text))
+                back = bpe.decode(ids) if decodes else None
                 for row, o in zip(rows, outputs, strict=True):
-                    row.append(OUTPUTS[o][2](bpe, ids))
+                    row.append(OUTPUTS[o][2](bpe, ids, text.as_py() or b"", back))
             arrays = [pa.array(r, OUTPUTS[o][1]) for r, o in zip(rows, outputs, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *outputs])
 

@@ -1,5 +1,7 @@
 """The stages, each against what it is to do with its own input."""
 
+import hashlib
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -106,6 +108,13 @@ def test_encoding_stage(stages):
     assert order((r["doc_id"], r["ids"]) for r in stages[5].collect()) == order(want)
 
 
+def test_encoding_stage_decodes(stages, spark):
+    want = [(r[0], hashlib.sha256(r[1].encode()).hexdigest(), True) for r in plain(stages[4])]
+    assert order((r["doc_id"], r["decoded_sha256"], r["restored"]) for r in stages[5].collect()) == order(want)
+    broken = documents(spark, [(1, "a", "en", "a"), (2, None, "en", "a")]).selectExpr("doc_id", "if(doc_id = 1, cast(x'61ff' as string), text) as text")
+    assert {r["doc_id"]: r["restored"] for r in corpus_pipeline.encode(spark, broken, SMALL).collect()} == {1: False, 2: True}
+
+
 def test_entry_lists_the_corpus_queries(spark):
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
