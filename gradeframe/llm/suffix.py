@@ -1,9 +1,10 @@
-"""Remove byte strings that also start in an earlier document: distributed prefix doubling.
+"""Remove byte strings that also start in an earlier document, by names of 28 and 50 bytes.
 
-Strings are named by ranks of growing length: equal strings have equal names, and the name
-of 2n bytes is made of the names of its halves, the last step overlapping (28 bytes, then
-50).  Names of short strings are fingerprints made inside a task, since sorting every
-position of a corpus would move twenty times its size.  Spark sorts in two rounds:
+All names are polynomial hashes made inside a task: equal strings have equal names, and
+the name of 2n bytes is made of the names of its halves, the last step overlapping.  There
+are no ranks: ranking pairs of ranks at growing offsets and ranking anew, as prefix
+doubling does, would sort every position of a corpus in every round and move twenty times
+its size.  Spark sorts in two fixed rounds instead:
 
 1. (name of 28 bytes, document) for one position of about fifteen.  Which position stands
    for a 50-byte string is decided by the string itself, so equal strings choose alike
