@@ -27,10 +27,11 @@ from gradeframe.session import new_dir, written
 
 from .common import Scratch, mix64, ship, text_batches, utf8
 
-MAGIC = b"GFSEQ001"
+MAGIC = b"GFSEQ002"
 HEADER = "<8sIIQQ"  # magic, bytes of a token, tokens of a sequence, first place, records
 HEADER_SIZE = struct.calcsize(HEADER)
 RECORD = np.dtype([("doc_id", "<i8"), ("seq_no", "<u4"), ("n_tokens", "<u4")])
+NO_ID = 1 << 31  # bit of n_tokens in a record whose doc_id is null
 SEQUENCE = "doc_id bigint, seq_no bigint, n_tokens bigint, tokens binary"
 
 
@@ -153,7 +154,7 @@ def write_shards(ordered: DataFrame, total: int, folder: str, length: int, width
                             shard, n, own = slot // per_shard, 0, f"{path}/{uuid.uuid4().hex}.part"
                             out = store.open_output_stream(own, compression=None)
                             out.write(struct.pack(HEADER, MAGIC, width, length, shard * per_shard, min(per_shard, total - shard * per_shard)))
-                        head = np.array([(-1 if doc_id is None else doc_id, seq_no, n_tokens)], RECORD)
+                        head = np.array([(0, seq_no, n_tokens | NO_ID) if doc_id is None else (doc_id, seq_no, n_tokens)], RECORD)
                         out.write(head.tobytes() + tokens.ljust(stride - RECORD.itemsize, b"\0"))
                         n += 1
             if out:
@@ -190,11 +191,12 @@ def read_shards(spark: SparkSession, shards: DataFrame, start: int = 0) -> DataF
                         count = min(n - at, max(1, (2 << 20) // stride))
                         data = np.frombuffer(source.read(count * stride), np.uint8).reshape(count, stride)
                         head = np.ascontiguousarray(data[:, : RECORD.itemsize]).view(RECORD)[:, 0]
-                        tokens = [data[i, RECORD.itemsize :].tobytes()[: head["n_tokens"][i] * width] for i in range(count)]
-                        ids = pa.array(head["doc_id"].astype(np.int64), mask=head["doc_id"] == -1)
+                        n_tokens = (head["n_tokens"] & np.uint32(NO_ID - 1)).astype(np.int64)
+                        tokens = [data[i, RECORD.itemsize :].tobytes()[: n_tokens[i] * width] for i in range(count)]
+                        ids = pa.array(head["doc_id"].astype(np.int64), mask=(head["n_tokens"] & np.uint32(NO_ID)) != 0)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(count, shard)), pa.array(np.arange(first + at, first + at + count)), ids,
-                             pa.array(head["seq_no"].astype(np.int64)), pa.array(head["n_tokens"].astype(np.int64)), pa.array(tokens, pa.binary())],
+                             pa.array(head["seq_no"].astype(np.int64)), pa.array(n_tokens), pa.array(tokens, pa.binary())],
                             ["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"],
                         )
                         at += count
@@ -211,7 +213,8 @@ def materialise(docs: DataFrame, rank_file: str, pattern: str, length: int = 512
     the driver.  Tokens take two bytes if all ids fit, else four.
 
     Null and empty texts are documents without ids.  Repeated rows are trained on as often
-    as they occur.  A null doc_id is kept as null (-1 in the files).  An empty table has
+    as they occur.  A null doc_id is kept as null (a bit beside n_tokens
+    in the files), every other one as it is.  An empty table has
     no shards; other columns are ignored.
     """
     spark = docs.sparkSession

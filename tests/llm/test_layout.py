@@ -113,6 +113,15 @@ def test_training_order(spark):
     assert [bytes(r["tokens"]) for r in rest] == [bytes(r["tokens"]) for r in rows[150:]]
 
 
+def test_training_order_keeps_every_doc_id(spark):
+    ids = [None, -1, 0, -(1 << 63), (1 << 63) - 1]
+    docs = documents(spark, [(i, "one two three", "en", "a") for i in ids])
+    shards = training_order.materialise(docs, queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.tokenizer_pattern(), length=2)
+    rows = training_order.read_shards(spark, shards).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(ids * 2)
+    assert {(r["n_tokens"], len(r["tokens"])) for r in rows} == {(2, 4), (1, 2)}
+
+
 def test_training_order_of_nothing(spark):
     shards = training_order.materialise(documents(spark, []), queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.tokenizer_pattern())
     assert shards.count() == 0 and training_order.read_shards(spark, shards).count() == 0
