@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed as K, prompts as P, text as T
 from ..functions.choices import choice_info, with_choice_match
@@ -693,6 +693,21 @@ def _(spark, sf):
     return out.withColumn("acc", _r6("acc"))
 
 
+@query("g07_sharded_per_dataset")
+def _(spark, sf):
+    judged = written(_judged(spark, sf).select("dataset", "ord", "verify"), "judged")
+    # dense ordinals per data set: rows of earlier chunks, then the place inside the chunk
+    rows = judged.withColumn("chunk", F.floor(F.col("ord") / 4096))
+    earlier = Window.partitionBy("dataset").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("dataset", "chunk").count()
+    counts = counts.select("dataset", "chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("chunk", "dataset").orderBy("ord")
+    rows = rows.withColumn("place", F.row_number().over(inside) - 1).join(counts, ["dataset", "chunk"])
+    rows = rows.select("dataset", (F.col("earlier") + F.col("place")).alias("ord"), "verify")
+    out = metrics.sharded_accuracy(rows, by=["dataset"], batch_size=1000, n_shards=7)
+    return out.withColumn("acc", _r6("acc"))
+
+
 @query("g07_sharded_worst_case")
 def _(spark, sf):
     out = metrics.sharded_accuracy(

@@ -890,6 +890,15 @@ def _shards(worst: bool) -> str:
 
 O["g07_sharded_accuracy"] = _shards(False)
 O["g07_sharded_worst_case"] = _shards(True)
+O["g07_sharded_per_dataset"] = (
+    f"{E}, s as (select dataset, verify, row_number() over (partition by dataset order by ord) - 1 as no from e), "
+    "s0 as (select *, no // 1000 as bt, no % 1000 as pos from s), "
+    "s1 as (select *, count(*) over (partition by dataset, bt) as len from s0), "
+    "s2 as (select dataset, bt, pos // cast(ceil(len / 7.0) as bigint) as sh, cast(verify as int) as ok from s1), "
+    "s4 as (select dataset, bt, sh, avg(ok) as acc, count(*) as n from s2 group by all), "
+    "s5 as (select dataset, bt, avg(acc) as acc, sum(n) as n from s4 group by all) "
+    "select dataset, cast(sum(n) as bigint) as n, count(*) as n_batches, round(sum(acc * n) / sum(n) * 100, 6) as acc from s5 group by dataset"
+)
 _PER = "per as (select dataset, avg(cast(verify as int)) * 100 as acc, count(*) as n, count(*) filter (where verify) as c from e group by dataset)"
 O["g08_mean_accuracy"] = (
     f"{E}, {_PER} select count(*) as n_datasets, round(avg(acc), 6) as macro_acc, "
