@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, minmax, mixing, quality, sharding, suffix, training_order, warc
+from . import alignment, ann, bpe, langid, minmax, mixing, quality, repair, sharding, suffix, training_order, urls, warc
 from .common import table
+from .sql import OP11
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -78,7 +79,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_minmax_dedup, op4_mixing, op5_training_order, op6_suffix_dedup, op7_warc, op8_ann, op9_bpe, op10_sharding)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(rows, repair.damaged(rows))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_pattern(), tokenizer_path("piece_bpe_32k.model"))
+
+
+# The rules of the URL query.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.fit(urls.labelled_by(pages, RULES))
+    return urls.judge(pages, model, RULES).select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_quality, op3_minmax_dedup, op4_mixing, op5_training_order, op6_suffix_dedup, op7_warc,
+        op8_ann, op9_bpe, op10_sharding, op11_conversation_repair, op12_alignment, op13_url_filter,
+    )
+}
 
 _N = ", ".join(f"({n})" for n in quality.REPEATED)
 _DUP = ", ".join(f"coalesce(sum(len) filter (where n = {n}), 0)::bigint dup_chars_{n}" for n in quality.REPEATED)
@@ -128,4 +154,4 @@ select page_id, n::bigint as payload_bytes, sha1(html) as payload_digest,
 from g
 """
 
-ORACLES: dict[str, str] = {"op2_quality": OP2, "op7_warc": OP7}
+ORACLES: dict[str, str] = {"op2_quality": OP2, "op7_warc": OP7, "op11_conversation_repair": OP11}
