@@ -1,8 +1,8 @@
 """When two answers are equal.
 
-There is no computer algebra here.  An answer is read into three values: a
-canonical text, an option letter and a number.  Two answers are equal when any of
-the three agree.  Of an answer with a closed ``\\boxed{...}`` the last one counts:
+An answer is read into three values: a canonical text, an option letter and a number.
+Two answers are equal when any of the three agree, or when both are expressions for the
+same function (``algebra``).  Of an answer with a closed ``\\boxed{...}`` the last one counts:
 
 * canonical text: delimiters, spacing commands, units, degree signs, trailing
   zeros, a trailing period, bold marks and a leading dollar sign removed; sets, and
@@ -12,8 +12,7 @@ the three agree.  Of an answer with a closed ``\\boxed{...}`` the last one count
   and multiples of a square root or of pi, also behind ``x =``; equal within 1e-6,
   small numbers within a thousandth.
 
-Equality that needs algebra (``(x+1)^2`` and ``x^2+2x+1``) is out of reach; pass an
-``equal`` function of your own to the callers to add it.
+Equality beyond that can be had by passing an ``equal`` function of your own to the callers.
 
 ``parse_answer`` and ``answers_equal`` are the two halves, so that an answer that is
 compared several times is read once, as a struct column.
@@ -30,6 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from . import fixed as K
+from .algebra import same_function_sql
 from .text import BOX_REGEX_DEPTH, ColumnOrName, _balanced as balanced, _c, boxed_final, boxed_last, null_if_empty, strip
 
 TOLERANCE = 1e-6
@@ -333,10 +333,16 @@ _EQUAL = (
     f"OR coalesce(abs(x.a.num - x.b.num) <= least({TOLERANCE}D, 1e-3D * greatest(abs(x.a.num), abs(x.b.num))), false)"
 )
 
+# two numbers have been compared; an expression is read only where nothing else decides
+_SAME_FUNCTION = (
+    "(NOT coalesce(x.a.num IS NOT NULL AND x.b.num IS NOT NULL, false) "
+    f"AND {same_function_sql('x.a.canon', 'x.b.canon')})"
+)
+
 
 def answers_equal(a: Column, b: Column) -> Column:
     """Equality of two `parse_answer` structs; never NULL."""
-    return _let(F.struct(a.alias("a"), b.alias("b")), f"({_EQUAL})")
+    return _let(F.struct(a.alias("a"), b.alias("b")), f"({_EQUAL} OR {_SAME_FUNCTION})")
 
 
 def equivalent(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -73,6 +73,7 @@ class Features:
     count_tokens: Callable[[Column], Column] = T.token_count
     asked: set[str] = field(default_factory=set)
     compared: set[str] = field(default_factory=set)
+    pairs: set[tuple[str, str]] = field(default_factory=set)
 
     def __call__(self, name: str) -> Column:
         """An input column, or a feature by name."""
@@ -87,7 +88,15 @@ class Features:
         """Do two features give the same answer?  Never NULL."""
         if self.equal_fn is not None:
             return F.coalesce(self.equal_fn(self(a), self(b)), F.lit(False))
-        return answers_equal(self.parsed(a), self.parsed(b))
+        self.parsed(a), self.parsed(b)
+        self.pairs.add((a, b))
+        return F.col(f"{_P}{a}_is_{b}")
+
+    def _verdicts(self, df: DataFrame, given: bool) -> DataFrame:
+        """A column for each pair compared, however many rewards ask for it."""
+        pairs = sorted(p for p in self.pairs if bool(set(p) & set(self.inputs)) == given)
+        verdict = lambda a, b: answers_equal(F.col(f"{_P}{a}_parsed"), F.col(f"{_P}{b}_parsed"))
+        return df.withColumns({f"{_P}{a}_is_{b}": verdict(a, b) for a, b in pairs}) if pairs else df
 
     def parsed(self, name: str) -> Column:
         """A feature as read for comparison: struct<canon, letter, num>."""
@@ -114,12 +123,14 @@ class Features:
             cols = {_P + n: stage[n][1](self) for n in stage if n in needed}
             df = df.withColumns(cols) if cols else df
         own = sorted(self.compared - set(self.inputs))
-        return df.withColumns({f"{_P}{n}_parsed": parse_answer(_P + n) for n in own}) if own else df
+        df = df.withColumns({f"{_P}{n}_parsed": parse_answer(_P + n) for n in own}) if own else df
+        return self._verdicts(df, given=False)
 
     def add_joined(self, df: DataFrame) -> DataFrame:
         """Read the answers that came with the judges' columns."""
         given = sorted(self.compared & set(self.inputs))
-        return df.withColumns({f"{_P}{n}_parsed": parse_answer(self.inputs[n]) for n in given}) if given else df
+        df = df.withColumns({f"{_P}{n}_parsed": parse_answer(self.inputs[n]) for n in given}) if given else df
+        return self._verdicts(df, given=True)
 
 
 Reward = Callable[..., Column]

@@ -239,7 +239,7 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     n = F.col("l_quantity").cast("int")
-    s, k = _s(n), (F.col("l_orderkey") + F.col("l_linenumber")) % 28
+    s, k = _s(n), (F.col("l_orderkey") + F.col("l_linenumber")) % 39
 
     def t(*parts) -> Column:
         return F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
@@ -273,6 +273,18 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t("1/2,", s), t("0.5,", s)),
         (F.lit("Tom, Bob"), F.lit("Bob, Tom")),
         (t("0.0000001", s), t("0.0000002", s)),
+        # expressions
+        (t("x+", s), t(s, "+x")),
+        (t("(x+", s, ")^2"), t("x^2+", _s(n * 2), "x+", _s(n * n))),
+        (t("\\frac{x}{2}+", s), t("0.5x+", s)),
+        (t("(x+", s, ")(x-", s, ")"), t("x^2-", _s(n * n))),
+        (t("x^2+", s), t("x^2+", _s(n + 1))),
+        (t("\\frac{1}{x+", s, "}"), t("(", s, "+x)^{-1}")),
+        (t("2x+", s), t("2x-", s)),
+        (t("y=", s, "x"), t("x \\cdot ", s)),
+        (t("\\sin(x)+\\sqrt{", s, "x}"), t("\\sqrt{x}\\sqrt{", s, "}+\\sin x")),
+        (t("\\frac{x^2-", _s(n * n), "}{x-", s, "}"), t("x+", s)),
+        (t("listen ", s), t("silent ", s)),
     ]
     a = b = None
     for i, (left, right) in enumerate(forms):

@@ -154,13 +154,24 @@ _PAIR_FORMS = [
     ("'1/2,' || s", "'0.5,' || s"),
     ("'Tom, Bob'", "'Bob, Tom'"),
     ("'0.0000001' || s", "'0.0000002' || s"),
+    ("'x+' || s", "s || '+x'"),
+    ("'(x+' || s || ')^2'", "'x^2+' || (n*2) || 'x+' || (n*n)"),
+    (f"{BS} || 'frac{{x}}{{2}}+' || s", "'0.5x+' || s"),
+    ("'(x+' || s || ')(x-' || s || ')'", "'x^2-' || (n*n)"),
+    ("'x^2+' || s", "'x^2+' || (n+1)"),
+    (f"{BS} || 'frac{{1}}{{x+' || s || '}}'", "'(' || s || '+x)^{{-1}}'"),
+    ("'2x+' || s", "'2x-' || s"),
+    ("'y=' || s || 'x'", f"'x ' || {BS} || 'cdot ' || s"),
+    (f"{BS} || 'sin(x)+' || {BS} || 'sqrt{{' || s || 'x}}'", f"{BS} || 'sqrt{{x}}' || {BS} || 'sqrt{{' || s || '}}+' || {BS} || 'sin x'"),
+    (f"{BS} || 'frac{{x^2-' || (n*n) || '}}{{x-' || s || '}}'", "'x+' || s"),
+    ("'listen ' || s", "'silent ' || s"),
 ]
 # whether the two answers of a form are equal, stated and not computed
-_TRUTH = "case when form = 11 then l_returnflag = 'A' else form not in (16, 18, 19, 26, 27) end"
+_TRUTH = "case when form = 11 then l_returnflag = 'A' else form not in (16, 18, 19, 26, 27, 32, 34, 38) end"
 _FORMS = [(a.replace("{{", "{").replace("}}", "}"), b.replace("{{", "{").replace("}}", "}")) for a, b in _PAIR_FORMS]
 PAIRS = (
     "p0 as (select *, cast(cast(l_quantity as int) as varchar) as s, cast(l_quantity as int) as n,"
-    " cast((l_orderkey + l_linenumber) % 28 as int) as form from lineitem),\n"
+    " cast((l_orderkey + l_linenumber) % 39 as int) as form from lineitem),\n"
     "p as (select l_orderkey, l_linenumber, form, l_returnflag, case form "
     + " ".join(f"when {i} then {a}" for i, (a, _) in enumerate(_FORMS))
     + " end as answer, case form "
