@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed as K, text as T
 from ..schemas import BENCHMARK_SCHEMAS, RESPONSES
 from ..session import written
+from .json_ranges import json_records
 
 def parsed_lines(lines: DataFrame, schema: str, strict: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``value``, one JSON object each, by a declared schema.
@@ -51,24 +52,33 @@ def read_jsonl_with_keys(
     return parsed_lines(lines, schema, strict=True, keep=(raw,))
 
 
-def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file that is one list of records; a damaged file is an error."""
-    return spark.read.schema(schema).options(multiLine=True, mode="FAILFAST").json(path)
+def read_json_list(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """A JSON file that is one list of objects, read by many tasks; a damaged file is an error."""
+    return json_records(spark, path).select(_strictly(_without_mark("["), f"struct<{_as_struct(schema)}>").alias("r")).select("r.*")
 
 
-def read_json_keyed(spark: SparkSession, path: str, schema: str, key: str = "record_id") -> DataFrame:
+def read_json_keyed(spark: SparkSession, path: str | list[str], schema: str, key: str = "record_id") -> DataFrame:
     """A JSON file that is one object ``{id: record}``, as one row per record.
 
-    A damaged file is an error.
-
-    A file is parsed by one task, as JSON without line structure has to be; write the
-    rows as Parquet once (``sinks.write_parquet``) before scanning them often.
+    The file is read by many tasks; a damaged one is an error.
     """
-    text = spark.read.text(path, wholetext=True)
-    records = F.from_json("value", f"map<string,struct<{_as_struct(schema)}>>")
-    damaged = F.raise_error(F.concat(F.lit("file is not a JSON object: "), F.left("value", F.lit(100))))
-    records = F.coalesce(records, damaged.cast(f"map<string,struct<{_as_struct(schema)}>>"))
-    return text.select(F.explode(records).alias(key, "r")).select(key, "r.*")
+    entry = F.concat(F.lit("{"), _without_mark("{"), F.lit("}"))
+    records = _strictly(entry, f"map<string,struct<{_as_struct(schema)}>>")
+    return json_records(spark, path).select(F.explode(records).alias(key, "r")).select(key, "r.*")
+
+
+def _without_mark(opener: str) -> Column:
+    """A record without what stands before it: the file's bracket, or a comma."""
+    first, later = (F.regexp_extract("text", rf"(?s)\A\s*\{mark}(.*)", 1) for mark in (opener, ","))
+    return F.when(F.col("no") == 0, first).otherwise(later)
+
+
+def _strictly(text: Column, kind: str) -> Column:
+    """JSON text as a value; text that is none is an error."""
+    # as the only element of a list, so that text behind the value breaks it too
+    rows = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>", {"mode": "FAILFAST"})
+    damaged = F.raise_error(F.concat(F.lit("not a JSON record: "), F.left(text, F.lit(100)))).cast(kind)
+    return F.when((F.size(rows) == 1) & F.get(rows, F.lit(0)).isNotNull(), F.get(rows, F.lit(0))).otherwise(damaged)
 
 
 def _as_struct(schema: str) -> str:
@@ -140,9 +150,10 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
     """Add the 0-based row number within each file, in file order.
 
-    `rows` is a file scan (filters and projections allowed).  Rows are numbered inside
-    each split as it is read, and splits are shifted by the row counts before them; only
-    one row per split is sorted.
+    `rows` is a file scan (filters and projections allowed).  They are stored once, each
+    with its split and a number that grows inside it, so that counts and rows come from the
+    same scan: another scan may be split elsewhere, when executors have come or gone.
+    Splits are shifted by the row counts before them; only one row per split is sorted.
     """
     block = ["__file", "__start"]
     numbered = rows.withColumns(
@@ -152,13 +163,8 @@ def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
             "__mono": F.monotonically_increasing_id(),
         }
     )
-    # one row per split, stored so that counting them does not read the files again
-    blocks = written(
-        numbered.groupBy(*block).agg(
-            F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__first")
-        ),
-        "splits",
-    )
+    numbered = written(numbered, "numbered")
+    blocks = numbered.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__first"))
     before = Window.partitionBy("__file").orderBy("__start").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -14,6 +14,7 @@ from gradeframe.operators.evaluate import evaluate_responses, judge_trials
 from gradeframe.plans import jobs
 from gradeframe.session import written
 from gradeframe.sources import readers, sinks
+from gradeframe.sources.json_ranges import json_records
 from gradeframe.streaming import incremental
 
 
@@ -94,6 +95,70 @@ def test_file_ordinal(spark, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_file_ordinal_whatever_the_splits(spark, folder):
+    """The result may be read when files are cut elsewhere than when it was planned."""
+    jsonl(f"{folder}/n.jsonl", [{"answer": str(i)} for i in range(20_000)])
+    got = []
+    for first, second in ((1, 7), (4, 11)):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(first))
+        try:
+            rows = readers.with_file_ordinal(spark.read.text(folder))
+            spark.conf.set("spark.sql.files.minPartitionNum", str(second))
+            got.append(sorted((r.ord, r.value) for r in rows.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got[0] == got[1] == [(i, json.dumps({"answer": str(i)})) for i in range(20_000)]
+
+
+def _odd_json(draw, depth=3):
+    """A value with brackets, quotes and escapes in its strings."""
+    kind = draw.random()
+    if depth == 0 or kind < 0.4:
+        return "".join(draw.choice(['"', "\\", "{", "}", "[", "]", ",", ":", "a", "é", "\n", " ", "日"]) for _ in range(draw.randint(0, 12)))
+    if kind < 0.7:
+        return [_odd_json(draw, depth - 1) for _ in range(draw.randint(0, 3))]
+    return {_odd_json(draw, 0): _odd_json(draw, depth - 1) for _ in range(draw.randint(0, 3))}
+
+
+@pytest.mark.parametrize("indent, split", [(None, 100), (2, 300)])
+def test_json_files_in_many_ranges(spark, folder, indent, split):
+    import random
+
+    draw = random.Random(split)
+    files = {}
+    for name in ("a", "b", "none"):
+        rows = [{"answer": _odd_json(draw, 0), "n": i, "more": _odd_json(draw)} for i in range(0 if name == "none" else 30)]
+        files[name] = rows
+        for shape, value in (("list", rows), ("keyed", {f'{name}}}"{i}': r for i, r in enumerate(rows)})):
+            os.makedirs(f"{folder}/{shape}", exist_ok=True)
+            with open(f"{folder}/{shape}/{name}.json", "w", encoding="utf-8") as f:
+                f.write(json.dumps(value, indent=indent, ensure_ascii=draw.random() < 0.5) + ("\n" if name == "a" else ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = readers.read_json_list(spark, f"{folder}/list", "answer string, n int").collect()
+        assert sorted((r.n, r.answer) for r in got) == sorted((r["n"], r["answer"]) for rows in files.values() for r in rows)
+        got = readers.read_json_keyed(spark, f"{folder}/keyed", "answer string, n int", "id").collect()
+        assert sorted((r.id, r.n, r.answer) for r in got) == sorted((f'{name}}}"{i}', r["n"], r["answer"]) for name, rows in files.items() for i, r in enumerate(rows))
+        places = json_records(spark, f"{folder}/list/a.json").orderBy("no").collect()
+        assert [json.loads(r.text.lstrip("[, \n"))["n"] for r in places] == list(range(30)) == [r.no for r in places]
+        assert spark.read.option("lineSep", "}").text(f"{folder}/list/a.json").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("text", [
+    '[{"answer": "1"}', '{"a": {"answer": "1"}\n', '[{"answer": "1}]', '[{"answer": "1"}] x', '[{"answer": "1"} {"answer": "2"}]', '[1, {"answer": "1"}]',
+])
+def test_damaged_json_files(spark, folder, text):
+    with open(f"{folder}/bad.json", "w") as f:
+        f.write(text)
+    read = readers.read_json_keyed if text[0] == "{" else readers.read_json_list
+    with pytest.raises(Exception, match="file is not one list|not a JSON record|Malformed|MALFORMED"):
+        read(spark, f"{folder}/bad.json", "answer string").collect()
+
+
 def test_append_and_split(spark, folder):
     df = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "answer string, is_match boolean")
     sinks.append_jsonl(df, f"{folder}/out")
