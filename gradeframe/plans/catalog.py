@@ -460,7 +460,17 @@ def _(spark, sf):
 
 @query("b06_first_rows")
 def _(spark, sf):
-    return records.first_n(D.responses(spark, sf), 200).select("ord", "sid", "resp")
+    # one row to a file line, in the order of their ids; the ordinal comes from the file
+    rows = D.responses(spark, sf).select("sid", "resp")
+    path = new_dir(spark, "ordered")
+    rows.repartitionByRange("sid").sortWithinPartitions("sid").select(F.to_json(F.struct("sid", "resp")).alias("value")).write.text(path)
+    lines = readers.with_file_ordinal(spark.read.text(path).withColumn("file", F.col("_metadata.file_name")), "line")
+    # part files are named in the order of their ranges
+    parsed = readers.parsed_lines(lines, "sid bigint, resp string", strict=True, keep=("file", "line"))
+    counts = parsed.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = parsed.join(counts.select("file", before.alias("before")), "file")
+    return records.first_n(rows.withColumn("ord", (F.col("before") + F.col("line")).cast("bigint")), 200).select("ord", "sid", "resp")
 
 
 @query("b07_truncated_thoughts")
@@ -580,6 +590,26 @@ def _(spark, sf):
     return readers.read_json_list(spark, path, "sid bigint, answer string").select("sid", "answer")
 
 
+@query("a03_benchmark_scan")
+def _(spark, sf):
+    # a benchmark stored as a list of records, read by its name
+    rows = D.bench_items(spark, sf).select(F.col("question_for_eval"), "image", F.col("item_id").cast("string").alias("answer"))
+    root = new_dir(spark, "benchmarks")
+    lists = rows.groupBy(F.pmod(F.col("answer").cast("bigint"), F.lit(16)).alias("part")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    lists.write.partitionBy("part").text(f"{root}/{K.BENCHMARK_FILES[K.MATHVERSE]}")
+    return readers.read_benchmark(spark, K.MATHVERSE, root)
+
+
+@query("a12_images")
+def _(spark, sf):
+    # pages stand for images: each is a file of its own
+    pages = D.table(spark, sf, "pages").select(F.coalesce("html", F.lit("")).alias("value"), F.concat("page_id", F.lit(".png")).alias("name"))
+    folder = new_dir(spark, "images")
+    pages.write.partitionBy("name").text(folder)
+    images = readers.read_images(spark, folder)
+    return images.select(F.regexp_extract("path", "name=([^/]*)/", 1).alias("name"), "image_base64")
+
+
 @query("a04_json_keyed_scan")
 def _(spark, sf):
     # files that are one JSON object each, a record for every id
@@ -610,15 +640,6 @@ def _(spark, sf):
     return readers.read_jsonl(spark, path, "sid bigint, answer string")
 
 
-def _result_folder(spark: SparkSession, sf: str) -> str:
-    """Result rows as one folder per file name, as the reader finds them by glob."""
-    base = new_dir(spark, "results")
-    fields = ("sid", "image", "question", "answer", "parsed_answer", "verify", "choices")
-    rows = D.result_files(spark, sf)
-    rows.select("file", *fields).write.partitionBy("file").options(**sinks.JSON_OPTIONS).json(base)
-    return base
-
-
 # -------------------------------------------------------------------------- metrics
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate_responses(D.responses(spark, sf))
@@ -679,12 +700,11 @@ def _(spark, sf):
 def _(spark, sf):
     from ..schemas import RESPONSES
 
-    base = _result_folder(spark, sf)
-    rows = (
-        spark.read.schema(f"{RESPONSES}, sid bigint, file string").json(base)
-        .filter(~T.is_skipped_file("file"))
-    )
-    return _file_summary(jobs.judge_result_rows(rows))
+    # a folder of one file per name, as models leave them
+    base = new_dir(spark, "results")
+    D.result_files(spark, sf).write.partitionBy("file").options(**sinks.JSON_OPTIONS).json(base)
+    lines = readers.read_result_files(spark, base, f"{RESPONSES}, sid bigint")
+    return _file_summary(jobs.judge_result_rows(lines))
 
 
 @query("g07_sharded_accuracy")
@@ -801,3 +821,17 @@ def _(spark, sf):
     table = new_dir(spark, "totals")
     incremental.start_running_accuracy(totals, table).awaitTermination()
     return incremental.read_totals(spark, table).withColumn("acc", _r6("acc"))
+
+
+@query("t02_running_worst_case")
+def _(spark, sf):
+    """Responses arrive in several batches; a late wrong trial takes its image back."""
+    base = new_dir(spark, "arrivals")
+    r = D.responses(spark, sf).select("image", F.col("dataset").alias("benchmark"), "answer", "resp")
+    r.repartition(4).write.options(**sinks.JSON_OPTIONS).json(base)
+    rows = incremental.stream_responses(spark, base, "image string, benchmark string, answer string, resp string", max_files=2)
+    judged = evaluate_responses(rows.withColumn("dataset", F.col("benchmark")))
+    table = new_dir(spark, "totals")
+    incremental.start_worst_case(incremental.image_changes(judged), table).awaitTermination()
+    totals = incremental.worst_case_totals(incremental.read_totals(spark, table))
+    return totals.withColumns({c: _r6(c) for c in ("acc", "match_ratio")})

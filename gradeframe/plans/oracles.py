@@ -802,6 +802,12 @@ O["a01_jsonl_scan"] = f"{R}select sid, image, answer, resp, finish_reason from r
 O["a02_tolerant_jsonl_scan"] = f"{R}select sid, answer from r where sid % 10 <> 3"
 O["a04_json_list_scan"] = f"{R}select sid, answer from r"
 O["a04_json_keyed_scan"] = O["a04_json_list_scan"]
+O["a03_benchmark_scan"] = (
+    _with(ITEMS) + "select question_for_eval, image, cast(item_id as varchar) as answer, 'MathVerse' as dataset from i"
+)
+O["a12_images"] = (
+    f"select page_id || '.png' as name, base64(encode(coalesce(html, '') || {NL})) as image_base64 from pages"
+)
 O["a08_appended_batches"] = f"{R}select sid, answer from r"
 
 # -------------------------------------------------------------------------- metrics
@@ -943,4 +949,14 @@ O["t01_running_accuracy"] = (
     f"{E}select dataset, count(*) as n, count(*) filter (where verify) as n_correct, {_ACC} as acc from e group by dataset"
 )
 
+_TRIALS = (
+    "im as (select dataset, image_key, count(*) as nt, count(*) filter (where verify) as nv from e group by all)"
+)
+O["t02_running_worst_case"] = (
+    f"{E}, {_TRIALS} select dataset, count(*) as n_images, round(avg(case when nv = nt then 100.0 else 0.0 end), 6) as acc, "
+    "count(*) filter (where nt = 10) as qualified_count, round(coalesce(cast(count(*) filter (where nt = 10 and nv = 10) as double) "
+    "/ nullif(count(*) filter (where nt = 10), 0), 0), 6) as match_ratio, count(*) filter (where nv = 10) as strict_count "
+    "from im group by dataset"
+)
+
 ORACLES = O

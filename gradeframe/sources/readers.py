@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed as K, text as T
@@ -104,6 +106,11 @@ def read_benchmark(
     return rows.withColumn("dataset", F.lit(dataset))
 
 
+def _glob_regex(pattern: str) -> str:
+    """A file name pattern of ``*`` and ``?`` as a regular expression."""
+    return "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
+
+
 def read_result_files(
     spark: SparkSession,
     folder: str,
@@ -113,15 +120,14 @@ def read_result_files(
 ) -> DataFrame:
     """All result files of a folder, with ``file`` and ``dataset`` from their names.
 
-    Already filtered files and the skipped data set are left out by name before any of
-    their rows are used.
+    A result file may be a folder of part files of that name, as ``sinks.append_jsonl`` and
+    partitioned writes leave them.  Already filtered files and the skipped data set are
+    left out by name before any of their rows are used.
     """
-    lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(folder)
-        .withColumn("file", F.col("_metadata.file_name"))
-        .filter(~T.is_skipped_file("file"))
-    )
+    own, parent = F.col("_metadata.file_name"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    name = F.when(own.startswith("part-"), F.regexp_replace(F.url_decode(parent), r"\A[^/=]*=", "")).otherwise(own)
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).withColumn("file", name)
+    lines = lines.filter(F.col("file").rlike(f"(?s)\\A(?:{_glob_regex(pattern)})\\z") & ~T.is_skipped_file("file"))
     rows = parsed_lines(lines, schema, strict=not tolerant, keep=("file",))
     return rows.withColumn("dataset", T.dataset_from_file("file"))
 

@@ -392,6 +392,37 @@ def test_stream_equals_batch_and_goes_on(spark, folder):
     assert spark.read.schema("verify boolean").json(f"{folder}/scored").filter("verify").count() == 3
 
 
+def test_running_worst_case_equals_the_batch(spark, folder):
+    """After every arrival; a late wrong trial takes its image back; restarted between arrivals."""
+    import random
+
+    draw = random.Random(2)
+    ddl, table, check = "image string, verify boolean, benchmark string", f"{folder}/t", f"{folder}/c"
+    arrivals = [[(f"d/{'x' if i % 9 == 0 else 'y'}/{draw.randint(0, 25)}.png", draw.random() < 0.9, "m") for i in range(120)] for _ in range(3)]
+    arrivals[0] += [("d/late/1.png", True, "n")] * 2
+    arrivals[2] += [("d/late/1.png", False, "n"), (None, True, "n"), ("d/late/1.png", None, "n")]
+    seen = []
+    for number, rows in enumerate(arrivals):
+        jsonl(f"{folder}/in/{number}.jsonl", [dict(zip(("image", "verify", "benchmark"), r, strict=True)) for r in rows])
+        seen += rows
+        stream = incremental.stream_responses(spark, f"{folder}/in", ddl)
+        changes = incremental.image_changes(stream.drop("dataset").withColumnRenamed("benchmark", "dataset"), n_trials=5)
+        incremental.start_worst_case(changes, table, check).awaitTermination()
+        got = {r.dataset: r for r in incremental.worst_case_totals(incremental.read_totals(spark, table)).collect()}
+        batch = spark.createDataFrame(seen, "image string, verify boolean, dataset string")
+        for r in metrics.worst_case_accuracy(batch, ["dataset"]).collect():
+            assert (got[r.dataset].n_images, round(got[r.dataset].acc, 9)) == (r.n_images, round(r.acc, 9)), number
+        trials = {}
+        for image, right, name in seen:
+            trials.setdefault((name, image), []).append(bool(right))
+        for name, r in got.items():
+            own = [t for (d, _), t in trials.items() if d == name]
+            full = [t for t in own if len(t) == 5]
+            assert (r.qualified_count, r.strict_count) == (len(full), sum(sum(t) == 5 for t in own))
+            assert r.match_ratio == (sum(map(all, full)) / len(full) if full else 0.0)
+    assert got["n"].acc == 50.0  # the image without a name is right, the late one is not any more
+
+
 def test_written_table_is_read_back(spark):
     df = spark.range(10).withColumn("x", F.lit("a"))
     assert written(df, "t", ["x"]).count() == 10
