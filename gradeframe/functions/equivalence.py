@@ -1,8 +1,8 @@
 """When two answers are equal.
 
 An answer is read into three values: a canonical text, an option letter and a number.
-Two answers are equal when any of the three agree, or when both are expressions for the
-same function (``algebra``).  Of an answer with a closed ``\\boxed{...}`` the last one counts:
+Two answers are equal when any of the three agree, when both are expressions for the same
+function (``algebra``), or when both are the same set of numbers (``intervals``).  Of an answer with a closed ``\\boxed{...}`` the last one counts:
 
 * canonical text: delimiters, spacing commands, units, degree signs, trailing
   zeros, a trailing period, bold marks and a leading dollar sign removed; sets, and
@@ -30,6 +30,7 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed as K
 from .algebra import same_function_sql
+from .intervals import same_set_sql
 from .text import BOX_REGEX_DEPTH, ColumnOrName, _balanced as balanced, _c, boxed_final, boxed_last, null_if_empty, strip
 
 TOLERANCE = 1e-6
@@ -339,10 +340,12 @@ _SAME_FUNCTION = (
     f"AND {same_function_sql('x.a.canon', 'x.b.canon')})"
 )
 
+_SAME_SET = same_set_sql("x.a.canon", "x.b.canon")
+
 
 def answers_equal(a: Column, b: Column) -> Column:
     """Equality of two `parse_answer` structs; never NULL."""
-    return _let(F.struct(a.alias("a"), b.alias("b")), f"({_EQUAL} OR {_SAME_FUNCTION})")
+    return _let(F.struct(a.alias("a"), b.alias("b")), f"({_EQUAL} OR {_SAME_FUNCTION} OR {_SAME_SET})")
 
 
 def equivalent(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -239,7 +239,7 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     n = F.col("l_quantity").cast("int")
-    s, k = _s(n), (F.col("l_orderkey") + F.col("l_linenumber")) % 39
+    s, k = _s(n), (F.col("l_orderkey") + F.col("l_linenumber")) % 44
 
     def t(*parts) -> Column:
         return F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
@@ -285,6 +285,12 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t("\\sin(x)+\\sqrt{", s, "x}"), t("\\sqrt{x}\\sqrt{", s, "}+\\sin x")),
         (t("\\frac{x^2-", _s(n * n), "}{x-", s, "}"), t("x+", s)),
         (t("listen ", s), t("silent ", s)),
+        # sets of numbers
+        (t("x>", s), t("(", s, ",\\infty)")),
+        (t("[0,", s, "]\\cup[", s, ",", _s(n + 1), "]"), t("[0,", _s(n + 1), "]")),
+        (t("(0,", s, ")"), t("[0,", s, "]")),
+        (t("x\\geq ", s), t("x>", s)),
+        (t("0<x\\le ", s), t("x \\in (0, ", s, "]")),
     ]
     a = b = None
     for i, (left, right) in enumerate(forms):

@@ -165,13 +165,18 @@ _PAIR_FORMS = [
     (f"{BS} || 'sin(x)+' || {BS} || 'sqrt{{' || s || 'x}}'", f"{BS} || 'sqrt{{x}}' || {BS} || 'sqrt{{' || s || '}}+' || {BS} || 'sin x'"),
     (f"{BS} || 'frac{{x^2-' || (n*n) || '}}{{x-' || s || '}}'", "'x+' || s"),
     ("'listen ' || s", "'silent ' || s"),
+    ("'x>' || s", f"'(' || s || ',' || {BS} || 'infty)'"),
+    (f"'[0,' || s || ']' || {BS} || 'cup[' || s || ',' || (n+1) || ']'", "'[0,' || (n+1) || ']'"),
+    ("'(0,' || s || ')'", "'[0,' || s || ']'"),
+    (f"'x' || {BS} || 'geq ' || s", "'x>' || s"),
+    (f"'0<x' || {BS} || 'le ' || s", f"'x ' || {BS} || 'in (0, ' || s || ']'"),
 ]
 # whether the two answers of a form are equal, stated and not computed
-_TRUTH = "case when form = 11 then l_returnflag = 'A' else form not in (16, 18, 19, 26, 27, 32, 34, 38) end"
+_TRUTH = "case when form = 11 then l_returnflag = 'A' else form not in (16, 18, 19, 26, 27, 32, 34, 38, 41, 42) end"
 _FORMS = [(a.replace("{{", "{").replace("}}", "}"), b.replace("{{", "{").replace("}}", "}")) for a, b in _PAIR_FORMS]
 PAIRS = (
     "p0 as (select *, cast(cast(l_quantity as int) as varchar) as s, cast(l_quantity as int) as n,"
-    " cast((l_orderkey + l_linenumber) % 39 as int) as form from lineitem),\n"
+    " cast((l_orderkey + l_linenumber) % 44 as int) as form from lineitem),\n"
     "p as (select l_orderkey, l_linenumber, form, l_returnflag, case form "
     + " ".join(f"when {i} then {a}" for i, (a, _) in enumerate(_FORMS))
     + " end as answer, case form "

@@ -40,14 +40,59 @@ OTHER_FUNCTION = [
     ("two-way", "way-two"), ("1\\frac{1}{2}x", "0.5x"), ("(x", "x"), ("x+", "x"), ("\\frac{x}{0}", "\\frac{y}{0}"),
 ]
 
+SAME_SET = [
+    ("x>2", "(2,\\infty)"), ("[0,1]\\cup[1,2]", "[0,2]"), ("x\\ge 2", "[2,\\infty)"), ("2<x\\leq 5", "(2,5]"), ("5\\geq x>2", "(2, 5]"),
+    ("x<1\\text{ or }x>2", "(-\\infty,1)\\cup(2,\\infty)"), ("x\\neq 3", "(-\\infty,3)\\cup(3,+\\infty)"), ("(0,1]\\cup(1,2)", "(0,2)"),
+    ("[1,2]\\cup[0,1]", "[0,2]"), ("x \\in (0, \\frac{1}{2}]", "0<x\\le0.5"), ("\\mathbb{R}", "(-\\infty,\\infty)"),
+    ("(-\\sqrt{2},\\sqrt{2})", "-\\sqrt2<x<\\sqrt2"), ("x>2", "y>2"), ("\\{x|x>2\\}", "(2,\\infty)"),
+    ("\\left(-\\infty,-1\\right]\\cup\\left[1,\\infty\\right)", "x\\le-1 or x\\ge 1"), ("[0,3]\\cup[1,2]", "[0,3]"), ("(0,2\\pi]", "0<x\\leq 2\\pi"),
+    ("2\\le x", "x\\ge2"), ("1/2<x<3/4", "(0.5,0.75)"),
+]
+OTHER_SET = [
+    ("(0,1)", "[0,1]"), ("(0,1)\\cup(1,2)", "(0,2)"), ("(1,2)", "(2,1)"), ("x>2", "x\\ge2"), ("x>2", "x>3"), ("(a,b)", "[a,b]"), ("[2,2]", "[2,2)"),
+    ("(1,2,3)", "(1,2,4)"),
+]
+
 
 def test_equivalence(spark):
-    rows = [(a, b, True) for a, b in EQUAL + SAME_FUNCTION] + [(a, b, False) for a, b in DIFFERENT + OTHER_FUNCTION]
+    rows = [(a, b, True) for a, b in EQUAL + SAME_FUNCTION + SAME_SET] + [(a, b, False) for a, b in DIFFERENT + OTHER_FUNCTION + OTHER_SET]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
     got = df.select("a", "b", "want", equivalent("a", "b").alias("x"), equivalent("b", "a").alias("y")).collect()
     assert [r for r in got if r.x != r.want or r.y != r.want] == []
 
 
+def test_random_unions_against_points(spark):
+    """Two unions are equal if they hold the same points, ends and midpoints among them."""
+    import random
+
+    draw = random.Random(6)
+
+    def union():
+        parts = []
+        for _ in range(draw.randint(1, 3)):
+            lo = draw.randint(0, 4)
+            parts.append((lo, draw.random() < 0.5, lo + draw.randint(1, 3), draw.random() < 0.5))
+        return parts
+
+    def holds(parts, x):
+        return any((lo < x or lo == x and lc) and (x < hi or x == hi and hc) for lo, lc, hi, hc in parts)
+
+    def text(parts, chain):
+        if chain:
+            return " or ".join(f"{lo}{'<' + '=' * lc}x{'<' + '=' * hc}{hi}" for lo, lc, hi, hc in parts)
+        return "\\cup ".join(f"{'([' [lc]}{lo},{hi}{')]'[hc]}" for lo, lc, hi, hc in parts)
+
+    rows, points = [], [i / 2 for i in range(-1, 16)]
+    for _ in range(200):
+        a, b = union(), union()
+        if draw.random() < 0.5:  # the same set in other parts
+            b = [p for lo, lc, hi, hc in a for p in ((lo, lc, (lo + hi) / 2, True), ((lo + hi) / 2, draw.random() < 0.5, hi, hc))]
+        rows.append((text(a, draw.random() < 0.5), text(b, draw.random() < 0.5), [holds(a, x) for x in points] == [holds(b, x) for x in points]))
+    df = spark.createDataFrame(rows, "a string, b string, want boolean").repartition(8)
+    assert {r[2] for r in rows} == {True, False}
+    assert df.where(equivalent("a", "b") != F.col("want")).collect() == []
+
+
 def test_random_expressions_against_values(spark):
     """Sums and products written in two ways are equal; with one number changed they are not."""
     import random
