@@ -57,12 +57,21 @@ def _q(text: str) -> str:
 _SAME = {r"\cdot": "*", r"\times": "*", "·": "*", "×": "*", r"\div": "/", "÷": "/", "−": "-", "π": r"\pi", r"\lbrack": "[", r"\rbrack": "]"}
 
 
+# Kinds of tokens: o opens, c closes, s sum, m product, p power, q fraction; n number, v name, f function, x unknown.
+_KINDS = {"(": "o", "[": "o", "{": "o", ")": "c", "]": "c", "}": "c", "+": "s", "-": "s", "*": "m", "/": "m", "^": "p", r"\frac": "q"}
+
+
 def _tokens(x: str) -> str:
-    """SQL: tokens of x, or null if some of x is no token."""
+    """SQL: tokens of x with their kinds, or null if some of x is no token."""
     plain = f"replace({x}, ' ', '')"
     found = f"transform(array(regexp_extract_all({x}, {_q(_TOKEN)}, 0)), w -> IF(array_join(w, '') = {plain} AND size(w) BETWEEN 1 AND {MOST_TOKENS}, w, NULL))[0]"
     cases = " ".join(f"WHEN {_q(a)} THEN {_q(b)}" for a, b in _SAME.items())
-    return f"transform({found}, t -> CASE t {cases} ELSE t END)"
+    kind = (
+        rf"CASE WHEN t RLIKE '^[0-9.]' THEN 'n' WHEN left(t, 1) <> r'\' AND NOT {_in('t', *_KINDS)} THEN 'v' "
+        + " ".join(f"WHEN t = {_q(t)} THEN '{k}'" for t, k in _KINDS.items())
+        + rf" WHEN {_in('t', *[chr(92) + f for f in _FUNCTIONS])} THEN 'f' WHEN t RLIKE r'\A\\(?:pi|{_GREEK})\z' THEN 'v' ELSE 'x' END"
+    )
+    return f"transform(transform({found}, t -> CASE t {cases} ELSE t END), t -> named_struct('k', {kind}, 't', t))"
 
 
 # ------------------------------------------------------------------ postfix order
@@ -80,41 +89,39 @@ def _postfix(tokens: str) -> str:
     A step moves operators down to some level to the output, then adds to both.  ``full``:
     an operand has just ended, so that another one that begins is multiplied with it.
     """
-    function = _in("t", *["\\" + f for f in _FUNCTIONS])
-    operand = rf"(t RLIKE '^[0-9.A-Za-zα-ωΑ-Ω]' OR t RLIKE r'\A\\(?:pi|{_GREEK})\z')"
-    closes, signs, times = _in("t", *_OPEN), _in("t", "+", "-"), _in("t", "*", "/")
-    beside = rf"(s.full AND ({operand} OR {function} OR {_in('t', '(', '[', '{', chr(92) + 'frac')}))"
+    function, operand, closes, signs, times = "(y.k = 'f')", "(y.k = 'v' OR y.k = 'n')", "(y.k = 'c')", "(y.k = 's')", "(y.k = 'm')"
+    beside = "(s.full AND y.k IN ('v', 'n', 'f', 'o', 'q'))"
     top = "coalesce(try_element_at(s.ops, -1), '')"
     inner = f"IF(left({top}, 1) IN ('3', '4') AND NOT {function}, '4', '2')"
     level = f"CASE WHEN {beside} THEN {inner} WHEN {signs} AND s.full OR {closes} THEN '1' WHEN {times} THEN '2' ELSE '9' END"
     keep = f"transform(array({level}), l -> array_max(concat(array(0), transform(s.ops, (o, i) -> IF(left(o, 1) < l OR l = '9', i + 1, 0)))))[0]"
     pushed = (
         f"concat(slice(s.ops, 1, k), IF({beside}, array(concat({inner}, '*')), array()), "
-        f"CASE WHEN {signs} THEN IF(s.full, array(concat('1', t)), IF(t = '-', array('2~'), array())) WHEN {times} THEN array(concat('2', t)) "
-        f"WHEN t = '^' THEN array('5^') WHEN {_in('t', '(', '[', '{')} THEN array(concat('0', t)) "
-        rf"WHEN t = r'\frac' THEN array('0F2') WHEN {function} THEN array(concat('3', substr(t, 2))) ELSE array() END)"
+        f"CASE WHEN {signs} THEN IF(s.full, array(concat('1', y.t)), IF(y.t = '-', array('2~'), array())) WHEN {times} THEN array(concat('2', y.t)) "
+        f"WHEN y.k = 'p' THEN array('5^') WHEN y.k = 'o' THEN array(concat('0', y.t)) "
+        f"WHEN y.k = 'q' THEN array('0F2') WHEN {function} THEN array(concat('3', substr(y.t, 2))) ELSE array() END)"
     )
     # below: what waits for the bracket that closes
-    turn = "(below = '3sqrt' AND t = ']')"
+    turn = "(below = '3sqrt' AND y.t = ']')"
     left = f"concat(slice(s.ops, 1, greatest(k - 2, 0)), CASE WHEN below = '0F2' THEN array('0F1') WHEN {turn} THEN array('3root') WHEN below = '' OR below = '0F1' OR left(below, 1) = '3' THEN array() ELSE array(below) END)"
     done = f"CASE WHEN below = '0F1' THEN array('!/') WHEN left(below, 1) = '3' AND NOT {turn} THEN array(concat('!', substr(below, 2))) ELSE array() END"
-    opener = "CASE t " + " ".join(f"WHEN {_q(c)} THEN {_q(o)}" for c, o in _OPEN.items()) + " END"
+    opener = "CASE y.t " + " ".join(f"WHEN {_q(c)} THEN {_q(o)}" for c, o in _OPEN.items()) + " END"
     moved = "transform(reverse(slice(s.ops, k + 1, 1000)), o -> concat('!', substr(o, 2)))"
     # a number behind an operand is no product, nor one before a fraction, which may be mixed
-    number = "t RLIKE '^[0-9.]'"
+    number = "y.k = 'n'"
     bad = (
-        f"s.full AND {number} OR NOT s.full AND ({closes} OR {times} OR t = '^') OR {closes} AND NOT coalesce(try_element_at(s.ops, k) = {opener}, false) "
-        rf"OR t = r'\frac' AND s.full AND coalesce(try_element_at(s.out, -1), '') RLIKE '^[0-9]' OR left(t, 1) = r'\' AND NOT ({operand} OR {function} OR t = r'\frac')"
+        f"y.k = 'x' OR s.full AND {number} OR NOT s.full AND ({closes} OR {times} OR y.k = 'p') OR {closes} AND NOT coalesce(try_element_at(s.ops, k) = {opener}, false) "
+        "OR y.k = 'q' AND s.full AND coalesce(try_element_at(s.out, -1), '') RLIKE '^[0-9]'"
     )
     step = (
-        f"named_struct('out', concat(s.out, {moved}, CASE WHEN {operand} THEN array(t) WHEN {closes} THEN {done} ELSE array() END), "
+        f"named_struct('out', concat(s.out, {moved}, CASE WHEN {operand} THEN array(y.t) WHEN {closes} THEN {done} ELSE array() END), "
         f"'ops', IF({closes}, {left}, {pushed}), 'full', {operand} OR {closes} AND NOT (below = '0F2' OR {turn}), 'ok', NOT ({bad}))"
     )
     step = _let(keep, "k", _let("IF(k > 1, coalesce(try_element_at(s.ops, k - 1), ''), '')", "below", step))
     start = f"CAST(named_struct('out', array(), 'ops', array(), 'full', false, 'ok', true) AS {_STATE})"
     rest = "transform(reverse(s.ops), o -> concat('!', substr(o, 2)))"
     end = f"IF(s.ok AND s.full AND NOT exists(s.ops, o -> left(o, 1) = '0'), concat(s.out, {rest}), NULL)"
-    return f"aggregate({tokens}, {start}, (s, t) -> IF(s.ok, {step}, s), s -> {end})"
+    return f"aggregate({tokens}, {start}, (s, y) -> IF(s.ok, {step}, s), s -> {end})"
 
 
 # ------------------------------------------------------------------ stack machine

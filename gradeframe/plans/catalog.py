@@ -201,6 +201,12 @@ def _(spark, sf):
     )
 
 
+@query("e01_expressions")
+def _(spark, sf):
+    pairs = D.expression_pairs(spark, sf)
+    return with_equal(pairs, "is_equal", "answer", "model_answer").select("l_orderkey", "l_linenumber", "form", "is_equal")
+
+
 @query("e03_equal_or_same_text")
 def _(spark, sf):
     pairs = D.answer_pairs(spark, sf)

@@ -7,6 +7,8 @@ with its base table, and no row depends on another.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as K
@@ -231,19 +233,37 @@ def choice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of answers in many notations, from line item quantities; some differ."""
+def _notations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[..., Column], Column, Column]:
+    """Line items, a function that joins parts of a text, and a quantity as text and as number."""
     line = spread(
         table(spark, sf_dir, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
         )
     )
     n = F.col("l_quantity").cast("int")
-    s, k = _s(n), (F.col("l_orderkey") + F.col("l_linenumber")) % 44
 
     def t(*parts) -> Column:
         return F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
 
+    return line, t, _s(n), n
+
+
+def _pairs(line: DataFrame, forms: list[tuple[Column, Column]]) -> DataFrame:
+    """Each line item's pair in one of the forms."""
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % len(forms)
+    a = b = None
+    for i, (left, right) in enumerate(forms):
+        a = F.when(k == i, left) if a is None else a.when(k == i, left)
+        b = F.when(k == i, right) if b is None else b.when(k == i, right)
+    return line.select(
+        "l_orderkey", "l_linenumber", k.cast("int").alias("form"),
+        a.alias("answer"), b.alias("model_answer"),
+    )
+
+
+def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of answers in many notations, from line item quantities; some differ."""
+    line, t, s, n = _notations(spark, sf_dir)
     forms = [
         (t(s, ".0"), s),
         (t("$\\frac{", _s(n * 2), "}{2}$"), s),
@@ -273,7 +293,14 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t("1/2,", s), t("0.5,", s)),
         (F.lit("Tom, Bob"), F.lit("Bob, Tom")),
         (t("0.0000001", s), t("0.0000002", s)),
-        # expressions
+    ]
+    return _pairs(line, forms)
+
+
+def expression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of expressions and of sets of numbers, from line item quantities; some differ."""
+    line, t, s, n = _notations(spark, sf_dir)
+    forms = [
         (t("x+", s), t(s, "+x")),
         (t("(x+", s, ")^2"), t("x^2+", _s(n * 2), "x+", _s(n * n))),
         (t("\\frac{x}{2}+", s), t("0.5x+", s)),
@@ -292,11 +319,4 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t("x\\geq ", s), t("x>", s)),
         (t("0<x\\le ", s), t("x \\in (0, ", s, "]")),
     ]
-    a = b = None
-    for i, (left, right) in enumerate(forms):
-        a = F.when(k == i, left) if a is None else a.when(k == i, left)
-        b = F.when(k == i, right) if b is None else b.when(k == i, right)
-    return line.select(
-        "l_orderkey", "l_linenumber", k.cast("int").alias("form"),
-        a.alias("answer"), b.alias("model_answer"),
-    )
+    return _pairs(line, forms)

@@ -154,6 +154,8 @@ _PAIR_FORMS = [
     ("'1/2,' || s", "'0.5,' || s"),
     ("'Tom, Bob'", "'Bob, Tom'"),
     ("'0.0000001' || s", "'0.0000002' || s"),
+]
+_EXPRESSION_FORMS = [
     ("'x+' || s", "s || '+x'"),
     ("'(x+' || s || ')^2'", "'x^2+' || (n*2) || 'x+' || (n*n)"),
     (f"{BS} || 'frac{{x}}{{2}}+' || s", "'0.5x+' || s"),
@@ -172,17 +174,20 @@ _PAIR_FORMS = [
     (f"'0<x' || {BS} || 'le ' || s", f"'x ' || {BS} || 'in (0, ' || s || ']'"),
 ]
 # whether the two answers of a form are equal, stated and not computed
-_TRUTH = "case when form = 11 then l_returnflag = 'A' else form not in (16, 18, 19, 26, 27, 32, 34, 38, 41, 42) end"
-_FORMS = [(a.replace("{{", "{").replace("}}", "}"), b.replace("{{", "{").replace("}}", "}")) for a, b in _PAIR_FORMS]
-PAIRS = (
-    "p0 as (select *, cast(cast(l_quantity as int) as varchar) as s, cast(l_quantity as int) as n,"
-    " cast((l_orderkey + l_linenumber) % 44 as int) as form from lineitem),\n"
-    "p as (select l_orderkey, l_linenumber, form, l_returnflag, case form "
-    + " ".join(f"when {i} then {a}" for i, (a, _) in enumerate(_FORMS))
-    + " end as answer, case form "
-    + " ".join(f"when {i} then {b}" for i, (_, b) in enumerate(_FORMS))
-    + " end as model_answer from p0)"
-)
+_TRUTH = "case when form = 11 then l_returnflag = 'A' else form not in (16, 18, 19, 26, 27) end"
+_EXPRESSION_TRUTH = "form not in (4, 6, 10, 13, 14)"
+
+
+def _pairs(forms: list[tuple[str, str]]) -> str:
+    left, right = (" ".join(f"when {i} then {f[side].replace('{{', '{').replace('}}', '}')}" for i, f in enumerate(forms)) for side in (0, 1))
+    return (
+        "p0 as (select *, cast(cast(l_quantity as int) as varchar) as s, cast(l_quantity as int) as n,"
+        f" cast((l_orderkey + l_linenumber) % {len(forms)} as int) as form from lineitem),\n"
+        f"p as (select l_orderkey, l_linenumber, form, l_returnflag, case form {left} end as answer, case form {right} end as model_answer from p0)"
+    )
+
+
+PAIRS = _pairs(_PAIR_FORMS)
 
 
 # ------------------------------------------------------------------- text functions
@@ -559,6 +564,7 @@ O["h06_lookup_by_name"] = (
 # ------------------------------------------------------------------- equivalence
 _PP = _with(PAIRS)
 O["e01_equivalent"] = f"{_PP}select l_orderkey, l_linenumber, form, {_TRUTH} as is_equal from p"
+O["e01_expressions"] = f"{_with(_pairs(_EXPRESSION_FORMS))}select l_orderkey, l_linenumber, form, {_EXPRESSION_TRUTH} as is_equal from p"
 O["e03_equal_or_same_text"] = (
     f"{_PP}select l_orderkey, l_linenumber, form, answer = model_answer or {_TRUTH} as is_equal, "
     "answer = model_answer as is_same from p"
