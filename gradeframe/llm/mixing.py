@@ -25,7 +25,7 @@ GOLDEN = 0.6180339887498949
 
 @dataclass
 class Mix:
-    documents: DataFrame  # rid, doc_id, source, size, source_size, target, taken
+    documents: DataFrame  # rid, doc_id, source, size, source_size, target, taken, first_slot (null: not taken), n_slots
     schedule: DataFrame  # slot, source, rank
     pieces: DataFrame  # slot, source, rank, rid, doc_id, epoch, word_from, word_to
 
@@ -102,9 +102,12 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: i
         (F.greatest("start", F.col("rank") * block) - F.col("start")).alias("word_from"),
         (F.least("stop", (F.col("rank") + 1) * block) - F.col("start")).alias("word_to"),
     )
-    taken = pieces.groupBy(F.col("rid").alias("__rid")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    taken = pieces.groupBy(F.col("rid").alias("__rid")).agg(
+        F.sum(F.col("word_to") - F.col("word_from")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots")
+    )
     documents = known.join(taken, F.col("rid") == F.col("__rid"), "left").select(
-        "rid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
+        "rid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        "first_slot", F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"),
     )
     schedule = slots.join(F.broadcast(plan), "s_no").select("slot", F.col("s_name").alias("source"), "rank")
     return Mix(documents, schedule, pieces.drop("s_no"))

@@ -41,7 +41,7 @@ def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,13 @@ def test_mix(spark, make):
         assert abs(ranks[r["source"]] - (i + 1) * goal[r["source"]] / sum(goal.values())) < 6
     pieces = mix.pieces.collect()
     assert all(0 <= p["word_from"] < p["word_to"] and p["word_to"] - p["word_from"] <= 16 for p in pieces)
+    # a document is in the slots that read its words; documents in the order of their first slot keep every source near its share
+    slots = defaultdict(set)
+    for p in pieces:
+        slots[p["rid"]].add((p["slot"], p["epoch"]))
+    for r in rows:
+        own = sorted(slots[r["rid"]])
+        assert (r["first_slot"], r["n_slots"]) == ((own[0][0], len(own)) if own else (None, 0)) and bool(own) == (r["taken"] > 0)
     again = mixing.mix_sources(docs.repartition(5), block=16).documents.collect()
     assert Counter((r["doc_id"], r["taken"]) for r in again) == Counter((r["doc_id"], r["taken"]) for r in rows)
 
