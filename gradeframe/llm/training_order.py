@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gradeframe.session import new_dir, written
 
+from .bpe import SPACE
 from .common import Scratch, mix64, ship, text_batches, utf8
 
 MAGIC = b"GFSEQ002"
@@ -70,6 +72,25 @@ def encoder(ranks: bytes, pattern: str):
     return _ENCODERS[key]
 
 
+#: The library's pattern engine fails on white space much longer than this.
+LONG_SPACE = re.compile(f"[{SPACE}]{{10000,}}")
+
+
+def encoded(library, text: str) -> list[int]:
+    """Ids of a text; white space beyond the library's reach is cut out and given to it as one piece.
+
+    As the pattern has it, all of such white space is a piece but for the last character, if
+    a word follows, which goes with that.
+    """
+    ids, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += library.encode_ordinary(text[at : run.start()])
+        ids += library._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return ids + library.encode_ordinary(text[at:]) if at else library.encode_ordinary(text)
+
+
 def sequences(docs: DataFrame, ranks: bytes, pattern: str, length: int, width: int, end: int | None) -> DataFrame:
     """Documents as token sequences of at most ``length``: part, ordinal and ``SEQUENCE``.
 
@@ -81,11 +102,11 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, length: int, width: i
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, ordinal = encoder(shared.value, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
+        library, part, ordinal = encoder(shared.value, pattern), TaskContext.get().partitionId(), 0
         for batch in text_batches(batches, most=4 << 20):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(utf8(text))
+                ids = encoded(library, utf8(text))
                 if end is not None:
                     ids.append(end)
                 ids = np.array(ids, f"<u{width}")

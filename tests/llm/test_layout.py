@@ -164,3 +164,18 @@ def test_registered_queries(spark):
     assert dict(got.dtypes)["slot"] == "bigint" and got.where(F.col("law") == "bytes").count() == 200
     got = queries.op5_training_order(spark, SMALL)
     assert got.select("slot").distinct().count() == got.count()
+
+
+def test_long_white_space_is_encoded_as_any_other():
+    """Beside our own encoder; the library's pattern engine fails on it."""
+    import public_tokenizers
+
+    from gradeframe.llm.bpe import Bpe
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        own = Bpe(f.read())
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        library = training_order.encoder(f.read(), public_tokenizers.PATTERN)
+    run = " " * 400_000
+    for text in ("", " a ", run, f"{run}x", f"a{run}", f"a{run}\n", f"a b{run}c {run}\nd", f"a\n{run}\tb", f"é{run[:9999]}x", f"a{run[:10_000]}9\x1c b"):
+        assert training_order.encoded(library, text) == own.encode(text), text[:3]
