@@ -198,6 +198,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, ends)
 
 
+HOT = 1000
+
+
+def attached(rows: DataFrame, values: DataFrame, key: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of ``values``, a stored table of one row for each ``key``.
+
+    Column ``size`` counts the key's rows.  Keys that hold more than one in HOT of all
+    rows are fewer than HOT, so they are broadcast and their rows stay where they are; no
+    task gets a hot key whole.  The rows of all other keys are shuffled.
+    """
+    total = values.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(values.where(F.col(size) * HOT > total))
+    cold = values.where(F.col(size) * HOT <= total)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, component), component the smallest id.
 
@@ -212,29 +229,28 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, name: str) -> DataFrame:
         """large: link larger neighbours to the minimum; else smaller ones and the node."""
         n = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = n.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        joined = n.join(low, F.col("a") == F.col("k"))
+        low = n.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("degree"))
+        joined = attached(n, scratch.keep(low, f"{name}-low"), ["a"], "degree")  # a centre may be next to every node
         if large:
-            return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        linked = joined.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        return linked.select("e.*").where("a <> b").distinct()
+            linked = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            linked = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        return scratch.keep(linked.where("a <> b").distinct(), name)
 
     now = scratch.keep(edges.where("a <> b").select("a", "b").distinct(), "e0")
     step, seen = 0, None
     while True:
         step += 1
-        new = scratch.keep(star(star(now, True), False), f"e{step}")
+        new = star(star(now, True, f"large{step}"), False, f"e{step}")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        scratch.drop(f"large{step}-low", f"large{step}", f"e{step}-low")
         if tuple(state) == seen:
             break
         seen, now = tuple(state), new
-        if step > 1:
-            scratch.drop(f"e{step - 1}")
-        else:
-            scratch.drop("e0")
+        scratch.drop(f"e{step - 1}")
     flat = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
     return flat.unionByName(roots.join(flat.select("id"), "id", "left_anti"))

@@ -24,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, grown, mix64, odd_numbers, ship, text_batches, word_hashes
+from .common import Scratch, attached, components, grown, mix64, odd_numbers, ship, text_batches, word_hashes
 
 SKETCH_BITS = 2048
+TILE = 512  # members of a bucket that meet its leads, or another tile, in one task
 PERMS_PER_BAND = 3  # six values: three minima and three maxima
 
 
@@ -129,7 +130,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
 
     Null and empty texts, and texts without words, have no shingles and link with
     nothing.  Texts with fewer words than a shingle have one shingle, of all words.
-    Rows that repeat are linked.  An empty table gives no rows.  Nulls in other columns
+    A null doc_id counts as the largest: component_id is null only if the whole component
+    has none, and then the row that stays is kept.  Rows that repeat are linked.  An empty table gives no rows.  Nulls in other columns
     and any further column names are passed through in ``doc``.
     """
     spark = docs.sparkSession
@@ -138,19 +140,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     t = scratch.keep(signatures(docs, shingle, bands, seed).withColumn("rid", F.monotonically_increasing_id()), "documents")
 
     # nodes: one row of each distinct set
-    narrow = t.select("rid", "n_shingles", "f1", "f2")
-    nodes = narrow.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("rid").alias("node"))
-    members = scratch.keep(narrow.join(nodes, ["n_shingles", "f1", "f2"]).select("rid", "node"), "members")
-    heads = members.where("rid = node").select("rid")
+    whole = ["n_shingles", "f1", "f2"]
+    nodes = t.where("n_shingles > 0").groupBy(*whole).agg(F.min("rid").alias("node"), F.count("*").alias("copies"))
+    nodes = scratch.keep(nodes, "nodes")
+    heads = nodes.select(F.col("node").alias("rid"))
     entries = t.select("rid", "bands").join(heads, "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
-    crowded = entries.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    entries = scratch.keep(entries.join(crowded, "key"), "candidates")
+    crowded = scratch.keep(entries.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
+    entries = scratch.keep(attached(entries, crowded, ["key"], "crowd"), "candidates")
     texts = t.select("rid", F.col("doc.text").alias("text"))
 
     # weight: how crowded a document's buckets are; the most central one is the best lead
     weights = entries.groupBy("rid").agg(F.sum("crowd").alias("weight"))
     weights = weights.join(t.select("rid", F.col("n_shingles").alias("n"), "odd"), "rid")
-    entries = scratch.keep(entries.drop("crowd").join(weights, "rid"), "entries")
+    # a bucket is dealt in tiles, so that no task gets a crowded one whole
+    tiles = F.expr(f"(crowd - 1) DIV {TILE} + 1")
+    entries = entries.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rid"), "tiles")).drop("crowd")
+    entries = scratch.keep(entries.join(weights, "rid"), "entries")
+
+    def every_tile(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))).drop("tiles")
 
     def able(a: str, b: str) -> Column:
         """Whether two documents can be similar enough.
@@ -168,14 +176,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     def mixed(found: DataFrame) -> DataFrame:
         """Entries of the buckets that hold more than one component, with the main one."""
         own = entries.join(found, entries.rid == found.id, "left")
-        own = own.select("key", "rid", F.coalesce("component", "rid").alias("c"), "n", "odd", "weight")
-        sizes = own.groupBy("key", "c").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("parts"))
-        return own.join(main.where("parts > 1").select("key", F.col("m.c").alias("main")), "key")
+        own = own.select("key", "tile", "tiles", "rid", F.coalesce("component", "rid").alias("c"), "n", "odd", "weight")
+        sizes = own.groupBy("key", "tiles", "c").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("key", "tiles").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("parts"))
+        main = scratch.keep(main.where("parts > 1").select("key", "tiles", F.col("m.c").alias("main")), "main")
+        return own.join(every_tile(main), ["key", "tile"])
 
     tested: list[DataFrame] = []
     found = spark.createDataFrame([], "id bigint, component bigint")
-    now = entries.select("key", "rid", F.col("rid").alias("c"), "n", "odd", "weight", F.lit(None).cast("bigint").alias("main"))
+    now = entries.select("key", "tile", "tiles", "rid", F.col("rid").alias("c"), "n", "odd", "weight", F.lit(None).cast("bigint").alias("main"))
 
     def test(pairs: DataFrame, name: str) -> bool:
         """Confirm pairs not tested yet; whether there were any."""
@@ -193,29 +202,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
             edges = edges.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
             found = scratch.keep(components(edges, "minmax-components"), f"found-{name}")
             now = scratch.keep(mixed(found), f"mixed-{name}")
+            scratch.drop("main")
         return True
 
     for turn in range(lead_rounds):
         # the lead: the most central member, then others
         draw = -F.col("weight") if turn == 0 else F.xxhash64("rid", F.lit(turn))
         draw = F.struct(draw.alias("draw"), *[F.col(c).alias(c) for c in ("rid", "c", "n", "odd")])
-        leads = now.groupBy("key").agg(F.min(draw).alias("lead"))
-        leads = leads.select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("rid", "c", "n", "odd")])
-        pairs = unfolded(now, "odd").join(unfolded(leads, "lead_odd", "lead_"), "key").where((F.col("c") != F.col("lead_c")) & able("", "lead_"))
+        leads = scratch.keep(now.groupBy("key", "tiles").agg(F.min(draw).alias("lead")), f"leads{turn}")
+        leads = every_tile(leads).select("key", "tile", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("rid", "c", "n", "odd")])
+        pairs = unfolded(now, "odd").join(unfolded(leads, "lead_odd", "lead_"), ["key", "tile"]).where((F.col("c") != F.col("lead_c")) & able("", "lead_"))
         test(pairs.select(F.col("rid").alias("u"), F.col("lead_rid").alias("v")).distinct(), f"lead{turn}")
     # what is still apart: all pairs across components that share a bucket; members of the
     # bucket's main component are never compared with each other
     apart = unfolded(now, "odd").drop("odd")
-    a, b = apart.where("main IS NULL OR c <> main").alias("a"), apart.alias("b")
-    rest = a.join(b, F.expr("a.key = b.key AND a.c <> b.c AND (coalesce(b.c = b.main, false) OR a.c < b.c)") & able("a.", "b."))
+    a, b = apart.where("main IS NULL OR c <> main").alias("a"), every_tile(apart).alias("b")
+    rest = a.join(b, F.expr("a.key = b.key AND a.tile = b.tile AND a.c <> b.c AND (coalesce(b.c = b.main, false) OR a.c < b.c)") & able("a.", "b."))
     test(rest.select(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).distinct(), "rest")
     found = scratch.keep(found, "components")
-    scratch.drop(*[n for n in scratch.paths if n not in ("documents", "members", "components")])
-
-    own = members.join(found, members.node == found.id, "left").select(F.col("rid").alias("r"), F.coalesce("component", "node").alias("c"))
-    own = t.select("rid", F.col("doc.doc_id").alias("d")).join(own, F.col("rid") == F.col("r"), "left").select("rid", "d", F.coalesce("c", "rid").alias("c"))
-    first = own.groupBy(F.col("c").alias("k")).agg(F.min(F.struct("d", "rid")).alias("first"))
-    own = own.join(first, F.col("c") == F.col("k")).select(F.col("rid").alias("r"), F.col("first.d").alias("component_id"), F.col("first.rid").alias("stayer"))
-    return t.join(own, F.col("rid") == F.col("r")).select(
-        "doc", "rid", "n_shingles", "component_id", F.coalesce(F.col("doc.doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), (F.col("rid") == F.col("stayer")).alias("stays")
-    )
+    scratch.drop(*[n for n in scratch.paths if n not in ("documents", "nodes", "components")])
+
+    nodes = nodes.join(found, nodes.node == found.id, "left").select(*whole, "copies", F.coalesce("component", "node").alias("c"))
+    rows = t.select("rid", F.col("doc.doc_id").alias("d"), *whole)
+    own = attached(rows, scratch.keep(nodes, "classes"), whole, "copies").select("rid", "d", "c")
+    own = scratch.keep(own.unionByName(rows.where("n_shingles = 0").select("rid", "d", F.col("rid").alias("c"))), "own")
+    first = F.min(F.struct(F.col("d").isNull().alias("absent"), "d", "rid")).alias("first")
+    first = scratch.keep(own.groupBy("c").agg(first, F.count("*").alias("size")), "first")
+    own = attached(own, first, ["c"], "size").select(F.col("rid").alias("r"), F.col("first.d").alias("component_id"), F.col("first.rid").alias("stayer"))
+    stays = F.col("rid") == F.col("stayer")
+    # a component of which no row has a doc_id keeps the row that stays
+    return t.join(own, F.col("rid") == F.col("r")).select("doc", "rid", "n_shingles", "component_id", F.coalesce(F.col("doc.doc_id") == F.col("component_id"), F.col("component_id").isNull() & stays).alias("kept"), stays.alias("stays"))
