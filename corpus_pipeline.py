@@ -17,6 +17,9 @@ from gradeframe.session import written
 #: A document goes if less than this share of its letters is evidence for learned languages.
 LEAST_SHARE = 0.4
 
+#: Slots, of 256 words each, that one file of the mix holds at most.
+SLOTS_PER_PART = 1 << 17
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in languages that the labelled ones teach, one or several mixed.
@@ -47,13 +50,22 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, once for each pass over their source that reaches them.
+    """Documents of the mix in the order of its schedule, once for each pass over their source.
 
-    The last document that a pass reaches is taken whole.
+    A row stands where the first slot that reads it in this pass does, so any stretch of
+    the output holds the sources near their shares.  The last document that a pass reaches
+    is taken whole.  Null and empty texts and texts without words have no slot and go;
+    rows that repeat are documents of their own; an empty table gives no rows.
     """
     docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    chosen = mixing.mix_sources(docs, row="__row").pieces.select(F.col("rid").alias("__rid"), "epoch").distinct()
-    return docs.join(chosen.drop("epoch"), F.col("__row") == F.col("__rid")).select(*[c for c in docs.columns if c != "__row"])
+    pieces = mixing.mix_sources(docs, row="__row").pieces
+    chosen = written(pieces.groupBy(F.col("rid").alias("__rid"), "epoch").agg(F.min("slot").alias("__slot")), "mix-chosen")
+    slots = (chosen.agg(F.max("__slot")).first()[0] or 0) + 1
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slots // SLOTS_PER_PART))
+    rows = docs.join(chosen.drop("epoch"), F.col("__row") == F.col("__rid"))
+    # slots are numbers without gaps, so equal ranges need no sample of the rows
+    rows = rows.repartitionById(parts, F.expr(f"int(__slot * {parts} DIV {slots})")).sortWithinPartitions("__slot", "__rid")
+    return rows.select(*[c for c in docs.columns if c != "__row"])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
