@@ -98,6 +98,26 @@ def test_mix_stage(stages):
     assert taken >= 1.4 * sum(len(words(r[1])) for r in before.values())
 
 
+def test_mix_is_written_in_the_order_of_its_schedule(spark, monkeypatch):
+    """Any quarter of the output holds the sources as the whole does, however many files it has."""
+    rows = [(i, f"{i} " + "w " * (150 + i * 37 % 300), "en", "abc"[i % 3]) for i in range(900)]
+    outputs = []
+    for most in (1 << 17, 40):
+        monkeypatch.setattr(corpus_pipeline, "SLOTS_PER_PART", most)
+        outputs.append([(r["doc_id"], r["source"], len(words(r["text"]))) for r in corpus_pipeline.mix(spark, documents(spark, rows), SMALL).collect()])
+    out = outputs[0]
+    assert out == outputs[1]
+
+    def shares(part):
+        whole = sum(n for _, _, n in part)
+        return [sum(n for _, s, n in part if s == source) / whole for source in "abc"]
+
+    quarter = len(out) // 4
+    for k in range(4):
+        assert shares(out[k * quarter : (k + 1) * quarter]) == pytest.approx(shares(out), abs=0.03)
+    assert corpus_pipeline.mix(spark, documents(spark, []), SMALL).count() == 0
+
+
 def test_encoding_stage(stages):
     import tokenizers
 
