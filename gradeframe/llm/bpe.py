@@ -179,11 +179,11 @@ OUTPUTS = {
 DECODING = {"decoded", "decoded_sha256", "restored"}
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), room: int = 250_000) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), room: int = 250_000, batch_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id and the chosen ``outputs``.
 
     A Python worker remembers up to 4 x ``room`` pieces, about 250 bytes each, and keeps
-    them after the query; take less room where other steps follow.
+    them after the query; take less room, and smaller batches, where other steps follow.
 
     ``tokenizer`` is the path of the JSON description, read once on the driver (a file of
     a few MB) and broadcast.  ``decoded`` and ``decoded_sha256`` decode the ids just made;
@@ -199,7 +199,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, decodes = loaded(shared.value, room), not DECODING.isdisjoint(outputs)
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, most=batch_bytes):
             rows = [[] for _ in outputs]
             for text in batch.column(1):
                 ids = bpe.encode(utf8(text))

@@ -166,7 +166,7 @@ SCHEMA = T.StructType([
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[str, ...] = ("doc_id",), batch_bytes: int = 6 << 20) -> DataFrame:
     """One row per document: doc, lang_pred, score, n_words, spans, evidence.
 
     ``doc``: struct of the columns to ``carry``.
@@ -175,7 +175,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[s
     share of the letters, counting as evidence only words in a script that some language
     uses; ``evidence``: the share of the letters that are evidence for any language.  ``und``
     with score and evidence 0 if the text is null, has no letter, or nothing was learned.
-    Texts are read whole.  Repeated rows are labelled each, an empty table gives no rows;
+    Texts are read whole, in batches of about ``batch_bytes``, or of one text if it is
+    longer; a worker's memory grows with them.  Repeated rows are labelled each, an empty table gives no rows;
     only the text decides, other columns may be null and have any name.
     """
     spark = docs.sparkSession
@@ -184,7 +185,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in text_batches(batches, most=6 << 20):
+        for batch in text_batches(batches, most=batch_bytes):
             found = [WORDS.findall(utf8(t).lower()) for t in batch.column(1)]
             starts = np.cumsum([0, *map(len, found)])
             pred, share, spans, evidence = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [[] for _ in found], np.zeros(batch.num_rows)
