@@ -17,6 +17,9 @@ from gradeframe.session import written
 #: A document goes if less than this share of its letters is evidence for learned languages.
 LEAST_SHARE = 0.4
 
+#: Bytes of text that a Python worker takes at once; workers live on from stage to stage.
+BATCH_BYTES = 2 << 20
+
 #: Slots, of 256 words each, that one file of the mix holds at most.
 SLOTS_PER_PART = 1 << 17
 
@@ -27,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts go, and those of which all learned languages together
     have less than LEAST_SHARE.
     """
-    found = langid.identify(docs, langid.fit(docs), carry=tuple(docs.columns))
+    found = langid.identify(docs, langid.fit(docs), carry=tuple(docs.columns), batch_bytes=BATCH_BYTES)
     return found.where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_SHARE)).select("doc.*")
 
 
@@ -70,7 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, the hash of what they decode to, and whether that is the text."""
-    return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids", "decoded_sha256", "restored"), room=50_000)
+    return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids", "decoded_sha256", "restored"), room=50_000, batch_bytes=BATCH_BYTES)
 
 
 STAGES = [
