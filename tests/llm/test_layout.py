@@ -159,7 +159,7 @@ def test_written_shards(spark, folder):
 
 def test_registered_queries(spark):
     got = queries.op4_mixing(spark, SMALL)
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"] and got.count() == 200
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots"] and got.count() == 200
     got = queries.op10_sharding(spark, SMALL)
     assert dict(got.dtypes)["slot"] == "bigint" and got.where(F.col("law") == "bytes").count() == 200
     got = queries.op5_training_order(spark, SMALL)
