@@ -50,14 +50,15 @@ def with_salvaged(
 
     `replies` has id and resp.  Only cut-off rows can have a reply, and a cut-off row
     without one keeps its closed partial text.  Only cut-off rows are joined; the others
-    pass by.  A repeated id among the replies is an error.
+    pass by.  A repeated id among the replies is an error.  Replies grow with the rows, so
+    they are never broadcast.
     """
     cut = F.coalesce(T.is_truncated_thought(resp, "finish_reason"), F.lit(False))
     right = replies.groupBy(id).agg(F.count(F.lit(1)).alias("__n"), F.first("resp").alias("__reply"))
     repeated = F.raise_error(F.concat(F.lit("more than one reply for id "), F.col(id).cast("string")))
     right = right.select(id, F.when(F.col("__n") == 1, F.col("__reply")).otherwise(repeated.cast("string")).alias("__reply"))
     text = F.concat(T.salvage_text(resp), F.coalesce(F.col("__reply"), F.lit("")))
-    done = df.filter(cut).join(right, id, "left").withColumn(resp, text).select(*df.columns)
+    done = df.filter(cut).join(right.hint("merge"), id, "left").withColumn(resp, text).select(*df.columns)
     return df.filter(~cut).unionByName(done)
 
 
@@ -74,7 +75,7 @@ def generate_with_salvage(
     first = materialize(generate(df, fn, id, prompt))
     cut = first.filter(T.is_truncated_thought("resp", "finish_reason"))
     # only cut-off rows need their prompt again
-    again = cut.join(df.select(id, F.col(prompt).alias("prompt")), id)
+    again = cut.hint("merge").join(df.select(id, F.col(prompt).alias("prompt")), id)
     second = materialize(generate(salvage_requests(again, id), salvage_fn, id))
     done = with_salvaged(first, second, id).select(id, "resp", "finish_reason")
     return df.join(done.hint("merge"), id, "left")

@@ -451,3 +451,18 @@ def test_other_failures_are_not_a_bad_file(spark, folder):
 def test_prompt_of_an_unknown_benchmark(spark):
     df = spark.createDataFrame([(1, "Else", "how many?"), (2, None, "how many?")], "id int, dataset string, question string")
     assert all("how many?" in r.prompt and r.images == [] for r in build_prompt(df).collect())
+
+
+def test_replies_are_never_broadcast(spark):
+    """Their size is estimated from a scan that an explode has made far larger."""
+    rows = spark.range(5).select(F.col("id").alias("sid"), F.lit("<think>1").alias("resp"), F.lit("1").alias("answer"), F.lit("length").alias("finish_reason"))
+    judge = spark.range(5).select("id", F.lit("\\boxed{1}").alias("judge_resp"))
+    joined = (
+        judging.with_responses(rows, judge, "sid"),
+        judging.score_judged(rows, ["external_cap_verify"], "sid", caption=judge, completion="resp", solution="answer"),
+        generation.with_salvaged(rows, rows.select("sid", F.lit(" 1").alias("resp")), "sid"),
+    )
+    for df in joined:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+        assert df.count() == 5
