@@ -299,3 +299,13 @@ def test_tagged_box_is_rewarded(spark):
 
     df = spark.createDataFrame([("<answer>\\boxed{5}</answer>", "5"), ("so \\boxed{5}", "5")], "completion string, solution string")
     assert [r[0] for r in score(df, ["external_answer_tag_acc"]).select("external_answer_tag_acc").collect()] == [1.0, 1.0]
+
+
+def test_answers_are_bound_without_an_array_per_row(spark):
+    """Reading an answer binds its steps; whole numbers take one test, and white space of all kinds goes."""
+    rows = [("17", "17", True), (" 17　", "$17$", True), ("007", "7", True), ("$ 17 $", "17", True), ("17", "18", False),
+            ("12345678901234567", "12345678901234568", True), (" A\n", "(A)", True), ("** x+1 **", "1+x", True), (None, "1", False), ("", "", False)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean").withColumn("got", equivalent("a", "b"))
+    assert [r.got for r in df.collect()] == [r[2] for r in rows]
+    plan = df.select(equivalent("a", "b"))._jdf.queryExecution().analyzed().toString()
+    assert "transform(array(a#" not in plan and "aggregate(array(), a#" in plan
