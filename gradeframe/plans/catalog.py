@@ -834,8 +834,10 @@ def _(spark, sf):
     """Responses arrive in several batches; a late wrong trial takes its image back."""
     base = new_dir(spark, "arrivals")
     r = D.responses(spark, sf).select("image", F.col("dataset").alias("benchmark"), "answer", "resp")
-    r.repartition(4).write.options(**sinks.JSON_OPTIONS).json(base)
-    rows = incremental.stream_responses(spark, base, "image string, benchmark string, answer string, resp string", max_files=2)
+    r.write.options(**sinks.JSON_OPTIONS).json(base)
+    # a file for each partition that the responses are dealt over, half of them at a time
+    half = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    rows = incremental.stream_responses(spark, base, "image string, benchmark string, answer string, resp string", max_files=half)
     judged = evaluate_responses(rows.withColumn("dataset", F.col("benchmark")))
     table = new_dir(spark, "totals")
     incremental.start_worst_case(incremental.image_changes(judged), table).awaitTermination()

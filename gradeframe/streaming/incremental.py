@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed as K, text as T
 from ..functions.equivalence import EqualFn
@@ -84,14 +79,11 @@ def start_running_accuracy(
     )
 
 
-def _last_totals(spark: SparkSession, table_path: str, before: int | None = None) -> str | None:
-    """The last folder of totals that was written to its end (and is older than batch `before`)."""
+def _last_totals(spark: SparkSession, table_path: str) -> str | None:
+    """The last folder of totals that was written to its end."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/totals-*/_SUCCESS")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ()
-    folders = [f.getPath().getParent().toString() for f in found]
-    if before is not None:
-        folders = [f for f in folders if int(f.rpartition("-")[2]) < before]
-    return max(folders, default=None)
+    return max((f.getPath().getParent().toString() for f in found), default=None)
 
 
 def read_totals(spark: SparkSession, table_path: str) -> DataFrame:
@@ -121,70 +113,41 @@ def start_append_scored(
 _SUMS = ("n_images", "n_right", "n_complete", "n_complete_right", "n_strict")
 
 
-def _by_image(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trials and right trials of each image of an Arrow batch, before they are shuffled."""
-    for batch in batches:
-        sums = pa.Table.from_batches([batch]).group_by(["by", "key"]).aggregate([("trials", "sum"), ("right", "sum")])
-        yield from sums.select(["by", "key", "trials_sum", "right_sum"]).rename_columns(["by", "key", "trials", "right"]).to_batches()
-
-
 def image_changes(judged: DataFrame, by: str = "dataset", image: str = "image", flag: str = "verify", n_trials: int = K.DYNAMATH_TRIALS) -> DataFrame:
-    """By how much newly arrived trials change the sums over images, per changed image.
+    """What every image adds to the sums over images, as its trials arrive; a row per image.
 
     Sums: images, images with every trial right, images with exactly `n_trials` trials,
     those of them with every trial right, and images with exactly `n_trials` right trials.
-    The state is two counts for each image, so a wrong trial that comes late takes back what
-    the image had added.  Trials are added up within each Arrow batch first: an image that
-    holds a third of all rows sends a row per batch to its state.
+    The state is two counts for each image, kept by Spark's own aggregation, so a wrong trial
+    that comes late takes back what the image had added.  Trials are added up within each
+    task first: an image that holds a third of all rows sends a row per task to its state.
     """
-    rows = judged.select(
-        F.col(by).cast("string").alias("by"), T.image_folder_key(image).alias("key"),
-        F.lit(1).cast("bigint").alias("trials"), F.coalesce(F.col(flag), F.lit(False)).cast("bigint").alias("right"),
+    right = F.coalesce(F.col(flag), F.lit(False))
+    counts = judged.groupBy(F.col(by).cast("string").alias(by), T.image_folder_key(image).alias("__key")).agg(
+        F.count(F.lit(1)).alias("__trials"), F.count_if(right).alias("__right")
     )
-    rows = rows.mapInArrow(_by_image, "by string, key string, trials bigint, right bigint")
-
-    def sums(trials: int, right: int) -> tuple[int, ...]:
-        if not trials:
-            return (0,) * len(_SUMS)
-        complete = trials == n_trials
-        return 1, int(right == trials), int(complete), int(complete and right == n_trials), int(right == n_trials)
-
-    def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else (0, 0)
-        new = list(old)
-        for frame in frames:
-            new[0] += int(frame["trials"].sum())
-            new[1] += int(frame["right"].sum())
-        state.update(tuple(new))
-        change = [b - a for a, b in zip(sums(*old), sums(*new), strict=True)]
-        if any(change):
-            yield pd.DataFrame([(key[0], *change)], columns=["by", *_SUMS])
-
-    out = f"by string, {', '.join(f'{c} bigint' for c in _SUMS)}"
-    changes = rows.groupBy("by", "key").applyInPandasWithState(changed, out, "trials bigint, right bigint", "update", GroupStateTimeout.NoTimeout)
-    return changes.withColumnRenamed("by", by)
+    complete, strict = F.col("__trials") == n_trials, F.col("__right") == n_trials
+    parts = (F.lit(True), F.col("__right") == F.col("__trials"), complete, complete & strict, strict)
+    return counts.select(by, *[p.cast("bigint").alias(c) for c, p in zip(_SUMS, parts, strict=True)])
 
 
 def start_worst_case(changes: DataFrame, table_path: str, checkpoint: str | None = None) -> StreamingQuery:
     """Process everything that has arrived, write the sums so far, stop.
 
-    A batch adds its changes to the sums of the batch before it and writes a folder of its
-    own, a row per group.  Repeating a batch after a failure starts from the same folder, so
-    nothing is counted twice; `table_path` belongs to one `checkpoint`.
+    A batch adds up all images and writes a folder of its own, a row per group.  The counts of
+    the images are in the checkpoint; repeating a batch after a failure starts from them as
+    they were, and replaces that folder only.
     """
     spark = changes.sparkSession
     checkpoint = checkpoint or new_dir(spark, "stream-checkpoint")
     by = changes.columns[0]
 
     def add(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        last = _last_totals(own, table_path, before=number)
-        rows = batch if last is None else batch.unionByName(own.read.schema(batch.schema).parquet(last))
-        sums = rows.groupBy(by).agg(*[F.sum(c).alias(c) for c in _SUMS])
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{table_path}/totals-{number:012d}")
+        sums = batch.groupBy(by).agg(*[F.sum(c).alias(c) for c in _SUMS])
+        sums.write.mode("overwrite").parquet(f"{table_path}/totals-{number:012d}")
 
     return (
-        changes.writeStream.outputMode("update")
+        changes.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(add)

@@ -466,3 +466,11 @@ def test_replies_are_never_broadcast(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
         assert df.count() == 5
+
+
+def test_running_worst_case_needs_no_python_per_image(spark, folder):
+    """Calling Python for every image took longer than judging its trials."""
+    jsonl(f"{folder}/in/0.jsonl", [{"image": "d/1.png", "verify": True}])
+    stream = incremental.stream_responses(spark, f"{folder}/in", "image string, verify boolean")
+    plan = incremental.image_changes(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "Arrow" not in plan
