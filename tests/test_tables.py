@@ -474,3 +474,18 @@ def test_running_worst_case_needs_no_python_per_image(spark, folder):
     stream = incremental.stream_responses(spark, f"{folder}/in", "image string, verify boolean")
     plan = incremental.image_changes(stream)._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_small_json_files_are_parsed_whole(spark, folder, monkeypatch):
+    """Small files need no sums over ranges; files on either side of the limit give the same rows."""
+    for i, n in enumerate((1, 3, 40)):
+        rows = [{"answer": f"{i}-{j} }}\"]"} for j in range(n)]
+        write(f"{folder}/l/{i}.json", json.dumps(rows))
+        write(f"{folder}/k/{i}.json", json.dumps({f"{i}/{j}": r for j, r in enumerate(rows)}))
+    read = lambda: [sorted(map(tuple, f(spark, f"{folder}/{d}", "answer string").collect())) for f, d in ((readers.read_json_list, "l"), (readers.read_json_keyed, "k"))]
+    ranges = []
+    monkeypatch.setattr(readers, "json_records", lambda *a: ranges.append(a) or json_records(*a))
+    whole = read()
+    assert not ranges and [len(x) for x in whole] == [44, 44]
+    monkeypatch.setattr(readers, "WHOLE_BYTES", 100)
+    assert read() == whole and len(ranges) == 2
