@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm import bpe, langid, minmax, mixing, suffix
-from gradeframe.llm.common import WORD
+from gradeframe.llm.common import WORD, Scratch, shuffles_removed
 from gradeframe.llm.queries import tokenizer_path
 from gradeframe.session import written
 
@@ -60,12 +60,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is taken whole.  Null and empty texts and texts without words have no slot and go;
     rows that repeat are documents of their own; an empty table gives no rows.
     """
-    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    pieces = mixing.mix_sources(docs, row="__row").pieces
-    chosen = written(pieces.groupBy(F.col("rid").alias("__rid"), "epoch").agg(F.min("slot").alias("__slot")), "mix-chosen")
-    slots = (chosen.agg(F.max("__slot")).first()[0] or 0) + 1
+    scratch = Scratch(spark, "mix")
+    docs = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    with shuffles_removed(spark):
+        pieces = mixing.mix_sources(docs, row="__row").pieces
+    chosen = pieces.groupBy(F.col("rid").alias("__rid"), "epoch").agg(F.min("slot").alias("__slot"))
+    chosen = scratch.keep(chosen.groupBy("__rid").agg(F.collect_list("__slot").alias("__slots")), "chosen")
+    slots = (chosen.agg(F.max(F.array_max("__slots"))).first()[0] or 0) + 1
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slots // SLOTS_PER_PART))
-    rows = docs.join(chosen.drop("epoch"), F.col("__row") == F.col("__rid"))
+    # stored with their slots, so the files of this shuffle and the first copy go before the next one
+    rows = scratch.keep(docs.join(chosen, F.col("__row") == F.col("__rid")).drop("__row"), "taken")
+    scratch.drop("documents")
+    rows = rows.withColumn("__slot", F.explode("__slots"))
     # slots are numbers without gaps, so equal ranges need no sample of the rows
     rows = rows.repartitionById(parts, F.expr(f"int(__slot * {parts} DIV {slots})")).sortWithinPartitions("__slot", "__rid")
     return rows.select(*[c for c in docs.columns if c != "__row"])

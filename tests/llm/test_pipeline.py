@@ -98,6 +98,13 @@ def test_mix_stage(stages):
     assert taken >= 1.4 * sum(len(words(r[1])) for r in before.values())
 
 
+def test_mix_shuffles_texts_once_while_it_is_written(spark):
+    """The files of two shuffles of all texts, beside a copy, took more disk than the stage has."""
+    rows = corpus_pipeline.mix(spark, documents(spark), SMALL)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan, plan
+
+
 def test_mix_is_written_in_the_order_of_its_schedule(spark, monkeypatch):
     """Any quarter of the output holds the sources as the whole does, however many files it has."""
     rows = [(i, f"{i} " + "w " * (150 + i * 37 % 300), "en", "abc"[i % 3]) for i in range(900)]
