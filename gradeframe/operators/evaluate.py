@@ -14,6 +14,7 @@ from ..functions.equivalence import (
     final_answer,
     same_text,
 )
+from ..session import written
 
 
 def with_equal(
@@ -23,6 +24,31 @@ def with_equal(
     return df.withColumn(out, equivalent_or_same(a, b, equal))
 
 
+#: Pairs, and characters in them, up to which a table of pairs is broadcast.
+BROADCAST_PAIRS, BROADCAST_CHARACTERS = 100_000, 8 << 20
+
+
+def with_equal_by_pair(
+    df: DataFrame, out: str, a: str, b: str, equal: EqualFn | None = None
+) -> DataFrame:
+    """The same as `with_equal`, where many rows hold the same two answers.
+
+    Every distinct pair is compared once and stored; the rows are joined with it.  `df` is
+    read twice, so it must give the same rows again.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # structs with nulls in them are equal keys, so missing answers find their pair
+    rows = df.withColumn("__pair", F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
+    # comparing is dear and the pairs are small, so they are dealt out again
+    pairs = rows.select("__pair").distinct().repartition(parts)
+    pairs = written(pairs.select("__pair", equivalent_or_same("__pair.a", "__pair.b", equal).alias("__equal")), "pairs")
+    length = F.coalesce(F.length("__pair.a"), F.lit(0)) + F.coalesce(F.length("__pair.b"), F.lit(0))
+    n, characters = pairs.agg(F.count(F.lit(1)), F.sum(length)).first()
+    few = n <= BROADCAST_PAIRS and (characters or 0) <= BROADCAST_CHARACTERS
+    joined = rows.join(F.broadcast(pairs) if few else pairs.hint("merge"), "__pair", "left")
+    return joined.withColumn(out, F.col("__equal")).drop("__pair", "__equal")
+
+
 def evaluate_responses(
     df: DataFrame,
     system_prompt: str = K.SYSTEM_PROMPT_DEFAULT,

@@ -15,7 +15,7 @@ from ..functions.choices import choice_info, with_choice_match
 from ..functions.equivalence import answers_equal, final_answer, parse_answer, same_text
 from ..functions.rewards import score
 from ..operators import generation, judging, metrics, records
-from ..operators.evaluate import evaluate_responses, judge_trials, with_equal
+from ..operators.evaluate import evaluate_responses, judge_trials, with_equal, with_equal_by_pair
 from ..session import new_dir, written
 from ..sources import readers, sinks
 from ..streaming import incremental
@@ -204,13 +204,13 @@ def _(spark, sf):
 @query("e01_expressions")
 def _(spark, sf):
     pairs = D.expression_pairs(spark, sf)
-    return with_equal(pairs, "is_equal", "answer", "model_answer").select("l_orderkey", "l_linenumber", "form", "is_equal")
+    return with_equal_by_pair(pairs, "is_equal", "answer", "model_answer").select("l_orderkey", "l_linenumber", "form", "is_equal")
 
 
 @query("e03_equal_or_same_text")
 def _(spark, sf):
     pairs = D.answer_pairs(spark, sf)
-    return with_equal(pairs, "is_equal", "answer", "model_answer").select(
+    return with_equal_by_pair(pairs, "is_equal", "answer", "model_answer").select(
         "l_orderkey", "l_linenumber", "form", "is_equal",
         same_text("answer", "model_answer").alias("is_same"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeframe import REWARDS, register_reward, score, with_choice_match
 from gradeframe.functions import fixed as K
 from gradeframe.functions.equivalence import equivalent, equivalent_or_same, final_answer, parse_answer
+from gradeframe.operators import evaluate
 from gradeframe.operators.evaluate import evaluate_responses
 
 EQUAL = [
@@ -309,3 +310,26 @@ def test_answers_are_bound_without_an_array_per_row(spark):
     assert [r.got for r in df.collect()] == [r[2] for r in rows]
     plan = df.select(equivalent("a", "b"))._jdf.queryExecution().analyzed().toString()
     assert "transform(array(a#" not in plan and "aggregate(array(), a#" in plan
+
+
+def test_equal_pairs_are_compared_once(spark, monkeypatch):
+    """As row by row, with missing answers, broadcast or not; a dear comparison runs once a pair."""
+    pairs = [("2x+1", "1+2x"), ("0.5", "1/2"), (None, "3"), (None, None), ("3", None), ("", ""), ("x", "y")]
+    df = spark.createDataFrame([(i, *pairs[i % 7]) for i in range(700)], "id int, x string, y string").repartition(4)
+    want = evaluate.with_equal(df, "z", "x", "y").sort("id").collect()
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(x, y):
+        compared.add(1)
+        return x == y
+
+    assert evaluate.with_equal_by_pair(df, "z", "x", "y").sort("id").collect() == want
+    evaluate.with_equal_by_pair(df, "z", "x", "y", counted).collect()
+    assert compared.value <= len(pairs)
+    monkeypatch.setattr(evaluate, "BROADCAST_PAIRS", 3)
+    by_merge = evaluate.with_equal_by_pair(df, "z", "x", "y")
+    assert "BroadcastHashJoin" not in by_merge._jdf.queryExecution().executedPlan().toString()
+    assert by_merge.sort("id").collect() == want
+    null_safe = evaluate.with_equal_by_pair(df, "z", "x", "y", lambda x, y: x.eqNullSafe(y))
+    assert null_safe.where("x IS NULL AND y IS NULL AND z").count() == 100
