@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K, text as T
@@ -31,7 +33,14 @@ BROADCAST_PAIRS, BROADCAST_CHARACTERS = 100_000, 8 << 20
 def with_equal_by_pair(
     df: DataFrame, out: str, a: str, b: str, equal: EqualFn | None = None
 ) -> DataFrame:
-    """The same as `with_equal`, where many rows hold the same two answers.
+    """The same as `with_equal`, where many rows hold the same two answers."""
+    return compared_by_pair(df, out, a, b, lambda x, y: equivalent_or_same(x, y, equal))
+
+
+def compared_by_pair(
+    df: DataFrame, out: str, a: str, b: str, compare: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """Add `out`: what `compare` says of columns `a` and `b`.
 
     Every distinct pair is compared once and stored; the rows are joined with it.  `df` is
     read twice, so it must give the same rows again.
@@ -41,7 +50,7 @@ def with_equal_by_pair(
     rows = df.withColumn("__pair", F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
     # comparing is dear and the pairs are small, so they are dealt out again
     pairs = rows.select("__pair").distinct().repartition(parts)
-    pairs = written(pairs.select("__pair", equivalent_or_same("__pair.a", "__pair.b", equal).alias("__equal")), "pairs")
+    pairs = written(pairs.select("__pair", compare(F.col("__pair.a"), F.col("__pair.b")).alias("__equal")), "pairs")
     length = F.coalesce(F.length("__pair.a"), F.lit(0)) + F.coalesce(F.length("__pair.b"), F.lit(0))
     n, characters = pairs.agg(F.count(F.lit(1)), F.sum(length)).first()
     few = n <= BROADCAST_PAIRS and (characters or 0) <= BROADCAST_CHARACTERS

@@ -15,7 +15,7 @@ from ..functions.choices import choice_info, with_choice_match
 from ..functions.equivalence import answers_equal, final_answer, parse_answer, same_text
 from ..functions.rewards import score
 from ..operators import generation, judging, metrics, records
-from ..operators.evaluate import evaluate_responses, judge_trials, with_equal, with_equal_by_pair
+from ..operators.evaluate import compared_by_pair, evaluate_responses, judge_trials, with_equal, with_equal_by_pair
 from ..session import new_dir, written
 from ..sources import readers, sinks
 from ..streaming import incremental
@@ -192,13 +192,12 @@ def _(spark, sf):
 # ------------------------------------------------------------------- equivalence
 @query("e01_equivalent")
 def _(spark, sf):
-    pairs = D.answer_pairs(spark, sf).withColumns(
-        {"x": parse_answer("answer"), "y": parse_answer("model_answer")}
-    )
-    return pairs.select(
-        "l_orderkey", "l_linenumber", "form",
-        answers_equal(F.col("x"), F.col("y")).alias("is_equal"),
-    )
+    # the two halves of a comparison
+    def compare(a: Column, b: Column) -> Column:
+        return answers_equal(parse_answer(a), parse_answer(b))
+
+    pairs = compared_by_pair(D.answer_pairs(spark, sf), "is_equal", "answer", "model_answer", compare)
+    return pairs.select("l_orderkey", "l_linenumber", "form", "is_equal")
 
 
 @query("e01_expressions")

@@ -327,6 +327,8 @@ def test_equal_pairs_are_compared_once(spark, monkeypatch):
     assert evaluate.with_equal_by_pair(df, "z", "x", "y").sort("id").collect() == want
     evaluate.with_equal_by_pair(df, "z", "x", "y", counted).collect()
     assert compared.value <= len(pairs)
+    apart = evaluate.compared_by_pair(df, "z", "x", "y", equivalent).where("z").select("x").distinct()
+    assert {r.x for r in apart.collect()} == {"2x+1", "0.5"}  # the same empty text is no equal answer
     monkeypatch.setattr(evaluate, "BROADCAST_PAIRS", 3)
     by_merge = evaluate.with_equal_by_pair(df, "z", "x", "y")
     assert "BroadcastHashJoin" not in by_merge._jdf.queryExecution().executedPlan().toString()
