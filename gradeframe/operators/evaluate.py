@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed as K, text as T
+from ..functions import fixed as K, pairs, text as T
 from ..functions.choices import with_choice_match
 from ..functions.equivalence import (
     EqualFn,
@@ -16,7 +16,6 @@ from ..functions.equivalence import (
     final_answer,
     same_text,
 )
-from ..session import written
 
 
 def with_equal(
@@ -27,7 +26,7 @@ def with_equal(
 
 
 #: Pairs, and characters in them, up to which a table of pairs is broadcast.
-BROADCAST_PAIRS, BROADCAST_CHARACTERS = 100_000, 8 << 20
+BROADCAST_PAIRS, BROADCAST_CHARACTERS = pairs.BROADCAST_ROWS, pairs.BROADCAST_CHARACTERS
 
 
 def with_equal_by_pair(
@@ -45,17 +44,12 @@ def compared_by_pair(
     Every distinct pair is compared once and stored; the rows are joined with it.  `df` is
     read twice, so it must give the same rows again.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # structs with nulls in them are equal keys, so missing answers find their pair
-    rows = df.withColumn("__pair", F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
-    # comparing is dear and the pairs are small, so they are dealt out again
-    pairs = rows.select("__pair").distinct().repartition(parts)
-    pairs = written(pairs.select("__pair", compare(F.col("__pair.a"), F.col("__pair.b")).alias("__equal")), "pairs")
-    length = F.coalesce(F.length("__pair.a"), F.lit(0)) + F.coalesce(F.length("__pair.b"), F.lit(0))
-    n, characters = pairs.agg(F.count(F.lit(1)), F.sum(length)).first()
-    few = n <= BROADCAST_PAIRS and (characters or 0) <= BROADCAST_CHARACTERS
-    joined = rows.join(F.broadcast(pairs) if few else pairs.hint("merge"), "__pair", "left")
-    return joined.withColumn(out, F.col("__equal")).drop("__pair", "__equal")
+    rows = df.withColumns({"__a": F.col(a), "__b": F.col(b)})
+    found = pairs.joined_by_distinct(
+        rows, ["__a", "__b"], lambda d: d.withColumn("__equal", compare(F.col("__a"), F.col("__b"))),
+        BROADCAST_PAIRS, BROADCAST_CHARACTERS,
+    )
+    return found.withColumn(out, F.col("__equal")).drop("__a", "__b", "__equal")
 
 
 def evaluate_responses(
@@ -71,13 +65,32 @@ def evaluate_responses(
     label as text, or equal to it as an answer; a whole response standing in for a
     missing answer is searched for its final answer first.
     """
-    label, parsed = F.col(answer), F.col("parsed_answer")
+    right = commits_to_label(F.col(answer), F.col("parsed_answer"), equal)
+    return df.withColumn("parsed_answer", T.select_answer(resp, system_prompt)).withColumn("verify", right)
+
+
+def commits_to_label(label: Column, parsed: Column, equal: EqualFn | None = None) -> Column:
+    """Is what a response commits to the label?  Never NULL."""
     wrapped = parsed.startswith("$") & parsed.endswith("$") & (F.length(parsed) >= 2)
     candidate = F.when(wrapped, parsed).otherwise(_bind(parsed, lambda t: final_answer(t)))
     same = same_text(T.wrap_math(label), parsed)
-    right = F.coalesce((equal or equivalent)(label, candidate), F.lit(False))
-    return df.withColumn("parsed_answer", T.select_answer(resp, system_prompt)).withColumn(
-        "verify", same | right
+    return same | F.coalesce((equal or equivalent)(label, candidate), F.lit(False))
+
+
+def evaluate_responses_by_pair(
+    df: DataFrame,
+    system_prompt: str = K.SYSTEM_PROMPT_DEFAULT,
+    resp: str = "resp",
+    answer: str = "answer",
+    equal: EqualFn | None = None,
+) -> DataFrame:
+    """The same as `evaluate_responses`, where many responses commit to the same answer.
+
+    Every distinct pair of label and parsed answer is compared once (`compared_by_pair`).
+    """
+    parsed = df.withColumn("parsed_answer", T.select_answer(resp, system_prompt))
+    return compared_by_pair(
+        parsed, "verify", answer, "parsed_answer", lambda label, given: commits_to_label(label, given, equal)
     )
 
 
