@@ -348,3 +348,18 @@ def test_responses_are_judged_once_for_each_pair(spark):
     assert judged.sort("sid").collect() == want
     # what the rows are joined with: texts that say the same are one
     assert spark.read.parquet(*judged.inputFiles()).count() <= 21
+
+
+def test_rewards_read_each_answer_once(spark):
+    """Rewards by distinct answers are those row by row; what is stored grows with the answers."""
+    texts = ["so \\boxed{\\frac{4}{2}}", "<answer>2.5</answer>", None, "", "\\boxed{}", "<answer>3</answer> \\boxed{3.0}"]
+    rows = [(i, texts[i % 6], ("2", "3", None, "x")[i // 6 % 4]) for i in range(480)]
+    df = spark.createDataFrame(rows, "sid int, completion string, solution string").repartition(4)
+    names = ["external_answer_tag_acc_gauss", "external_answer_tag_length_acc", "external_compare_acc", "external_math_acc"]
+    want = score(df, names).sort("sid").collect()
+    assert len({r.external_answer_tag_acc_gauss for r in want}) > 2
+    scored = score(df, names, by_pair=True)
+    assert scored.sort("sid").collect() == want
+    assert spark.read.parquet(*scored.inputFiles()).count() <= 24
+    # nothing is compared, nothing stored
+    assert not score(df, ["external_tag_count"], by_pair=True).inputFiles()
