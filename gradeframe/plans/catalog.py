@@ -833,9 +833,8 @@ def _(spark, sf):
     r.write.options(**sinks.JSON_OPTIONS).json(base)
     rows = incremental.stream_responses(spark, base, "sid bigint, benchmark string, answer string, resp string")
     rows = rows.withColumn("dataset", F.col("benchmark"))
-    totals = incremental.running_accuracy(rows)
     table = new_dir(spark, "totals")
-    incremental.start_running_accuracy(totals, table).awaitTermination()
+    incremental.start_running_accuracy_by_pair(rows, table).awaitTermination()
     return incremental.read_totals(spark, table).withColumn("acc", _r6("acc"))
 
 

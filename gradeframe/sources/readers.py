@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed as K, text as T
+from ..functions.equivalence import _bind
 from ..schemas import BENCHMARK_SCHEMAS, RESPONSES
 from ..session import written
 from .json_ranges import json_records
@@ -20,14 +21,19 @@ def parsed_lines(lines: DataFrame, schema: str, strict: bool, keep: tuple[str, .
     """
     wrapped = F.concat(F.lit("["), F.col("value"), F.lit("]"))
     parsed = F.from_json(wrapped, f"array<struct<{_as_struct(schema)}>>")
-    rows = lines.filter(T.strip("value") != "").withColumn("__rows", parsed)
-    good = F.coalesce((F.size("__rows") == 1) & F.get("__rows", F.lit(0)).isNotNull(), F.lit(False))
-    if strict:
-        problem = F.raise_error(F.concat(F.lit("line is not a JSON object: "), F.col("value")))
-        good = F.when(good, F.lit(True)).otherwise(problem.cast("boolean"))
-    return rows.filter(good).select(
-        *keep, F.get("__rows", F.lit(0)).alias("__row")
-    ).select(*keep, "__row.*")
+    broken = (
+        F.raise_error(F.concat(F.lit("line is not a JSON object: "), F.col("value")))
+        if strict
+        else F.array()
+    )
+
+    def checked(rows: Column) -> Column:
+        good = F.coalesce((F.size(rows) == 1) & F.get(rows, F.lit(0)).isNotNull(), F.lit(False))
+        return F.when(good, rows).otherwise(broken)
+
+    # exploded, not filtered: a filter on the parsed rows would parse every line again
+    rows = lines.filter(T.strip("value") != "")
+    return rows.select(*keep, F.explode(_bind(parsed, checked)).alias("__row")).select(*keep, "__row.*")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = RESPONSES) -> DataFrame:

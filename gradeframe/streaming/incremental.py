@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed as K, text as T
 from ..functions.equivalence import EqualFn
-from ..operators.evaluate import evaluate_responses
+from ..operators.evaluate import commits_to_label, evaluate_responses
 from ..schemas import RESPONSES
 from ..session import new_dir
 from ..sources.readers import parsed_lines
@@ -79,6 +79,45 @@ def start_running_accuracy(
     )
 
 
+def start_running_accuracy_by_pair(
+    rows: DataFrame,
+    table_path: str,
+    checkpoint: str | None = None,
+    by: str = "dataset",
+    system_prompt: str = K.SYSTEM_PROMPT_DEFAULT,
+    resp: str = "resp",
+    answer: str = "answer",
+    equal: EqualFn | None = None,
+) -> StreamingQuery:
+    """`start_running_accuracy` of `running_accuracy`, for rows that arrive, not totals.
+
+    A batch counts its rows for each distinct label and parsed answer, compares each of
+    them once, and adds its sums to the totals of the batch before, which has a folder of its
+    own: repeating a batch after a failure starts from the same totals.
+    """
+    spark = rows.sparkSession
+    checkpoint = checkpoint or new_dir(spark, "stream-checkpoint")
+
+    def add(batch: DataFrame, number: int) -> None:
+        parsed = batch.withColumn("parsed_answer", T.select_answer(resp, system_prompt))
+        pairs = parsed.groupBy(by, answer, "parsed_answer").agg(F.count(F.lit(1)).alias("n"))
+        right = commits_to_label(F.col(answer), F.col("parsed_answer"), equal)
+        sums = pairs.select(by, "n", F.when(right, F.col("n")).otherwise(0).alias("n_correct"))
+        if number:
+            earlier = spark.read.parquet(f"{table_path}/totals-{number - 1:012d}")
+            sums = sums.unionByName(earlier.select(by, "n", "n_correct"))
+        totals = sums.groupBy(by).agg(F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"))
+        totals = totals.withColumn("acc", F.col("n_correct") / F.col("n") * 100)
+        totals.write.mode("overwrite").parquet(f"{table_path}/totals-{number:012d}")
+
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(add)
+        .start()
+    )
+
+
 def _last_totals(spark: SparkSession, table_path: str) -> str | None:
     """The last folder of totals that was written to its end."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/totals-*/_SUCCESS")

@@ -489,3 +489,28 @@ def test_small_json_files_are_parsed_whole(spark, folder, monkeypatch):
     assert not ranges and [len(x) for x in whole] == [44, 44]
     monkeypatch.setattr(readers, "WHOLE_BYTES", 100)
     assert read() == whole and len(ranges) == 2
+
+
+def test_stream_by_pair_goes_on_from_the_batch_before(spark, folder):
+    """Totals by distinct answers are those of the batch; a repeated batch replaces its own folder only."""
+    schema, table, checkpoint = "answer string, resp string", f"{folder}/totals", f"{folder}/check"
+
+    def run(check=checkpoint):
+        rows = incremental.stream_responses(spark, f"{folder}/in", schema)
+        incremental.start_running_accuracy_by_pair(rows, table, check).awaitTermination()
+        return [r.asDict() for r in incremental.read_totals(spark, table).sort("dataset").collect()]
+
+    first = [{"answer": "1", "resp": "\\boxed{1}"}, {"answer": "2", "resp": "\\boxed{1}"}, {"resp": "\\boxed{1}"}] * 5
+    jsonl(f"{folder}/in/MathVerse.1.jsonl", first)
+    assert run() == [{"dataset": "MathVerse", "n": 15, "n_correct": 5, "acc": 5 / 15 * 100}]
+    jsonl(f"{folder}/in/MathVerse.2.jsonl", [{"answer": "3", "resp": "\\boxed{\\frac{6}{2}}"}] * 5)
+    jsonl(f"{folder}/in/We-Math.2.jsonl", [{"answer": "3", "resp": "\\boxed{4}"}])
+    want = [{"dataset": "MathVerse", "n": 20, "n_correct": 10, "acc": 50.0}, {"dataset": "We-Math", "n": 1, "n_correct": 0, "acc": 0.0}]
+    assert run() == want
+    # the batch is lost on its way to the log and runs again
+    for name in (f"{checkpoint}/commits/1", f"{checkpoint}/commits/.1.crc"):
+        os.remove(name)
+    assert run() == want
+    lines = readers.read_jsonl(spark, f"{folder}/in", schema)
+    plan = lines.select("resp")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1  # every line is parsed once
