@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed as K
-from .equivalence import EqualFn, _bind, equivalent_or_same
+from .equivalence import EqualFn, _bind, equivalent_or_same, undecided
 from .text import (
+    OPTION_MARK,
     OPTIONS_TYPE,
     ColumnOrName,
     _c,
@@ -120,15 +121,24 @@ def choice_match(
             .alias("is_match"),
         )
 
-    return _bind(
-        F.struct(
-            strip(answer).alias("a"),
-            strip(model_answer).alias("m"),
-            given.alias("given"),
-            options.alias("options"),
-        ),
+    a, m = strip(answer), strip(model_answer)
+    match = _bind(
+        F.struct(a.alias("a"), m.alias("m"), given.alias("given"), options.alias("options")),
         place,
     )
+    if equal is not undecided:
+        return match
+    # without options and letters both answers stand for themselves, which is soon told
+    unmarked = F.lit(True) if question is None else ~F.coalesce(_c(question), F.lit("")).rlike(OPTION_MARK)
+    plain = unmarked & (F.size(given) == 0) & named_letter(a).isNull() & named_letter(m).isNull()
+    return F.when(
+        plain,
+        F.struct(
+            a.alias("normalized_answer"),
+            m.alias("normalized_parsed_answer"),
+            equivalent_or_same(a, m, equal).alias("is_match"),
+        ),
+    ).otherwise(match)
 
 
 def with_choice_match(

@@ -367,12 +367,20 @@ def equivalent_or_same(
 ) -> Column:
     """Equal as answers, or the same string; never NULL.
 
-    The same string settles it without reading either answer.
+    The same string settles it without reading either answer.  With `equal=undecided`
+    anything else is left open as NULL, for `evaluate.compared_by_pair`.
     """
     a, b = _c(a), _c(b)
+    if equal is undecided:
+        return F.when(same_text(a, b), True)
     return same_text(a, b) | F.coalesce((equal or equivalent)(a, b), F.lit(False))
 
 
+def undecided(a: Column, b: Column) -> Column:
+    """Leaves it open whether two answers are equal."""
+    return F.lit(None).cast("boolean")
+
+
 def same_text(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.coalesce(_c(a) == _c(b), F.lit(False))
 

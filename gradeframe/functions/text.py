@@ -336,6 +336,8 @@ def _option_pairs(text: Column, kind: str, clean) -> Column:
     )
 
 
+# found in every question with an option of any notation, and in few others
+OPTION_MARK = r"[A-E][:.)]"
 OPTIONS_TYPE = "array<struct<letter:string,text:string>>"
 
 
@@ -350,7 +352,8 @@ def options_from_question(question: ColumnOrName, dataset: ColumnOrName) -> Colu
     colon, dot, paren = (_option_pairs(q, k, strip) for k in ("colon", "dot", "paren"))
     none = F.array().cast(OPTIONS_TYPE)
     return (
-        F.when(d == K.WE_MATH, _option_pairs(q, "dot", clean_option))
+        F.when(~q.rlike(OPTION_MARK), none)
+        .when(d == K.WE_MATH, _option_pairs(q, "dot", clean_option))
         .when(d == K.MATHVERSE, _option_pairs(q, "colon", clean_option))
         .when(F.size(colon) >= 2, colon)
         .when(F.size(dot) >= 2, dot)

@@ -46,10 +46,10 @@ def compared_by_pair(
     """
     rows = df.withColumns({"__a": F.col(a), "__b": F.col(b)})
     found = pairs.joined_by_distinct(
-        rows, ["__a", "__b"], lambda d: d.withColumn("__equal", compare(F.col("__a"), F.col("__b"))),
+        rows, ["__a", "__b"], lambda d: d.withColumn("__verdict", compare(F.col("__a"), F.col("__b"))),
         BROADCAST_PAIRS, BROADCAST_CHARACTERS,
     )
-    return found.withColumn(out, F.col("__equal")).drop("__a", "__b", "__equal")
+    return found.withColumn(out, F.col("__verdict")).drop("__a", "__b", "__verdict")
 
 
 def evaluate_responses(

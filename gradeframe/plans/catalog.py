@@ -765,7 +765,7 @@ def _(spark, sf):
 
 @query("g09_cross_file_summary")
 def _(spark, sf):
-    return metrics.cross_file_summary(jobs.judge_result_rows(D.result_files(spark, sf)))
+    return metrics.cross_file_summary(jobs.judge_result_rows(D.result_files(spark, sf), by_pair=True))
 
 
 @query("g10_verified_beside_match")

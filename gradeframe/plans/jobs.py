@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as K, text as T
 from ..functions.choices import choice_match
-from ..functions.equivalence import EqualFn
+from ..functions.equivalence import EqualFn, equivalent_or_same, undecided
 from ..functions.prompts import build_prompt
 from ..operators import generation, metrics, records
-from ..operators.evaluate import evaluate_responses, trial_match
+from ..operators.evaluate import compared_by_pair, evaluate_responses, trial_match
 from ..schemas import RESPONSES
 from ..session import written
 from ..sources import readers, sinks
@@ -39,13 +39,14 @@ def _column(df: DataFrame, name: str, type_: str) -> Column:
 
 
 def judge_result_rows(
-    df: DataFrame, require_verified: bool = False, equal: EqualFn | None = None
+    df: DataFrame, require_verified: bool = False, equal: EqualFn | None = None, by_pair: bool = False
 ) -> DataFrame:
     """Judge rows of any mix of result files by the kind of file they come from.
 
     Needs ``file``.  Rows of repeated-trial files are compared as `judge_trials` does,
     all others as `judge_standard`, in one pass: a row only evaluates its own branch,
-    and rows that cannot be judged evaluate neither.
+    and rows that cannot be judged evaluate neither.  With `by_pair` what neither options
+    nor the same text decide is compared once for each distinct pair (`compared_by_pair`).
     """
     trial = F.col("is_trial")
     kept = F.col("image_key").isNotNull()
@@ -64,15 +65,25 @@ def judge_result_rows(
         .withColumn("image_key", F.when(trial, T.image_number("image")))
         .withColumn("is_scored", F.when(trial, kept).otherwise(records.has_fields()))
     )
-    as_trial = trial_match("answer", "parsed_answer", equal)
+    row_equal = undecided if by_pair else equal
+    as_trial = trial_match("answer", "parsed_answer", row_equal)
     as_choice = choice_match(
-        "answer", "parsed_answer", "choices", "question", "dataset_type", equal
+        "answer", "parsed_answer", "choices", "question", "dataset_type", row_equal
     )
     match = F.when(F.col("is_scored"), F.when(trial, as_trial).otherwise(as_choice))
     fields = ("normalized_answer", "normalized_parsed_answer", "is_match")
-    return df.withColumn("__match", match).withColumns(
-        {f: F.col(f"__match.{f}") for f in fields}
-    ).select(*JUDGED)
+    judged = df.withColumn("__match", match).withColumns({f: F.col(f"__match.{f}") for f in fields})
+    if by_pair:
+        # all rows that need no comparison share one pair of missing texts
+        is_open = F.col("is_scored") & F.col("is_match").isNull()
+        judged = judged.withColumns(
+            {f"__{f}": F.when(is_open, F.col(f)) for f in ("normalized_answer", "normalized_parsed_answer")}
+        )
+        judged = compared_by_pair(
+            judged, "__equal", "__normalized_answer", "__normalized_parsed_answer",
+            lambda a, b: equivalent_or_same(a, b, equal),
+        ).withColumn("is_match", F.when(F.col("is_scored"), F.coalesce("is_match", "__equal")))
+    return judged.select(*JUDGED)
 
 
 def process_result_files(

@@ -1,6 +1,7 @@
 """Sources, sinks, metrics, jobs and streaming on small fixtures."""
 
 import base64
+import itertools
 import json
 import os
 
@@ -514,3 +515,25 @@ def test_stream_by_pair_goes_on_from_the_batch_before(spark, folder):
     lines = readers.read_jsonl(spark, f"{folder}/in", schema)
     plan = lines.select("resp")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1  # every line is parsed once
+
+
+def test_result_rows_by_pair_are_those_row_by_row(spark):
+    files = ("DynaMath.jsonl", "MathVista_x.jsonl", "mathverse-7.jsonl", "other.jsonl")
+    questions = ("Which?\nA: red\nB: 4/2\nC: blue", "How many?", None, "Pick (A) red (B) 2")
+    answers = ("2", "A", "$B$", "red", None, "", "0.5", " x+1 ", "a")
+    models = ("2.0", "a", "\\boxed{2}", "B", None, "red", "1/2", "1+x", "$A$", "2")
+    rows = [
+        (f, "a/image7.png" if i % 3 else "x.png", q, a, m, True, ["red", "2"] if i % 5 == 0 else None)
+        for i, (f, q, a, m) in enumerate(itertools.product(files, questions, answers, models))
+    ]
+    df = spark.createDataFrame(rows, "file string, image string, question string, answer string, parsed_answer string, verify boolean, choices array<string>")
+    order = ["file", "question", "answer", "parsed_answer", "image"]
+    for require_verified in (False, True):
+        want = jobs.judge_result_rows(df, require_verified)
+        got = jobs.judge_result_rows(df, require_verified, by_pair=True)
+        assert got.columns == want.columns
+        want = [r for r in want.sort(*order).collect()]
+        assert [r for r in got.sort(*order).collect()] == want
+        assert {r.is_match for r in want} == {True, False, None}
+    # a row per pair that is open is stored, not a row per row
+    assert spark.read.parquet(*got.inputFiles()).count() < len(rows) / 4
