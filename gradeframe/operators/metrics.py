@@ -221,6 +221,7 @@ def sharded_accuracy(
     batch_size: int = K.SAVE_BATCH,
     n_shards: int = 8,
     worst_case_image: str | None = None,
+    total: Column | None = None,
 ) -> DataFrame:
     """Accuracy as averaged over shards of batches, weighted by batch size.
 
@@ -231,7 +232,8 @@ def sharded_accuracy(
     of its images that are right in every trial.
 
     Batch and shard are arithmetic on the ordinal, so no window is needed; only the
-    length of the last batch depends on the row count.
+    length of the last batch depends on the row count.  Without `by` the count may be given
+    as `total`, where another table tells it without judging the rows.
     """
     by = list(by)
     rows = df.select(
@@ -242,12 +244,13 @@ def sharded_accuracy(
         *([T.image_folder_key(worst_case_image).alias("__key")] if worst_case_image else []),
     )
     if by:
-        # one total per group, as few rows as the result has
+        # one total per group, as few rows as the result has: broadcast, as a join by group
+        # would sort all rows of a group in one task
         totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
-        rows = rows.join(totals, by)
+        rows = rows.join(F.broadcast(totals), by)
         length = F.least(F.lit(batch_size), F.col("__total") - F.col("__batch") * batch_size)
     else:
-        total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
+        total = df.agg(F.count(F.lit(1)).alias("__total")).scalar() if total is None else total
         length = F.least(F.lit(batch_size), total - F.col("__batch") * batch_size)
     per_shard = F.ceil(length / n_shards)
     rows = rows.withColumn("__shard", F.floor(F.col("__pos") / per_shard).cast("int"))

@@ -537,3 +537,16 @@ def test_result_rows_by_pair_are_those_row_by_row(spark):
         assert {r.is_match for r in want} == {True, False, None}
     # a row per pair that is open is stored, not a row per row
     assert spark.read.parquet(*got.inputFiles()).count() < len(rows) / 4
+
+
+def test_sharded_accuracy_keeps_the_rows_of_a_group_apart(spark):
+    """Totals of groups are broadcast, and a given row count is not counted again."""
+    df = spark.range(5000).selectExpr("id % 2 AS g", "id div 2 AS ord", "id % 3 = 0 AS verify").repartition(4)
+    out = metrics.sharded_accuracy(df, by=["g"], batch_size=1000, n_shards=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r.n for r in out.sort("g").collect()] == [2500, 2500]
+    alone = df.where("g = 0")
+    given = metrics.sharded_accuracy(alone, batch_size=1000, n_shards=7, total=F.lit(2500))
+    assert given.collect() == metrics.sharded_accuracy(alone, batch_size=1000, n_shards=7).collect()
+    assert "Subquery" not in given._jdf.queryExecution().executedPlan().toString()
