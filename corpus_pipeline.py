@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm import bpe, langid, minmax, mixing, suffix
-from gradeframe.llm.common import WORD, Scratch, shuffles_removed
+from gradeframe.llm.common import WORD, Scratch, bounded_batches, shuffles_removed
 from gradeframe.llm.queries import tokenizer_path
 from gradeframe.session import written
 
@@ -20,6 +20,9 @@ LEAST_SHARE = 0.4
 #: Bytes of text that a Python worker takes at once; workers live on from stage to stage.
 BATCH_BYTES = 2 << 20
 
+#: Bytes of an Arrow batch: rows that pass through Python bring their text twice.
+ARROW_BYTES = 2 * BATCH_BYTES
+
 #: Slots, of 256 words each, that one file of the mix holds at most.
 SLOTS_PER_PART = 1 << 17
 
@@ -30,12 +33,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts go, and those of which all learned languages together
     have less than LEAST_SHARE.
     """
+    bounded_batches(spark, ARROW_BYTES)
     found = langid.identify(docs, langid.fit(docs), carry=tuple(docs.columns), batch_bytes=BATCH_BYTES)
     return found.where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_SHARE)).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at a similarity of 0.8."""
+    bounded_batches(spark, ARROW_BYTES)
     return minmax.near_duplicates(docs, shingle=5, percent=80).where("stays").select("doc.*")
 
 
@@ -44,6 +49,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A character of which a part was removed goes whole.  ``n_chars`` is counted anew.
     """
+    bounded_batches(spark, ARROW_BYTES)
     found = suffix.without_repeats(docs, characters=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("doc.text"))
     rows = found.select("doc", "n_removed", text.alias("text"))
@@ -79,6 +85,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, the hash of what they decode to, and whether that is the text."""
+    bounded_batches(spark, ARROW_BYTES)
     return bpe.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids", "decoded_sha256", "restored"), room=50_000, batch_bytes=BATCH_BYTES)
 
 

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship, text_batches, utf8
+from .common import KEPT, mapped, ship, text_batches, utf8
 
 # White space, and the pattern that cuts text before merging.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -155,16 +155,13 @@ class Bpe:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def loaded(description: bytes, room: int = 250_000) -> Bpe:
-    """One tokenizer per Python worker, kept from task to task."""
+    """One tokenizer per Python worker, kept until a task of another operator."""
     key = f"{hashlib.sha256(description).hexdigest()} {room}"
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(description, room)
-    return _LOADED[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Bpe(description, room)
+    return KEPT[key]
 
 
 # from the tokenizer, the ids, the text's bytes and what the ids decode to
@@ -209,7 +206,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] =
             arrays = [pa.array(r, OUTPUTS[o][1]) for r, o in zip(rows, outputs, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *outputs])
 
-    return docs.select("doc_id", docs.text.cast("binary").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", docs.text.cast("binary").alias("text")), run, schema, keeps=True)
 
 
 def decode_documents(tokens: DataFrame, tokenizer: str) -> DataFrame:

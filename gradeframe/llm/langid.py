@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, text_batches, utf8
+from .common import mapped, ship, text_batches, utf8
 
 # First code point of each range and the script it belongs to.
 RANGES = [
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, sample_per_language: int = 2000, seed: int = 5) -> Mode
         own, at = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(at, pa.int32()), pa.array(totals[own, at])], ["l", "at", "n"])
 
-    counted = rows.select("l", F.col("text").cast("binary").alias("text")).mapInArrow(count, "l int, at int, n bigint")
+    counted = mapped(rows.select("l", F.col("text").cast("binary").alias("text")), count, "l int, at int, n bigint")
     found = counted.groupBy("l", "at").agg(F.sum("n").alias("n")).toPandas()
     totals = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     totals[found["l"], found["at"]] = found["n"]
@@ -216,4 +216,4 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, carry: tuple[s
             )
 
     rows = docs.select(F.struct(*carry).alias("doc"), docs.text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *SCHEMA.fields]))
+    return mapped(rows, run, T.StructType([rows.schema["doc"], *SCHEMA.fields]))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, attached, components, grown, mix64, odd_numbers, ship, text_batches, word_hashes
+from .common import Scratch, attached, components, grown, mapped, mix64, odd_numbers, ship, text_batches, word_hashes
 
 SKETCH_BITS = 2048
 TILE = 512  # members of a bucket that meet its leads, or another tile, in one task
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, seed: int) -> DataFram
                 ["doc", "n_shingles", "f1", "f2", "bands", "odd"],
             )
 
-    return out.mapInArrow(run, schema)
+    return mapped(out, run, schema)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
                 keep.append(bool(common) and 100 * common >= percent * (len(a) + len(own) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "u bigint, v bigint")
+    return mapped(both, run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6, lead_rounds: int = 1, seed: int = 7) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, mix64, ship, text_batches
+from .common import Scratch, mapped, mix64, ship, text_batches
 
 LENGTH = 50  # bytes of a string that must not repeat
 START = 28  # bytes of the first round's names
@@ -132,7 +132,7 @@ def positions(docs: DataFrame) -> DataFrame:
                 _, first = np.unique(of_text(n.around, n.owner), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n.key[first]), pa.array(n.around[first]), pa.array(ids[n.owner[first]])], ["key", "around", "id"])
 
-    return docs.mapInArrow(run, "key bigint, around bigint, id bigint")
+    return mapped(docs, run, "key bigint, around bigint, id bigint")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def ranked(rows: DataFrame) -> DataFrame:
                 waiting = None if several[-1] else (int(id_[i]), int(around[i]))
             last = (key[-1], around[-1], int(smallest[-1]))
 
-    return rows.repartition("key").sortWithinPartitions("key", "around", "id").mapInArrow(run, "id bigint, around bigint, repeated boolean")
+    return mapped(rows.repartition("key").sortWithinPartitions("key", "around", "id"), run, "id bigint, around bigint, repeated boolean")
 
 
 def strings(docs: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def strings(docs: DataFrame) -> DataFrame:
                 _, first = np.unique(of_text(a, doc), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(ids[doc[first]])], ["long", "more", "id"])
 
-    return docs.mapInArrow(run, "long bigint, more bigint, id bigint")
+    return mapped(docs, run, "long bigint, more bigint, id bigint")
 
 
 def later(rows: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def later(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(id_[found]), pa.array(long[found])], ["id", "long"])
             last = (long[-1], more[-1], int(head[-1]))
 
-    return rows.repartition("long").sortWithinPartitions("long", "more", "id").mapInArrow(run, "id bigint, long bigint")
+    return mapped(rows.repartition("long").sortWithinPartitions("long", "more", "id"), run, "id bigint, long bigint")
 
 
 def covered(size: int, starts: np.ndarray) -> np.ndarray:
@@ -309,4 +309,4 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
                 ["doc", "kept", "n_bytes", "n_removed", "spans"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

@@ -4,12 +4,14 @@ import hashlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, words
 from test_dedup import groups, order, removal, texts
 
 import __spark_entry__ as entry
-from gradeframe.llm import suffix
+from gradeframe.llm import bpe, common, suffix
+from gradeframe.llm.queries import tokenizer_path
 from gradeframe.session import written
 
 SMALL = "/root/testdata/sf0.001"
@@ -148,3 +150,40 @@ def test_entry_lists_the_corpus_queries(spark):
     assert set(entry.oracle_sql()) <= set(names)
     assert entry.queries()["pipeline"](spark, SMALL).count() > 0
     assert texts() and order([])== []
+
+
+def test_batches_for_python_are_bounded_by_bytes(stages, spark):
+    """10,000 rows made a batch, so it grew with the texts: 40 MB here."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    rows = spark.range(0, 10_000, 1, 1).selectExpr("struct(id, repeat('x', 2000) AS text) AS doc", "repeat('x', 2000) AS text")
+    found = rows.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+    assert sum(r.n for r in found) == 10_000
+    assert max(r.bytes for r in found) <= corpus_pipeline.ARROW_BYTES + (64 << 10)
+    one = spark.range(0, 3, 1, 1).selectExpr(f"repeat('x', {2 * corpus_pipeline.ARROW_BYTES}) AS text")
+    assert sum(r.n for r in one.mapInArrow(sizes, "n bigint, bytes bigint").collect()) == 3  # a longer text is a batch
+
+
+def test_a_limit_of_the_session_is_kept(spark):
+    old = spark.conf.get(common.ARROW_BYTES, None)
+    spark.conf.set(common.ARROW_BYTES, "12345")
+    try:
+        common.bounded_batches(spark, 1 << 20)
+        assert spark.conf.get(common.ARROW_BYTES) == "12345"
+    finally:
+        spark.conf.set(common.ARROW_BYTES, old) if old is not None else spark.conf.unset(common.ARROW_BYTES)
+
+
+def test_workers_drop_the_tokenizer_of_an_earlier_stage(spark, monkeypatch):
+    with open(tokenizer_path(), "rb") as f:
+        description = f.read()
+    assert bpe.loaded(description, 100) is bpe.loaded(description, 100)
+    asked = []
+    rows = spark.createDataFrame([(1,)], "n bigint")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: asked.append(run))
+    for keeps, held in ((True, 1), (False, 0)):
+        common.mapped(rows, lambda batches: ((b, len(common.KEPT)) for b in batches), "n bigint", keeps=keeps)
+        assert list(asked[-1](iter("ab"))) == [("a", held), ("b", held)]
