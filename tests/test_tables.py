@@ -13,6 +13,7 @@ from gradeframe.functions import fixed as K
 from gradeframe.operators import generation, judging, metrics, records
 from gradeframe.operators.evaluate import evaluate_responses, judge_trials
 from gradeframe.plans import jobs
+from gradeframe.plans.catalog import QUERIES
 from gradeframe.session import written
 from gradeframe.sources import readers, sinks
 from gradeframe.sources.json_ranges import json_records
@@ -550,3 +551,43 @@ def test_sharded_accuracy_keeps_the_rows_of_a_group_apart(spark):
     given = metrics.sharded_accuracy(alone, batch_size=1000, n_shards=7, total=F.lit(2500))
     assert given.collect() == metrics.sharded_accuracy(alone, batch_size=1000, n_shards=7).collect()
     assert "Subquery" not in given._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def tables(spark, folder):
+    spark.range(1, 301).selectExpr("id AS o_orderkey", "CAST(id * 7 AS double) AS o_totalprice").write.parquet(f"{folder}/sf/orders.parquet")
+    spark.range(40).selectExpr("id AS page_id", "if(id = 3, NULL, concat('<p>', id)) AS html").write.parquet(f"{folder}/sf/pages.parquet")
+    return f"{folder}/sf"
+
+
+def test_texts_are_written_as_by_the_partitioned_writer(spark, folder):
+    """A file for every name, as Spark's writer leaves them, without a checksum file beside each."""
+    rows = [("b.png", "x"), ("b.png", "y\u00e9"), ("a/b:c=%1", "z"), (None, None), ("7", "")]
+    df = spark.createDataFrame(rows, "name string, value string").coalesce(1).sortWithinPartitions("name")
+    df.write.partitionBy("name").text(f"{folder}/spark")
+    sinks.write_texts(df, f"{folder}/own", "name")
+
+    def files(top):
+        found = {}
+        for at, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".txt"):
+                    found[os.path.basename(at)] = open(f"{at}/{n}", "rb").read()
+        return found
+
+    assert files(f"{folder}/own") == files(f"{folder}/spark")
+    assert all(n == "part-00000.txt" for _, _, names in os.walk(f"{folder}/own") for n in names)
+    # written again, a partition replaces its files
+    sinks.write_texts(df, f"{folder}/own", "name")
+    assert files(f"{folder}/own") == files(f"{folder}/spark")
+    apart = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "3")], "name string, value string").coalesce(1)
+    with pytest.raises(Exception, match="do not follow each other"):
+        sinks.write_texts(apart, f"{folder}/apart", "name")
+
+
+def test_images_are_not_written_by_a_committer(spark, tables):
+    images = QUERIES["a12_images"](spark, tables)
+    files = images.inputFiles()
+    assert len(files) == 40 and not any("-c000" in f for f in files)
+    got = {r.name: base64.b64decode(r.image_base64).decode() for r in images.collect()}
+    assert got == {f"{i}.png": "\n" if i == 3 else f"<p>{i}\n" for i in range(40)}
