@@ -591,3 +591,43 @@ def test_images_are_not_written_by_a_committer(spark, tables):
     assert len(files) == 40 and not any("-c000" in f for f in files)
     got = {r.name: base64.b64decode(r.image_base64).decode() for r in images.collect()}
     assert got == {f"{i}.png": "\n" if i == 3 else f"<p>{i}\n" for i in range(40)}
+
+
+def test_listing_tasks_are_bounded(spark, folder):
+    """Many folders are listed by few tasks; the session's settings are as before."""
+    rows = spark.range(400).selectExpr("id AS name", "'[]' AS value").coalesce(1)
+    sinks.write_texts(rows, f"{folder}/many", "name")
+    key = readers.LISTING
+    before = spark.conf.get(key)
+    with readers._listed(spark):
+        assert int(spark.conf.get(key)) == min(int(before), 32 * spark.sparkContext.defaultParallelism)
+    assert spark.conf.get(key) == before
+    assert readers.read_json_list(spark, f"{folder}/many", "a int").count() == 0
+
+
+@pytest.mark.parametrize("query", ["a04_json_keyed_scan"])
+def test_small_json_files_are_parsed_once(spark, tables, query):
+    """No filter parses a file again; only plain objects are read another way."""
+    out = QUERIES[query](spark, tables)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == (1 if "list" in query else 2)
+    assert not any("-c000" in f for f in out.inputFiles())
+
+
+def test_keyed_records_are_those_of_the_parser(spark, folder):
+    """Ids are read as values where all records are plain objects, as keys elsewhere."""
+    good = {
+        "twice": ('{"a": {"answer": "1"}, "a": {"answer": "2"}}', [("a", "1"), ("a", "2")]),
+        "signs": ('{"a$1\\\\": {"answer": "q\\"}{ $2 ,\\\\", "z": {"y": [{}]}}, "b\\u0041" :\n{"answer": 5}, "c":{}}', [("a$1\\", 'q"}{ $2 ,\\'), ("bA", "5"), ("c", None)]),
+        "null": ('{"a": {"answer": "1"}, "n": null}', [("a", "1"), ("n", None)]),
+        "deep": ('{"a": {"answer": {"q": {"r": {"s": {"t": 1}}}}}}', [("a", '{"q":{"r":{"s":{"t":1}}}}')]),
+        "empty": ("\n{ }\n", []),
+        "long": (json.dumps({str(i): {"answer": "{" * 50} for i in range(20000)}), [(str(i), "{" * 50) for i in range(20000)]),
+    }
+    for name, (text, want) in good.items():
+        write(f"{folder}/{name}/x.json", text)
+        assert [tuple(r) for r in readers.read_json_keyed(spark, f"{folder}/{name}", "answer string", "id").collect()] == want, name
+    for i, text in enumerate(('{"a": {"answer": "1"},}', '{"a": {"answer": "1"}} x', '{"a": {"answer": "1" 3}}', '{"a": {"answer": "1"} "b": {}}', '[{"a": {}}]')):
+        write(f"{folder}/bad{i}/x.json", text)
+        with pytest.raises(Exception):
+            readers.read_json_keyed(spark, f"{folder}/bad{i}", "answer string", "id").collect()
