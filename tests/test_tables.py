@@ -605,7 +605,7 @@ def test_listing_tasks_are_bounded(spark, folder):
     assert readers.read_json_list(spark, f"{folder}/many", "a int").count() == 0
 
 
-@pytest.mark.parametrize("query", ["a04_json_keyed_scan"])
+@pytest.mark.parametrize("query", ["a04_json_list_scan", "a04_json_keyed_scan"])
 def test_small_json_files_are_parsed_once(spark, tables, query):
     """No filter parses a file again; only plain objects are read another way."""
     out = QUERIES[query](spark, tables)
