@@ -631,3 +631,11 @@ def test_keyed_records_are_those_of_the_parser(spark, folder):
         write(f"{folder}/bad{i}/x.json", text)
         with pytest.raises(Exception):
             readers.read_json_keyed(spark, f"{folder}/bad{i}", "answer string", "id").collect()
+
+
+@pytest.mark.parametrize("query, ending", [
+    ("a01_jsonl_scan", ".json.gz"),
+])
+def test_stored_copies_are_compressed(spark, tables, query, ending):
+    files = QUERIES[query](spark, tables).inputFiles()
+    assert files and all(f.endswith(ending) for f in files)
