@@ -139,7 +139,7 @@ def evaluate_jsonl(
     """
     try:
         rows = readers.read_jsonl(spark, path, schema)
-        evaluated = written(evaluate_responses(rows, system_prompt, equal=equal), "evaluated")
+        evaluated = written(evaluate_responses(rows, system_prompt, equal=equal), "evaluated", compression="zstd")
     except PySparkException as e:
         # the file is not there, or a line of it is broken; anything else is no verdict
         if "PATH_NOT_FOUND" in str(e) or "line is not a JSON object" in str(e):

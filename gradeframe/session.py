@@ -60,7 +60,9 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(
+    df: DataFrame, label: str, partition_by: list[str] | None = None, compression: str | None = None
+) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back.
 
     Cuts the lineage: later jobs read columns of the table, and losing an executor
@@ -69,5 +71,6 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = new_dir(spark, label)
     writer = df.write.mode("errorifexists")
+    writer = writer.option("compression", compression) if compression else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
