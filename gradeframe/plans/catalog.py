@@ -23,7 +23,7 @@ from ..operators.evaluate import (
     with_equal,
     with_equal_by_pair,
 )
-from ..session import new_dir, written
+from ..session import held_conf, new_dir, written
 from ..sources import readers, sinks
 from ..streaming import incremental
 from . import derived as D, jobs
@@ -721,7 +721,10 @@ def _(spark, sf):
 
     # a folder of one file per name, as models leave them
     base = new_dir(spark, "results")
-    D.result_files(spark, sf).write.partitionBy("file").options(**sinks.JSON_OPTIONS).json(base)
+    writer = D.result_files(spark, sf).write.options(**sinks.JSON_OPTIONS, compression="gzip", maxRecordsPerFile=GZIP_ROWS)
+    # a task keeps the files of its few names open, so its rows need not be sorted
+    with held_conf(spark, {"spark.sql.maxConcurrentOutputFileWriters": "16"}):
+        writer.partitionBy("file").json(base)
     lines = readers.read_result_files(spark, base, f"{RESPONSES}, sid bigint")
     return _file_summary(jobs.judge_result_rows(lines))
 

@@ -634,7 +634,7 @@ def test_keyed_records_are_those_of_the_parser(spark, folder):
 
 
 @pytest.mark.parametrize("query, ending", [
-    ("a01_jsonl_scan", ".json.gz"), ("a06_evaluated_file", ".zstd.parquet"),
+    ("a01_jsonl_scan", ".json.gz"), ("a06_evaluated_file", ".zstd.parquet"), ("a07_folder_of_result_files", ".json.gz"),
 ])
 def test_stored_copies_are_compressed(spark, tables, query, ending):
     files = QUERIES[query](spark, tables).inputFiles()
