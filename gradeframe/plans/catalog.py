@@ -482,13 +482,15 @@ def _(spark, sf):
     # one row to a file line, in the order of their ids; the ordinal comes from the file
     rows = D.responses(spark, sf).select("sid", "resp")
     path = new_dir(spark, "ordered")
-    rows.repartitionByRange("sid").sortWithinPartitions("sid").select(F.to_json(F.struct("sid", "resp")).alias("value")).write.text(path)
+    ordered = rows.repartitionByRange("sid").sortWithinPartitions("sid").select(F.to_json(F.struct("sid", "resp")).alias("value"))
+    ordered.write.options(compression="gzip", maxRecordsPerFile=GZIP_ROWS).text(path)
     lines = readers.with_file_ordinal(spark.read.text(path).withColumn("file", F.col("_metadata.file_name")), "line")
     # part files are named in the order of their ranges
     parsed = readers.parsed_lines(lines, "sid bigint, resp string", strict=True, keep=("file", "line"))
     counts = parsed.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = parsed.join(counts.select("file", before.alias("before")), "file")
+    # one row per file
+    rows = parsed.join(F.broadcast(counts.select("file", before.alias("before"))), "file")
     return records.first_n(rows.withColumn("ord", (F.col("before") + F.col("line")).cast("bigint")), 200).select("ord", "sid", "resp")
 
 

@@ -247,7 +247,7 @@ def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
             "__mono": F.monotonically_increasing_id(),
         }
     )
-    numbered = written(numbered, "numbered")
+    numbered = written(numbered, "numbered", compression="zstd")
     blocks = numbered.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__first"))
     before = Window.partitionBy("__file").orderBy("__start").rowsBetween(
         Window.unboundedPreceding, -1
@@ -256,7 +256,8 @@ def with_file_ordinal(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
         *block,
         (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
     )
-    out = numbered.join(shifts, block).withColumn(
+    # one row per split; without the hint all rows are shuffled before its size is known
+    out = numbered.join(F.broadcast(shifts), block).withColumn(
         ordinal, (F.col("__mono") + F.col("__shift")).cast("bigint")
     )
     return out.drop("__mono", "__shift", *block)

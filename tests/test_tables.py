@@ -634,8 +634,18 @@ def test_keyed_records_are_those_of_the_parser(spark, folder):
 
 
 @pytest.mark.parametrize("query, ending", [
-    ("a01_jsonl_scan", ".json.gz"), ("a06_evaluated_file", ".zstd.parquet"), ("a07_folder_of_result_files", ".json.gz"),
+    ("a01_jsonl_scan", ".json.gz"), ("a06_evaluated_file", ".zstd.parquet"), ("a07_folder_of_result_files", ".json.gz"), ("b06_first_rows", ".zstd.parquet"),
 ])
 def test_stored_copies_are_compressed(spark, tables, query, ending):
     files = QUERIES[query](spark, tables).inputFiles()
     assert files and all(f.endswith(ending) for f in files)
+
+
+def test_rows_with_ordinals_are_not_shuffled(spark, folder):
+    """The counts per split are broadcast, so rows stay where they were read."""
+    for f in range(2):
+        jsonl(f"{folder}/n{f}.jsonl", [{"answer": str(i)} for i in range(50)])
+    out = readers.with_file_ordinal(spark.read.text(folder), "line")
+    assert sorted(r.line for r in out.collect()) == sorted([*range(50)] * 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
